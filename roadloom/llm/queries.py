@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import chat, mixing
+from roadloom.llm import chat, mixing, tokencount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,23 @@ SELECT doc_id, size, source_size, target,
      + greatest(0, least(size, goal - start - 2 * source_size)) AS BIGINT) AS taken
 FROM r
 """
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, bias = urls.train(urls.labelled_table(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, weights, bias).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files lie on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
