@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import chat, mixing, tokencount, urls
+from roadloom.llm import chat, mixing, tokencount, tokenids, urls
+from roadloom.llm.shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,11 @@ def tokenizer_path(name: str) -> str:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_dir(spark, "token-ids")
+    manifest = tokenids.write_ids(docs, tokenizer_path("byte_bpe_50k.json"), folder)
+    return tokenids.read_ids(manifest, folder)
