@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import chat, mixing, tokencount, tokenids, urls
+from roadloom.llm import chat, mixing, spotsigs, tokencount, tokenids, urls
 from roadloom.llm.shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "token-ids")
     manifest = tokenids.write_ids(docs, tokenizer_path("byte_bpe_50k.json"), folder)
     return tokenids.read_ids(manifest, folder)
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
