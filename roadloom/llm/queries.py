@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import chat, mixing, spotsigs, tokencount, tokenids, urls
+from roadloom.llm import chat, langid, mixing, spotsigs, tokencount, tokenids, urls
 from roadloom.llm.shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,14 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
