@@ -28,9 +28,9 @@ not carried.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,10 +46,14 @@ from roadloom.llm.tokencount import slices
 
 END_ID = 2
 NULL_ID = -(2**63)
-#: Distinct pieces that a worker keeps; past it the store starts anew.
-KEEP = 500_000
-
-_ODD = re.compile(r"[\s\x1c-\x1f][ \n]")
+#: Distinct basic pieces that a worker keeps; past it the store starts anew.
+KEEP = 800_000
+#: Bytes of text whose distinct pieces are looked up together, and pieces gathered at once.
+TOGETHER = 16_000_000
+GATHER = 500_000
+
+#: White space, as any of the libraries understands it, before a blank or line end.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}][ \n]"
 _STORES: dict = {}
 
 
@@ -65,8 +69,8 @@ class PieceStore:
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def parts(piece: str) -> tuple[str, ...]:
@@ -80,19 +84,18 @@ class PieceStore:
         return (*head, piece)
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
+        got = list(map(self.known.get, pieces))
+        new = [i for i, g in enumerate(got) if g is None]
         if new:
+            cut = [self.parts(pieces[i]) for i in new]
+            known = self.known
             if len(known) > KEEP:
                 self.known = known = {"": b""}
-                new = pieces
-            cut = {p: self.parts(p) for p in new if p}
-            basic = list({x for c in cut.values() for x in c if x not in known})
+            basic = list({x for c in cut for x in c if x not in known})
             known.update(zip(basic, self.encode(basic), strict=True))
-            for p, c in cut.items():
-                if len(c) > 1:
-                    known[p] = b"".join([known[x] for x in c])
-        return [known[p] for p in pieces]
+            for i, c in zip(new, cut, strict=True):
+                got[i] = known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c])
+        return got
 
 
 def store(path: str) -> PieceStore:
@@ -101,39 +104,45 @@ def store(path: str) -> PieceStore:
     return _STORES[path]
 
 
-def encode_texts(texts: pa.Array, pieces: PieceStore, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, number of ids of each text), an end id after each."""
+def encode_texts(texts: pa.Array, pieces: PieceStore, end_id: int | None = END_ID) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, all ids, number of ids of each text) of one run of texts after the other; an end id after each text."""
     texts = pc.fill_null(texts, "")
-    odd = np.fromiter((_ODD.search(t) is not None for t in texts.to_pylist()), bool, len(texts))
-    # whole texts travel as one piece each: no blank or line end is left to split at
+    odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+    # such texts are encoded whole: as one empty piece here, put in its place below
     split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", texts), "\n", " \n"), " ")
     lens = np.asarray(pc.list_value_length(split), dtype=np.int64)
+    if not len(lens):
+        return
     coded = split.flatten().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     words = coded.dictionary.to_pylist()
-    index = np.asarray(coded.indices, dtype=np.int64).copy()
+    index = np.array(coded.indices, dtype=np.int32)
     # the first piece of a text has no blank before it
-    first = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64)
-    starts = [words[i] for i in index[first]] if len(first) else []
-    index[first] = len(words) + np.arange(len(first))
+    ends = np.cumsum(lens)
+    first = ends - lens
+    starts = [words[i] for i in index[first].tolist()]
+    index[first] = len(words) + np.arange(len(first), dtype=np.int32)
     ids = pieces.look_up([w if w[:1] == "\n" else " " + w for w in words] + starts)
-    if odd.any():
-        at = np.nonzero(odd)[0]
-        for i, got in zip(at, pieces.encode([texts[int(i)].as_py() for i in at]), strict=True):
-            ids[len(words) + int(i)] = got
-    width = pieces.dtype.itemsize
-    n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    at = np.nonzero(odd)[0]
+    for i, got in zip(at.tolist(), pieces.encode([texts[i].as_py() for i in at.tolist()]), strict=True):
+        ids[len(words) + i] = got
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // pieces.dtype.itemsize
     flat = np.frombuffer(b"".join(ids), pieces.dtype)
-    begin = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64) if len(n) else n
-    each = n[index]
-    ends = np.cumsum(each)
-    take = np.repeat(begin[index] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-    per_text = np.add.reduceat(each, first) if len(first) else np.empty(0, np.int64)
-    out = flat[take]
-    if end_id is None:
-        return out, per_text
-    return np.insert(out, np.cumsum(per_text), end_id).astype(pieces.dtype), per_text + 1
+    begin = np.cumsum(n) - n
+    a = 0
+    while a < len(lens):
+        z = max(a + 1, int(np.searchsorted(ends, first[a] + GATHER, "right")))
+        own = index[first[a] : ends[z - 1]]
+        each = n[own]
+        upto = np.cumsum(each)
+        take = np.repeat(begin[own] - (upto - each), each)
+        take += np.arange(len(take))
+        out, per_text = flat[take], np.add.reduceat(each, first[a:z] - first[a])
+        if end_id is not None:
+            out, per_text = np.insert(out, np.cumsum(per_text), end_id), per_text + 1
+        yield a, out, per_text
+        a = z
 
 
 @lru_cache(maxsize=8)
@@ -175,11 +184,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, parts: int |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = store(tokenizer_path)
         for batch in batches:
-            for s in slices(batch, "text"):
-                ids, n = encode_texts(s.column("text"), pieces, end_id)
-                offsets = np.concatenate(([0], np.cumsum(n))) * pieces.dtype.itemsize
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), blobs.cast(pa.binary())], names=["doc_id", "ids"])
+            for s in slices(batch, "text", TOGETHER, 1 << 20):
+                for at, ids, n in encode_texts(s.column("text"), pieces, end_id):
+                    offsets = np.concatenate(([0], np.cumsum(n))) * pieces.dtype.itemsize
+                    blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+                    yield pa.RecordBatch.from_arrays([s.column("doc_id").slice(at, len(n)), blobs.cast(pa.binary())], names=["doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = store(tokenizer_path).dtype
