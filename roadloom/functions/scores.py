@@ -82,21 +82,15 @@ def composite(means: dict[str, Column], s: Settings = Settings()) -> Column:
     return F.when(weight > 0, clamp(value / weight * 100.0, 0.0, 100.0)).otherwise(0.0)
 
 
-def gate_reason(dim: Column, raw: Column, s: Settings = Settings()) -> Column:
-    """Why this sample is dropped, or null. raw: map dimension -> map of raw values, of all samples of the tick.
-
-    A missing value counts as 0; the lens comes before the glare.
-    """
-    dirt = F.coalesce(raw["lens"]["dirtFraction"], F.lit(0.0))
-    glare = F.coalesce(raw["glare"]["severity"], F.lit(0.0))
-    mount = F.coalesce(raw["rough"]["mountContam"], F.lit(0.0))
-    lane = F.when(dirt > s.gate_lens_dirt, F.lit(f"lens_dirt>{s.gate_lens_dirt}")).when(glare > s.gate_glare, F.lit(f"glare>{s.gate_glare}"))
-    rough = F.when(mount > s.gate_mount, F.lit(f"mount_vibration>{s.gate_mount}"))
+def gate_reason(dim: Column, dirt: Column, glare: Column, mount: Column, s: Settings = Settings()) -> Column:
+    """Why a sample of a tick with these raw values (missing: 0) is dropped, or null. The lens comes before the glare."""
+    lane = F.when(F.coalesce(dirt, F.lit(0.0)) > s.gate_lens_dirt, F.lit(f"lens_dirt>{s.gate_lens_dirt}")).when(F.coalesce(glare, F.lit(0.0)) > s.gate_glare, F.lit(f"glare>{s.gate_glare}"))
+    rough = F.when(F.coalesce(mount, F.lit(0.0)) > s.gate_mount, F.lit(f"mount_vibration>{s.gate_mount}"))
     return F.when(dim == "lane_vis", lane).when(dim == "rough", rough)
 
 
 def conditions(scores: Column, raw: Column) -> Column:
-    """struct(lens, glare, atmo, nightq, overall_trust) severities of a tick. scores: map dim -> score, raw: as in gate_reason.
+    """struct(lens, glare, atmo, nightq, overall_trust) severities of a tick. scores: map dim -> score, raw: map dim -> raw values.
 
     A raw value comes first, else 1 - score; an absent head has severity 0.
     """

@@ -22,13 +22,21 @@ def _by_dimension(samples: Column, field: str) -> Column:
     return F.map_from_entries(F.transform(last, lambda s: F.struct(s["dimension"], s[field])))
 
 
+def last_raw(samples: Column, dimension: str, key: str) -> Column:
+    """A raw value of the last sample of a dimension in a tick, or null."""
+    return F.try_element_at(F.filter(samples, lambda s: s["dimension"] == dimension), F.lit(-1))["raw"][key]
+
+
 def with_gates(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """ticks whose samples carry outcome: failed, invalid, gated or accepted, and reason of a gate."""
-    raw = _by_dimension(F.col("samples"), "raw")
-    reason = lambda x: scores.gate_reason(x["dimension"], F.col("_raw"), s)
-    outcome = lambda x: F.when(x["engine"] == "failed", "failed").when(~x["locally_valid"], "invalid").when(reason(x).isNotNull(), "gated").otherwise("accepted")
-    marked = F.transform("samples", lambda x: x.withField("outcome", outcome(x)).withField("reason", reason(x)))
-    return ticks.withColumn("_raw", raw).withColumn("samples", marked).drop("_raw")
+    all_of = F.col("samples")
+    t = ticks.withColumns({"_dirt": last_raw(all_of, "lens", "dirtFraction"), "_glare": last_raw(all_of, "glare", "severity"), "_mount": last_raw(all_of, "rough", "mountContam")})
+    # plain struct fields, not a chain of withField, and the reason once per sample
+    fields = ("dimension", "score", "raw", "engine", "locally_valid")
+    reasoned = F.transform("samples", lambda x: F.struct(*[x[f].alias(f) for f in fields], scores.gate_reason(x["dimension"], F.col("_dirt"), F.col("_glare"), F.col("_mount"), s).alias("reason")))
+    outcome = lambda x: F.when(x["engine"] == "failed", "failed").when(~x["locally_valid"], "invalid").when(x["reason"].isNotNull(), "gated").otherwise("accepted")
+    marked = F.transform(reasoned, lambda x: F.struct(*[x[f].alias(f) for f in (*fields, "reason")], outcome(x).alias("outcome")))
+    return t.withColumn("samples", marked).drop("_dirt", "_glare", "_mount")
 
 
 def with_conditions(ticks: DataFrame) -> DataFrame:
@@ -52,19 +60,26 @@ def welford(value: Column) -> list[Column]:
 
 
 def dimension_stats(ticks: DataFrame) -> DataFrame:
-    """Per visit and dimension: statistics of accepted samples, gates, failures, means of the raw values."""
-    s = ticks.select(*VISIT, "ts", F.explode("samples").alias("s")).select(*VISIT, "ts", "s.*")
+    """Per visit and dimension: statistics of accepted samples, gates, failures, means of the raw values.
+
+    A sample's score and raw values become rows of one long table (the score's key
+    is empty), so that the visits are assigned and shuffled once for all of them.
+    """
     ok = F.col("outcome") == "accepted"
-    stats = s.groupBy(*VISIT, "dimension").agg(
-        *welford(F.when(ok, F.col("score"))),
-        F.max_by(F.when(ok, F.col("engine")), F.when(ok, F.col("ts"))).alias("engine"),
+    s = ticks.select(*VISIT, "ts", F.explode("samples").alias("s")).select(*VISIT, "ts", "s.*")
+    values = F.when(ok, F.map_concat(F.create_map(F.lit(""), F.col("score")), "raw")).otherwise(F.create_map(F.lit(""), F.col("score")))
+    long = s.select(*VISIT, "ts", "dimension", "engine", "outcome", "reason", F.explode(values).alias("key", "value"))
+    gated = F.when(F.col("outcome") == "gated", F.struct("ts", "reason"))
+    per_key = long.groupBy(*VISIT, "dimension", "key").agg(
+        *welford(F.when(ok, F.col("value"))),
+        F.max(F.when(ok, F.struct("ts", "engine")))["engine"].alias("engine"),
         F.count_if(F.col("outcome") == "gated").alias("gated"),
-        F.max_by(F.when(F.col("outcome") == "gated", F.col("reason")), F.when(F.col("outcome") == "gated", F.col("ts"))).alias("gate_reason"),
+        F.max(gated)["reason"].alias("gate_reason"),
         F.count_if(F.col("outcome") == "failed").alias("failures"),
     )
-    raws = s.where(ok).select(*VISIT, "dimension", F.explode("raw").alias("k", "v")).groupBy(*VISIT, "dimension", "k").agg(F.avg("v").alias("v"))
-    raws = raws.groupBy(*VISIT, "dimension").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("raw_means"))
-    return stats.join(raws, [*VISIT, "dimension"], "left")
+    own = lambda c: F.max(F.when(F.col("key") == "", F.col(c))).alias(c)
+    raw = F.sort_array(F.collect_list(F.when(F.col("key") != "", F.struct("key", "mean"))))
+    return per_key.groupBy(*VISIT, "dimension").agg(*map(own, ("n", "mean", "variance", "min", "max", "engine", "gated", "gate_reason", "failures")), F.map_from_entries(raw).alias("raw_means"))
 
 
 def visit_windows(ticks: DataFrame) -> DataFrame:
