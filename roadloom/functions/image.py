@@ -261,7 +261,6 @@ def frame_stats(luma: np.ndarray, rgb: np.ndarray, before: np.ndarray | None = N
     }
 
 
-@F.pandas_udf(STATS)
 def _stats(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in STATS.split(", ")]
     for width, height, luma, rgb, before in batches:
@@ -279,4 +278,4 @@ def _stats(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
 
 def stats_column(width: Column, height: Column, luma: Column, rgb: Column, before: Column) -> Column:
     """The statistics struct of a frame; all null where its planes don't fit its size."""
-    return _stats(width, height, luma, rgb, before)
+    return F.pandas_udf(_stats, STATS)(width, height, luma, rgb, before)
