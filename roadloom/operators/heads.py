@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from roadloom.config import DIMENSIONS, FAILED_SCORE, Settings
 from roadloom.functions.geo import clamp
+from roadloom.functions.scores import class_group
 
 SAMPLE = "struct<dimension:string,score:double,raw:map<string,double>,engine:string,locally_valid:boolean>"
 HEADS: dict[str, Callable[..., Column]] = {}
@@ -90,6 +91,11 @@ def chaos_motion(regions: Column) -> Column:
     return F.when(regions.isNotNull(), sample("chaos", 1 - level, {"motionRegions": regions, "chaosLevel": level}, "classical-motion"))
 
 
+def confident_groups(detections: Column, least: float = 0.5, most: int = 10) -> Column:
+    """The class groups of an array of detections (label, score, ...), of at most most, with at least such a score."""
+    return F.transform(F.filter(F.slice(detections, 1, most), lambda d: d["score"] >= least), lambda d: class_group(d["label"]))
+
+
 def class_entropy(groups: Column) -> Column:
     """Entropy of an array of labels over the logarithm of their number of kinds, at least 2."""
     n = F.size(groups).cast("double")

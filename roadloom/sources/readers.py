@@ -61,6 +61,13 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.posexplode("models").alias("position", "m")).select("position", "m.*")
 
 
+def evidence_files(spark: SparkSession, path: str) -> DataFrame:
+    """packet_id, name, length of the evidence images under path/<packet_id>/; contents stay where they are."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(path).select("path", "length")
+    parts = F.split("path", "/")
+    return f.select(F.element_at(parts, -2).alias("packet_id"), F.element_at(parts, -1).alias("name"), "length")
+
+
 def head_engines(registry: DataFrame) -> DataFrame:
     """head, engine of all nine heads: the last model registered for it, else classical; version_map-like in one join."""
     last = registry.groupBy("head").agg(F.max_by(F.concat_ws("@", "modelId", "version"), "position").alias("engine"))

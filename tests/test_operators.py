@@ -206,6 +206,16 @@ def test_registry_and_fixes(spark, tmp_path):
     assert [r["x"] for r in spark.createDataFrame([(1.0,), (2.0,)], "v double").select(twice(F.col("v")).alias("x")).collect()] == [2.0, 4.0]
 
 
+def test_detections_and_evidence_files(spark, tmp_path):
+    d = spark.sql("SELECT array(named_struct('label', 'Car', 'score', 0.5D), named_struct('label', 'dog', 'score', 0.49D), named_struct('label', 'kite', 'score', 0.9D)) AS d")
+    assert d.select(heads.confident_groups(F.col("d")).alias("g")).first()["g"] == ["car", "other"]
+    for name in ("p1/a.jpg", "p1/b.jpg", "p2/c.jpg", "p2/packet.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"123")
+    got = readers.evidence_files(spark, str(tmp_path))
+    assert sorted((r["packet_id"], r["name"], r["length"]) for r in got.collect()) == [("p1", "a.jpg", 3), ("p1", "b.jpg", 3), ("p2", "c.jpg", 3)]
+
+
 def test_image_statistics():
     flat = np.full((48, 64), 128, np.uint8)
     s = image.luma_stats(flat)
