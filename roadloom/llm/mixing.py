@@ -135,9 +135,9 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = 7, weights: tuple[
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.drop("size", "source_size", "target", "taken", "draws").withColumns({"size": n_words(F.col("text")), "_key": key, "_h": h})
+    rows = docs.drop("size", "source_size", "target", "taken", "draws").withColumns({"size": n_words(F.col("text")), "_key": key, "_h": h, "_t": F.xxhash64("text")})
     rows = rows.withColumn("_bucket", F.substring("_h", 1, 3))
-    rows = running_sum(rows, ["_key"], "_bucket", ["_h", "size", F.xxhash64("text")], "size", "_start")
+    rows = running_sum(rows, ["_key"], "_bucket", ["_h", "size", "_t"], "size", "_start")
     sizes = rows.groupBy(F.col("_key")).agg(F.sum("size").alias("source_size"))
     name = F.when(F.substring("_key", 1, 1) == "s", F.expr("substring(_key, 2)"))
     targets = source_targets(sizes.select(name.alias("source"), "source_size"), weights, cap)
@@ -162,7 +162,7 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = 7, weights: tuple[
     draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cap - 1).cast("long")), draw), lambda d: d["words"] > 0)
     rows = rows.withColumn("draws", draws)
     rows = rows.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
-    return rows.drop("_key", "_h", "_bucket", "_start", "_goal", "starts")
+    return rows.drop("_key", "_h", "_t", "_bucket", "_start", "_goal", "starts")
 
 
 def draw_rows(mixed: DataFrame, partitions_per_shard: int = 4) -> DataFrame:
