@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import n_words, running_sum
+from roadloom.llm.shared import n_words, running_sum, stash
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -73,7 +73,8 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
 def pack(docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 5) -> DataFrame:
     """doc_id, size, bucket, padded_size, batch (within the bucket), batch_docs_max for every row of docs (doc_id, text)."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select("doc_id", n_words(F.col("text")).alias("size"), h.alias("_h"), F.xxhash64("text").alias("_t"))
+    # the texts are read once; all that follows works on a few numbers for each row
+    rows = stash(docs.select("doc_id", n_words(F.col("text")).alias("size"), h.alias("_h"), F.xxhash64("text").alias("_t")), "sizes")
     hist = rows.groupBy(cell(F.col("size")).alias("cell")).agg(F.max("size").alias("size"), F.count("*").alias("n"))
     got = sorted((r["size"], r["n"]) for r in hist.collect())  # bounded, see above
     cuts = boundaries([g[0] for g in got], [g[1] for g in got], buckets) or [0]
