@@ -9,7 +9,9 @@ of all tables are reranked by exact Euclidean distance in double precision.
 Work is dealt by (table, slot of the bucket, salt): slots hold about ROWS
 vectors, and a slot with more, a hot bucket, is cut into salts to which its
 queries are copied. Identical vectors are hashed once, with their k + 1 smallest
-ids, which is all that a list of k can hold.
+ids, which is all that a list of k can hold. Queries that found fewer than k rows
+are compared with all rows, block by block, so that small or far-flung tables give
+full lists too.
 
 Edge cases: null or zero vectors and those with null or non-finite components
 take no part. Vectors are compared with those of their own length only. Repeated
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.llm.shared import stash
+
 TABLES = 8
 HASHES = 8
 WIDTH = 2.0
@@ -184,7 +188,8 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     no_ids = F.lit(None).cast("array<long>")
     indexed = classes.select(F.col("ids")[0].alias("id"), "ids", "vec").mapInArrow(place, PLACED)
     probing = asked.select("id", no_ids.alias("ids"), "vec").mapInArrow(place, PLACED)
-    slots = max(1, math.ceil(classes.count() / ROWS)) * 8
+    n_classes = classes.count()
+    slots = max(1, math.ceil(n_classes / ROWS)) * 8
     slot = lambda c: F.pmod(c, F.lit(slots)).cast("int")
     held = indexed.withColumn("slot", slot(F.col("code")))
     sizes = held.groupBy("table", "slot").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("salts"))
@@ -200,7 +205,17 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
         got = _top(group, k)
         return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_id": pa.array([g[1] for g in got], pa.int64()), "score": pa.array([g[2] for g in got], pa.float64())})
 
-    found = both.groupBy(*key).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    schema = "query_id long, vec_id long, score double"
+    found = both.groupBy(*key).applyInArrow(rerank, schema)
+    found = stash(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "neighbours")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k)
+    short = stash(asked.join(enough, asked["id"] == enough["query_id"], "left_anti"), "short-queries")
+    if short.limit(1).count():
+        blocks = max(1, math.ceil(n_classes / ROWS))
+        zero = F.lit(0).cast("long").alias("code")
+        left = classes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int").alias("salt"), zero, F.col("ids")[0].alias("id"), "ids", "vec", F.lit(None).cast("array<long>").alias("codes"))
+        right = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("salt"), zero, "id", no_ids.alias("ids"), "vec", F.array(F.lit(0).cast("long")).alias("codes"))
+        whole = left.unionByName(right).groupBy("salt").applyInArrow(rerank, schema)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

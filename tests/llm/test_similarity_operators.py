@@ -259,6 +259,19 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(t.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_small_and_far_flung_tables_give_full_lists(spark):
+    rows = [(i * 50, [float(i == j) * 10.0 ** (i % 4) for j in range(12)]) for i in range(12)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(t, F.col("vec_id") % 100 == 0, k=20, tables=2, probes=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 600, 100))
+    for q, mine in got.items():
+        v = dict(rows)
+        want = sorted((float(np.linalg.norm(np.array(v[q]) - np.array(x))), i) for i, x in rows if i != q)
+        assert [(pytest.approx(d), i) for d, i in want] == [(s, i) for _, i, s in sorted(mine)]
+
+
 def test_hot_slots_are_salted_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
