@@ -40,6 +40,6 @@ def test_nothing_else_imports_the_llm_subpackage():
 def test_entry_without_llm(tmp_path):
     for p in ("roadloom", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(REPO / p), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "roadloom/llm")], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "roadloom/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'visit_packets' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
