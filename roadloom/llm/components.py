@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import stash
+from roadloom.llm.shared import discard, stash
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = stash(e, "edges")
     said = None
     while True:
-        e = stash(_small(_large(e)), "edges")
+        before, e = e, stash(_small(_large(e)), "edges")
+        discard(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == said:
             break

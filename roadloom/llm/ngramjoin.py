@@ -6,16 +6,17 @@ its own band, and in the next where a partner of it may live. In a band no linke
 pair differs in more than H elements. The universe of hashes is cut into m
 segments, and by one of two plans, whichever costs less in the band:
 
-* segments: m = H + 1 + slack segments; at least one that is not empty is equal
-  in both sets. Empty segments, which all sets would share, are skipped; a set
-  with more of them than its slack is indexed again under another cut (of a linked
-  pair, one that isn't is enough), and at the last cut without skipping.
+* segments: m = H + 1 + slack segments, more than slack of which are equal in both
+  sets. Empty segments, which all sets would share, and where segments are small those of
+  one element, which sets with a common passage would, are skipped; a set with more of them than its
+  slack is indexed again under another cut (of a linked pair, one that isn't is
+  enough), and at the last cut without skipping.
 * one-deletion neighbourhoods: m = (H + 1) / 2 segments; in one of them the sets
   differ by at most one element, so the segment and each segment short of one
   element are indexed.
 
-The cost is the number of index entries plus PENALTY for each that a small segment
-would share by chance. Sets that share an index entry form candidate clusters.
+The cost is the number of index entries plus PENALTY times the chance that a set
+must be indexed again. Sets that share an index entry form candidate clusters.
 Each cluster's sets meet in one task, or in pairs of blocks where it has more than
 BLOCK elements, and all pairs there are verified exactly. Tasks return spanning
 edges and numbers of links, never pairs, so large groups cost no rows.
@@ -34,6 +35,7 @@ carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.components import components
-from roadloom.llm.shared import stash
+from roadloom.llm.shared import discard, stash
 from roadloom.llm.tokencount import slices
 
-PENALTY = 100.0
+PENALTY = 128.0
+#: Under so many elements in a segment, those of one element are skipped too: unrelated sets with a passage in common share such.
+DENSE = 4.5
+#: How far a band reaches, as a power of the size ratio that linked sets may have.
+REACH = 1.0
 CUTS = 4
 BLOCK = 400_000
 #: Up to so many candidate sets (of 24 bytes) are broadcast to the scan that fetches their texts.
@@ -82,12 +88,23 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _more_than(n: int, mean: float) -> float:
+    """A bound on the chance of more than n events where mean are expected (Bernstein's; exact for n = 0)."""
+    if n == 0:
+        return 1 - math.exp(-mean)
+    return math.exp(-((n - mean) ** 2) / (2 * (mean + (n - mean) / 3))) if n > mean else 1.0
+
+
+def _identity(elements: np.ndarray) -> int | None:
+    return int.from_bytes(xxhash.xxh3_64_digest(elements.tobytes()), "little", signed=True) if len(elements) else None
+
+
 class Plan:
     """The bands of a threshold num/den, and each band's way of indexing."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.bands: list[tuple[int, int, int, bool]] = []  # least size, greatest, segments, by deletions
+        self.bands: list[tuple[int, int, int, int]] = []  # least size, greatest, segments, size up to which they are skipped (-1: by deletions)
 
     def differ(self, a: int, b: int) -> int:
         """How many elements linked sets of these sizes may differ in."""
@@ -96,17 +113,31 @@ class Plan:
     def _grow(self, size: int) -> None:
         low = self.bands[-1][1] + 1 if self.bands else 1
         while low <= size:
-            high = low * self.den // self.num
+            high = int(low * (self.den / self.num) ** REACH)
             h = self.differ(high, high)
-            slack = h // 25 + (h >= 8)
-            plain, half = h + 1 + slack, (h + 2) // 2
-            cost = plain + PENALTY * plain * 2.0 ** (-low / plain)
-            by_deletion = half + high + PENALTY * half * 2.0 ** (-low / half)
-            self.bands.append((low, high, half, True) if h and by_deletion < cost else (low, high, plain, False))
+            half = (h + 2) // 2
+            # the segment plan: a little slack for empty segments; where segments are small, more, for those of one element too
+            small, plain = 0, h + 1 + h // 25 + (h >= 8)
+            if h >= 8 and low / plain < DENSE:
+                for m in range(h + 1, h + h // 2 + 2, 1 + h // 64):
+                    if self._again(m, low, high, 1) < 0.3:
+                        small, plain = 1, m
+                        break
+            cost = plain + PENALTY * self._again(plain, low, high, small)
+            self.bands.append((low, high, half, -1) if h and half + high < cost else (low, high, plain, small))
             low = high + 1
 
-    def of(self, size: int) -> list[tuple[int, int, int, bool]]:
-        """(band, segments, empty segments it may skip, by deletions) for each band where a set of this size is indexed.
+    def _again(self, m: int, low: int, high: int, small: int) -> float:
+        """The chance that a set has more small segments than the slack, at the worse end of a band."""
+        worst = 0.0
+        for n in (low, high):
+            t = n / m
+            mean = m * math.exp(-t) * (1 + t if small else 1)
+            worst = max(worst, _more_than(m - 1 - self.differ(n, min(high, n * self.den // self.num)), mean))
+        return worst
+
+    def of(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(band, segments, number of small ones it may skip, small) for each band where a set of this size is indexed.
 
         None where only equal sets can link.
         """
@@ -114,13 +145,13 @@ class Plan:
         self._grow(most)
         found = []
         for b in range(len(self.bands)):
-            low, high, m, deletions = self.bands[b]
+            low, high, m, small = self.bands[b]
             if high < size or low > most:
                 continue
             largest = min(high, most)
             h = self.differ(size, largest)
             if self.differ(high, high):
-                found.append((b, m, m - 1 - h, deletions))
+                found.append((b, m, m - 1 - h, small))
         return found
 
 
@@ -128,7 +159,7 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
     """The index entries (64-bit) of each set."""
     out: list[list[np.ndarray]] = [[] for _ in sets]
     todo = [(i, *p) for i, s in enumerate(sets) if len(s) for p in plan.of(len(s))]
-    for i, b, m, _, _ in [t for t in todo if t[4]]:
+    for i, b, m, _, _ in [t for t in todo if t[4] < 0]:
         s = sets[i]
         seg = ((s * _P) >> np.uint64(32)) % np.uint64(m)
         own = _mix(s)
@@ -136,7 +167,7 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
         np.add.at(sums, seg.astype(np.int64), own)
         tag = _mix(np.arange(m, dtype=np.uint64) + np.uint64((b << 32) + (1 << 63)))
         out[i] += [_mix(sums ^ tag), _mix((sums[seg.astype(np.int64)] - own) ^ tag[seg.astype(np.int64)])]
-    todo = [t for t in todo if not t[4]]
+    todo = [t for t in todo if t[4] >= 0]
     for cut in range(CUTS):
         if not todo:
             break
@@ -144,6 +175,7 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
         band = np.array([t[1] for t in todo], np.uint64)
         m = np.array([t[2] for t in todo], np.int64)
         may = np.array([t[3] for t in todo], np.int64)
+        small = np.array([t[4] for t in todo], np.int64)
         sizes = np.array([len(sets[i]) for i in who])
         all_of = np.concatenate([sets[i] for i in who])
         row = np.repeat(np.arange(len(who)), sizes)
@@ -157,13 +189,14 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
         at = np.repeat(np.arange(len(who)), m)
         tag = _mix((np.arange(total) - base[at]).astype(np.uint64) + (band[at] << np.uint64(32)) + np.uint64(cut << 60))
         entries = _mix(sums ^ tag)
-        empty = np.add.reduceat((counts == 0).astype(np.int64), base)
+        large = counts > small[at]
+        skipped = np.add.reduceat((~large).astype(np.int64), base)
         last = cut == CUTS - 1
         ends = base + m
         for j, i in enumerate(who.tolist()):
             e = entries[base[j] : ends[j]]
-            out[i].append(e if last else e[counts[base[j] : ends[j]] > 0])
-        todo = [t for t, n, k in zip(todo, empty, may, strict=True) if n > k]
+            out[i].append(e if last else e[large[base[j] : ends[j]]])
+        todo = [t for t, n, k in zip(todo, skipped, may, strict=True) if n > k]
     return [np.unique(np.concatenate(o)) if o else np.empty(0, np.uint64) for o in out]
 
 
@@ -234,7 +267,7 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) ->
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, n) for t in part.column("text").to_pylist()]
-                ids = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True) if len(s) else None for s in sets]
+                ids = [_identity(s) for s in sets]
                 new = [i for i, x in enumerate(ids) if x is not None and not (x in seen or seen.add(x))]
                 entries: list = [None] * len(sets)
                 for i, e in zip(new, index_entries([sets[i] for i in new], plan), strict=True):
@@ -244,12 +277,14 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) ->
                     names=["doc_id", "key", "set_id", "n_shingles", "entries"],
                 )
 
-    indexed = stash(docs.mapInArrow(index, DOCS), "ngram-index")
+    whole = stash(docs.mapInArrow(index, DOCS), "ngram-index")
+    indexed = stash(whole.drop("entries"), "ngram-sets")
     classes = indexed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    entries = indexed.where("entries IS NOT NULL").select("set_id", F.explode("entries").alias("e"))
+    entries = whole.where("entries IS NOT NULL").select("set_id", F.explode("entries").alias("e"))
     # a running window: rows stream through, however many share an entry
     edges = entries.selectExpr("first_value(set_id) OVER (PARTITION BY e ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a", "set_id AS b").where("a <> b")
     clusters = stash(components(edges), "ngram-clusters")
+    discard(whole)
 
     sets = clusters.join(classes, clusters["node"] == classes["set_id"]).select("set_id", "component", "key", "copies", "n")
     blocks = clusters.join(classes, clusters["node"] == classes["set_id"]).groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -259,20 +294,23 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) ->
     texts = docs.join(F.broadcast(wanted) if few else wanted, "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 got = [shingles(t, n) for t in part.column("text").to_pylist()]
-                same = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True) == i for s, i in zip(got, part.column("set_id").to_pylist(), strict=True)]
+                # one key may have several texts, and a text several rows
+                new = [_identity(s) == i and not (i in seen or seen.add(i)) for s, i in zip(got, part.column("set_id").to_pylist(), strict=True)]
                 part = part.drop_columns(["text"]).append_column("elements", pa.array([s.tobytes() for s in got], pa.binary()))
-                yield part.filter(pa.array(same))  # one key may have several texts
+                yield part.filter(pa.array(new))
 
     schema = "set_id long, component long, copies long, blocks int, block int, elements binary"
-    fetched = texts.select("text", "set_id", "component", "copies", "blocks", "block").mapInArrow(fetch, schema).dropDuplicates(["set_id"])
+    fetched = texts.select("text", "set_id", "component", "copies", "blocks", "block").mapInArrow(fetch, schema)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     tasks = fetched.withColumn("_p", F.explode(pair)).select("set_id", "component", "copies", "blocks", "block", "elements", "_p.i", "_p.j")
 
     def verify(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("block", "set_id", "copies", "elements")), strict=True), key=lambda r: r[:2])
+        found = {r[1]: r for r in zip(*(group.column(c).to_pylist() for c in ("block", "set_id", "copies", "elements")), strict=True)}
+        rows = sorted(found.values(), key=lambda r: r[:2])
         left = sum(r[0] == rows[0][0] for r in rows)
         crossed = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         if crossed and left == len(rows):

@@ -34,7 +34,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     where = new_dir(spark, name)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    back = spark.read.schema(df.schema).parquet(where)
+    back.stashed_at = where
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stash() wrote, once nothing that is still to run reads it."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def n_words(text: Column) -> Column:
