@@ -3,10 +3,15 @@
 An anchor is a common word of one of four languages. Where it stands, the next
 CHAIN content words (words that are no anchors), taken every STEP words, form a
 signature; a document's fingerprint is its set of signatures, written as sorted
-8-digit hex numbers. Chains of fewer words at the end of a text count too. A
-text with words but no signature is fingerprinted by a hash of all its words.
+8-digit hex numbers. Chains of fewer words at the end of a text count too.
 Likeness is the Jaccard coefficient of two fingerprints.
 
+Passages without anchors (other languages, tables) have chains as well: every word
+with no anchor among the GAP words before it starts one. In a run of anchors those
+after the first GAP are content too. Both are decided by the words just before, so
+a passage keeps its signatures whatever the rest of the text is. Only where
+all this gives nothing (a few anchors alone) does every word start a chain.
+
 similar_pairs() partitions fingerprints by the number of signatures, so that only
 neighbouring length classes can reach the threshold, indexes each set's rarest
 signatures and verifies with early stops.
@@ -22,6 +27,7 @@ Extra columns are not carried.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +48,14 @@ COMMON = (
     "al como con cuando de del desde donde el ella ellos era esta este ha hay las lo los me mi muy más ni no nos o para pero por porque sin sobre su sus también te tu y ya"
 ).split()
 ANCHORS = frozenset(COMMON)
-#: Of the anchors, those at which chains start.
-SPOTS = frozenset("a an and by for in is it of on that the this to with dans de des du en et la le les par pour qui un une das der die ein eine im ist mit und von zu con del el en las los no por que se su y".split())
+#: So many words without an anchor, and chains start at every word until the next.
+GAP = 8
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _STRIP = ".,;:!?\"'()[]{}|«»„“”…-"
 
 
 class Words:
-    """Word codes: a hash, and whether the word is an anchor or a spot. Kept per worker, up to KEEP words."""
+    """Word codes: a hash, and whether the word is an anchor. Kept per worker, up to KEEP words."""
 
     KEEP = 400_000
 
@@ -56,7 +63,7 @@ class Words:
         self.known: dict[str, int] = {}
 
     def codes(self, text: str) -> np.ndarray:
-        """64-bit codes of the words; bit 0: an anchor, bit 1: a spot; 0 for words of punctuation alone."""
+        """64-bit codes of the words; bit 0: an anchor; 0 for words of punctuation alone. Words lose all signs at their edges, but for words of signs alone."""
         words = text.lower().split()
         known = self.known
         try:
@@ -65,8 +72,8 @@ class Words:
             if len(known) > self.KEEP:
                 known.clear()
             for w in set(words).difference(known):
-                bare = w.strip(_STRIP)
-                code = (xxhash.xxh3_64_intdigest(bare) & ~3) | (bare in ANCHORS) | ((bare in SPOTS) << 1) if bare else 0
+                bare = _EDGES.sub("", w) or w.strip(_STRIP)
+                code = (xxhash.xxh3_64_intdigest(bare) & ~3) | 2 | (bare in ANCHORS) if bare else 0
                 known[w] = code
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -76,18 +83,22 @@ def signatures(codes: np.ndarray) -> np.ndarray:
     codes = codes[codes != 0]
     if not len(codes):
         return np.empty(0, np.uint32)
-    content = np.nonzero((codes & np.uint64(1)) == 0)[0]
-    spots = np.nonzero(codes & np.uint64(2))[0]
-    first = np.searchsorted(content, spots)
-    spots, first = spots[first < len(content)], first[first < len(content)]
-    if len(spots):
-        words = np.concatenate((codes[content], np.zeros(CHAIN * STEP, np.uint64)))
-        h = codes[spots] * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(CHAIN):
-            h = (h ^ words[first + i * STEP]) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-    else:
-        h = np.array([xxhash.xxh3_64_intdigest(codes.tobytes())], np.uint64)
+    anchor = (codes & np.uint64(1)) == 1
+    at = np.arange(len(codes))
+    since_content = at - np.maximum.accumulate(np.where(anchor, -1, at))
+    since_anchor = at - np.maximum.accumulate(np.where(anchor, at, -GAP - 1))
+    content = np.nonzero(~anchor | (since_content > GAP))[0]
+    spots = np.nonzero(anchor | (since_anchor > GAP))[0]
+    first = np.searchsorted(content, spots, "right")
+    some = (first < len(content)) | ~anchor[spots]
+    spots, first = spots[some], first[some]
+    if not len(spots):
+        content, spots, first = at, at, at + 1
+    words = np.concatenate((codes[content], np.zeros(CHAIN * STEP, np.uint64)))
+    h = codes[spots] * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(CHAIN):
+        h = (h ^ words[first + i * STEP]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
     return np.unique((h >> np.uint64(16)).astype(np.uint32))
 
 
