@@ -16,7 +16,7 @@ from roadloom.llm.shared import stash
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language is less likely than this is rejected, as is one without letters.
 LEAST_SCORE = 0.3
-#: Up to so many removed ids are broadcast to the scan that drops them.
+#: Up to so many removed rows are broadcast to the scan that drops them.
 BROADCAST_IDS = 1_000_000
 
 
@@ -28,19 +28,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest doc_id stays.
+    """Of each group linked by five-word shingles at a similarity of 0.8, one row stays: the smallest by doc_id (null is last), then by hash of id and text.
 
-    Rows that repeat a kept document's id and text are one document. A row
-    without doc_id can't be told from others like it and stays.
+    Rows are told apart by id and text together, so repeated and null ids are decided
+    like others. Rows that agree in both are one document.
     """
-    groups = stash(ngramjoin.ngram_join(docs.select("doc_id", "text"), n=5, num=80, den=100), "near-duplicates")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    groups = stash(ngramjoin.ngram_join(docs.select("doc_id", "text"), n=5, num=80, den=100, rows=True), "near-duplicates")
+    least_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = groups.where(least_id).groupBy("group_id").agg(F.min("row_id").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    several = stash(several.select("group_id", "stays"), "near-duplicates-several")
+    later = groups.where(least_id).join(several, "group_id").where("row_id <> stays").select("row_id")
+    gone = groups.where(~least_id).select("row_id").unionByName(later).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    rows = docs.select(*COLUMNS).withColumn("row_id", ngramjoin.row_identity())
+    kept = rows.join(F.broadcast(gone) if few else gone, "row_id", "left_anti")
+    if several.limit(1).count():
+        # they may have copies
+        stays = several.select(F.col("stays").alias("row_id"))
+        once = kept.join(stays, "row_id", "left_semi").groupBy("row_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("row_id", "d.*")
+        kept = kept.join(stays, "row_id", "left_anti").unionByName(once)
     return kept.select(*COLUMNS)
 
 

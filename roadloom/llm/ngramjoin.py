@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.components import components
@@ -250,17 +250,27 @@ def linked(sets: list[np.ndarray], weights: list[int], left: int, num: int, den:
     return back, out
 
 
+def row_identity() -> Column:
+    """64 bits for a row's id and text: rows that agree in both are copies of one document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 DOCS = "doc_id long, key long, set_id long, n_shingles long, entries array<long>"
 
 
-def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, rows: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text).
 
     Two rows link when den * |A and B| >= num * |A or B|. n_links counts rows.
+    With rows, also row_id (row_identity) and group_id, which is the same in all rows
+    of a component whatever their ids; a row without n-grams is in the group of its row_id.
     """
     # where the text of a set is found again: a row's id, or for want of one its text's hash
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", key)
+    if rows:
+        docs = docs.withColumn("row_id", row_identity())
+    more = ["row_id"] if rows else []
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
@@ -273,11 +283,11 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) ->
                 for i, e in zip(new, index_entries([sets[i] for i in new], plan), strict=True):
                     entries[i] = e.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(entries, pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "set_id", "n_shingles", "entries"],
+                    [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(entries, pa.list_(pa.int64())), *(part.column(c) for c in more)],
+                    names=["doc_id", "key", "set_id", "n_shingles", "entries", *more],
                 )
 
-    whole = stash(docs.mapInArrow(index, DOCS), "ngram-index")
+    whole = stash(docs.mapInArrow(index, DOCS + "".join(f", {c} long" for c in more)), "ngram-index")
     indexed = stash(whole.drop("entries"), "ngram-sets")
     classes = indexed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     entries = whole.where("entries IS NOT NULL").select("set_id", F.explode("entries").alias("e"))
@@ -329,9 +339,10 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100) ->
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     named = classes.join(labels, "set_id", "left").join(links, "set_id", "left").select("set_id", "rep", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    per_set = named.join(least, "label").select("set_id", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = indexed.select("doc_id", "n_shingles", "set_id").join(per_set, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    per_set = named.join(least, "label").select("set_id", "component_id", *(["label"] if rows else []), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = indexed.select("doc_id", "n_shingles", "set_id", *more).join(per_set, "set_id", "left")
+    named_rows = [F.col("row_id"), F.coalesce("label", "row_id").alias("group_id")] if rows else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *named_rows)
 
 
 def _verified(ids, to, links, blocks: int) -> pa.Table:

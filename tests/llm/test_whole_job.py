@@ -39,3 +39,30 @@ def test_signs_at_the_edges_hide_no_anchor():
 def test_every_anchor_starts_a_chain():
     one = lambda t: set(spotsigs.signatures(spotsigs._WORDS.codes(t)).tolist())
     assert len(one("we house they tree from river")) == 3
+
+
+# -- pipeline: one row of each group
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "xyzuvw"}
+    near = lambda k, *at: " ".join("changed" if i in at else w for i, w in enumerate(base[k]))
+    rows = [
+        *[(3, near("x")), (5, near("x")), (5, near("y"))],  # the second text of 5 has no copy
+        *[(7, near("z")), (7, near("z", 59)), (7, near("z"))],  # one id, near texts
+        *[(None, near("u")), (None, near("u", 59)), (None, near("u")), (None, near("u", 0))],
+        *[(None, near("v")), (9, near("v", 59))],  # an id goes before none
+        *[(None, near("w")), (None, None), (None, ""), (11, None)],
+    ]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", 0) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs.repartition(4), "").collect()]
+    assert len(got) == len(set(got))
+    one_of = lambda k: [(d, t) for d, t in got if t and ("%s30" % k) in t.split()]
+    assert one_of("x") == [(3, near("x"))]
+    assert one_of("y") == [(5, near("y"))]
+    assert len(one_of("z")) == len(one_of("u")) == 1
+    assert one_of("v") == [(9, near("v", 59))]
+    assert one_of("w") == [(None, near("w"))]
+    assert {(11, None), (None, None), (None, "")} <= set(got)
