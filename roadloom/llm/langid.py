@@ -1,7 +1,7 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Fitting, on a sample of at most PER_LANG labelled rows of each language (the
-smallest by hash of their id; the bound is what the driver ever holds): executors
+smallest by hash of id, language and text; the bound is what the driver ever holds): executors
 turn whole texts into hashed n-gram counts; the driver computes IDF over the
 sample, trains by follow-the-regularised-leader (per-coordinate, elastic net),
 and fits one softmax temperature on a fifth of the sample kept out of training.
@@ -17,6 +17,7 @@ predict() unless named like a result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,37 +114,43 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, *, alpha:
 def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     """labelled: (doc_id, text, lang). Rows without text or lang teach nothing."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    # the window sees ids alone; the limit is pushed below its shuffle
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    bound = sorted({r["doc_id"] for r in ids.orderBy("k", "lang").limit(MAX_ROWS).collect()})
-    if not bound:
+    known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("long"), "lang", "text").alias("key"))
+    # the window sees hashes alone; the limit is pushed below its shuffle. Rows of one key are repeated rows
+    order = Window.partitionBy("lang").orderBy("key")
+    keys = known.select("key", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    times = Counter(r["key"] for r in keys.orderBy("k", "lang").limit(MAX_ROWS).collect())
+    if not times:
         return Model([], np.zeros(BINS), np.zeros((BINS, 0)), np.zeros(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            new = [k not in seen and not seen.add(k) for k in b.column("key").to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
             got = []
             for t in b.column("text").to_pylist():
                 c = bin_counts(t)
                 at = np.nonzero(c)[0]
                 got.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(got, pa.binary())], names=["doc_id", "lang", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(got, pa.binary())], names=["key", "lang", "counts"])
 
-    chosen = known.where(F.col("doc_id").isin(bound)).select(F.col("doc_id").cast("long"), "lang", "text")
-    sample = chosen.mapInArrow(count, "doc_id long, lang string, counts binary").collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["counts"]))
+    chosen = known.where(F.col("key").isin(list(times))).select("key", "lang", "text")
+    # copies of a row may lie in several tasks: one comes to the driver
+    sample = chosen.mapInArrow(count, "key long, lang string, counts binary").dropDuplicates(["key"]).collect()
+    sample.sort(key=lambda r: r["key"])
     langs = sorted({r["lang"] for r in sample})
-    rows = []
+    rows, kept_out = [], []
     df = np.zeros(BINS)
-    for r in sample:
+    for i, r in enumerate(sample):
         both = np.frombuffer(r["counts"], "<u4")
         at, c = both[: len(both) // 2].astype(np.int64), both[len(both) // 2 :].astype(np.float64)
-        df[at] += 1
-        rows.append((at, c, langs.index(r["lang"])))
+        df[at] += times[r["key"]]
+        rows += [(at, c, langs.index(r["lang"]))] * times[r["key"]]
+        kept_out += [i % 5 == 4] * times[r["key"]]
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     rows = [(at, _tfidf(c, idf[at]), y) for at, c, y in rows]
-    apart = [i for i in range(len(rows)) if i % 5 == 4]
-    weights, bias = ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(langs))
+    apart = [i for i, out in enumerate(kept_out) if out]
+    weights, bias = ftrl([r for r, out in zip(rows, kept_out, strict=True) if not out], len(langs))
     model = Model(langs, idf, weights, bias)
     if apart:
         z = np.array([rows[i][1] @ weights[rows[i][0]] + bias for i in apart])

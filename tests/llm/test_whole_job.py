@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from roadloom.llm import spotsigs
+from roadloom.llm import langid, spotsigs
 
 # -- op3_document_fingerprints
 
@@ -66,3 +66,18 @@ def test_near_duplicates_by_row(spark):
     assert one_of("v") == [(9, near("v", 59))]
     assert one_of("w") == [(None, near("w"))]
     assert {(11, None), (None, None), (None, "")} <= set(got)
+
+
+# -- op2_language_id, pipeline: the sample
+
+
+def test_sample_is_bounded_in_rows_and_takes_null_ids(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda lang: " ".join(rng.choice({"en": ("the", "thing", "other"), "de": ("schule", "ein", "ungern")}[lang]) for _ in range(12))
+    rows = [(4, text("en"), "en") for _ in range(300)] + [(4, "the one thing", "en")] * 200 + [(None, text("de"), "de") for _ in range(300)]
+    seen = []
+    real = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda r, *a, **k: seen.append(len(r)) or real(r, *a, **k))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_lang=50)
+    assert model.langs == ["de", "en"] and 0 < seen[0] <= 100
+    assert model.predict("schule ungern")[0] == "de" and model.predict("other thing")[0] == "en"
