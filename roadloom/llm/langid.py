@@ -2,8 +2,8 @@
 
 Fitting, on a sample of at most PER_LANG labelled rows of each language (the
 smallest by hash of id, language and text; the bound is what the driver ever holds): executors
-turn whole texts into hashed n-gram counts; the driver computes IDF over the
-sample, trains by follow-the-regularised-leader (per-coordinate, elastic net),
+turn whole texts into hashed n-gram counts; the driver takes IDF from document
+frequencies over all labelled rows, trains by follow-the-regularised-leader (per-coordinate, elastic net),
 and fits one softmax temperature on a fifth of the sample kept out of training.
 Prediction runs in Arrow batches on whole texts with a weight table of fixed size.
 
@@ -111,6 +111,24 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, *, alpha:
     return w[:BINS], w[BINS]
 
 
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """(rows, in how many of them each bin occurs) of texts (text); a vector of BINS entries a task is summed in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BINS + 1, np.int64)
+        for b in batches:
+            df[BINS] += b.num_rows
+            for t in b.column("text").to_pylist():
+                df[:BINS] += bin_counts(t) > 0
+        at = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["bin", "n"])
+
+    total = np.zeros(BINS + 1, np.int64)
+    for r in texts.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        total[r["bin"]] = r["n"]
+    return int(total[BINS]), total[:BINS]
+
+
 def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     """labelled: (doc_id, text, lang). Rows without text or lang teach nothing."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -140,14 +158,13 @@ def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     sample.sort(key=lambda r: r["key"])
     langs = sorted({r["lang"] for r in sample})
     rows, kept_out = [], []
-    df = np.zeros(BINS)
     for i, r in enumerate(sample):
         both = np.frombuffer(r["counts"], "<u4")
         at, c = both[: len(both) // 2].astype(np.int64), both[len(both) // 2 :].astype(np.float64)
-        df[at] += times[r["key"]]
         rows += [(at, c, langs.index(r["lang"]))] * times[r["key"]]
         kept_out += [i % 5 == 4] * times[r["key"]]
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    n, df = document_frequencies(known)
+    idf = np.log((1 + n) / (1 + df)) + 1
     rows = [(at, _tfidf(c, idf[at]), y) for at, c, y in rows]
     apart = [i for i, out in enumerate(kept_out) if out]
     weights, bias = ftrl([r for r, out in zip(rows, kept_out, strict=True) if not out], len(langs))

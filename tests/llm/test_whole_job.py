@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from roadloom.llm import langid, spotsigs
@@ -81,3 +82,10 @@ def test_sample_is_bounded_in_rows_and_takes_null_ids(spark, monkeypatch):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_lang=50)
     assert model.langs == ["de", "en"] and 0 < seen[0] <= 100
     assert model.predict("schule ungern")[0] == "de" and model.predict("other thing")[0] == "en"
+
+
+def test_document_frequencies_are_of_all_labelled_rows(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} and {chr(97 + i % 7)}zz", "en" if i % 3 else "de") for i in range(200)] + [(900, None, "en"), (901, "unlabelled", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_lang=5)
+    df = sum((langid.bin_counts(t) > 0).astype(int) for _, t, _ in rows[:200])
+    assert np.allclose(model.idf, np.log(201 / (1 + df)) + 1)
