@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights: rows are left out, repeated, or, one for each source, cut."""
-    drawn = mixing.draw_rows(mixing.mix(docs.select(*COLUMNS)))
+    """Sources meet their target weights: documents are left out, taken or repeated, always whole."""
+    drawn = mixing.draw_rows(mixing.mix(docs.select(*COLUMNS), whole=True))
     return drawn.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -7,7 +7,8 @@
    permutation that every run repeats. The source is a stream of words in that
    order, read from the start again where the target exceeds its size; blocks of
    BLOCK words cut the stream. Whole documents are taken, except that the one on
-   which the target falls gives only its first words.
+   which the target falls gives only its first words or, with whole, is taken or
+   left as a whole, whichever ends nearer to the target.
 3. Splitting tree: the vector of all sources' block quotas is split in two, a
    multivariate hypergeometric draw, and each half again, down to the output
    shards. Each shard then owns a run of every source's permuted blocks, disjoint
@@ -128,7 +129,7 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 7) -> Da
     return by_source.select("source_key", starts.alias("starts"))
 
 
-def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, whole: bool = False) -> DataFrame:
     """Every row of docs with size, source_size, target, taken and draws: array of (epoch, words, shard, position).
 
     taken is the sum of the draws' words. position orders a shard's draws.
@@ -150,6 +151,8 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = 7, weights: tuple[
     def draw(epoch: Column) -> Column:
         at = epoch * F.col("source_size") + F.col("_start")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_goal") - at))
+        if whole:  # the part of it that is wanted decides
+            words = F.when(2 * words >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
         first = F.floor(at / block)
         shard = F.greatest(F.lit(0), F.size(F.filter("starts", lambda b: b <= first)) - 1)
         return F.struct(

@@ -89,3 +89,20 @@ def test_document_frequencies_are_of_all_labelled_rows(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_lang=5)
     df = sum((langid.bin_counts(t) > 0).astype(int) for _, t, _ in rows[:200])
     assert np.allclose(model.idf, np.log(201 / (1 + df)) + 1)
+
+
+# -- pipeline: mixing
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 90))) for i in range(150)}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.mix_sources(spark, docs, "").collect()
+    assert got and all(r["text"] == texts[r["doc_id"]] for r in got)
+    words = lambda s: sum(len(r["text"].split()) for r in got if r["source"] == s)
+    total = sum(len(t.split()) for t in texts.values())
+    for s, share in (("s0", 1 / 6), ("s1", 2 / 6), ("s2", 3 / 6)):
+        assert abs(words(s) - total * share) <= 45.5
