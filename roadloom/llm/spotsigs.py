@@ -14,7 +14,7 @@ all this gives nothing (a few anchors alone) does every word start a chain.
 
 similar_pairs() partitions fingerprints by the number of signatures, so that only
 neighbouring length classes can reach the threshold, indexes each set's rarest
-signatures and verifies with early stops.
+signatures and verifies by intersecting whole sets. No query calls it.
 
 Edge cases: null text is empty; an empty text (or one of white space) has the
 empty fingerprint, like another empty one 1.0 and like any other 0.0. Equal texts
