@@ -55,6 +55,18 @@ def cooldown_step(state: dict[str, int], tick: tuple[str | None, int], cooldown_
     return state | {kind: now}, True
 
 
+#: What ema_step says: how many values came, and their exponential mean.
+MEAN = "struct<n:bigint,mean:double>"
+
+
+def ema_step(state: dict | None, value: float | None, keep: float = 0.8) -> tuple[dict, dict]:
+    """The exponential mean after each value, begun again at a mean of zero or null, as ema_last with reseed_at_zero."""
+    n, mean = (state["n"], state["mean"]) if state else (0, None)
+    mean = value if not mean else None if value is None else keep * mean + (1 - keep) * value
+    state = {"n": n + 1, "mean": mean}
+    return state, state
+
+
 def churn(before: list[tuple], now: list[tuple], least: float = 0.4) -> float:
     """Share of boxes (x0, y0, x1, y1) that came or went; boxes are matched one to one, greedily in order, by overlap."""
     if not before and not now:
@@ -81,7 +93,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
     Rows are dealt by the keys and sorted inside the partition by Spark, which
     spills; the fold streams over them, so no key is ever gathered.
     """
-    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[kind]
+    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())])}[kind]
     schema = rows.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,8 +244,9 @@ def lens_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT user_id, list_reduce(v, lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.8::DOUBLE * a + (1 - 0.8::DOUBLE) * x END) AS ms FROM m)
 SELECT user_id, round(ms, 10) AS ms, CASE WHEN ms > 280 THEN 'THROTTLED' WHEN ms > 140 THEN 'REDUCED' ELSE 'NORMAL' END AS state, CASE WHEN ms > 280 THEN 1 WHEN ms > 140 THEN 3 ELSE 5 END AS fps FROM e""")
 def duty_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    e = e.withColumn("ms", folds.ema_last(F.transform("v", lambda x: x["value"]), reseed_at_zero=True))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    e = folds.fold(e, ["user_id"], ["ts", "event_id", "value"], ["value"], lambda: None, lambda st, t: folds.ema_step(st, t[0]), "said", folds.MEAN)
+    e = e.groupBy("user_id").agg(F.max("said")["mean"].alias("ms"))
     e = e.withColumn("duty", folds.duty_cycle(F.col("ms"), F.lit("NONE")))
     return e.select("user_id", r(F.col("ms")).alias("ms"), "duty.state", "duty.fps")
 
