@@ -1,38 +1,46 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+Edge cases: an edge with a null end, and one from a node to itself, says nothing:
+a node with no other edge is not in the result. Repeated edges count once. An
+empty table gives an empty result. Extra columns are not carried.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import discard, stash
+from roadloom.llm.shared import discard, join_groups, stash
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, n: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).select("u", F.least("u", "m").alias("m"), "n_rows")
+    return join_groups(both.where("v > u"), least, "u", n).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    met = down.join(least, "u")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+    met = join_groups(down, least, "u", n)
     return met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(met.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) longs. Returns node, component (its smallest node) of every node with an edge.
 
-    Each round is written to the shared folder. Ends when a round changes nothing.
+    Each half of a round is written to the shared folder. Ends when a round changes nothing.
+    A node with very many neighbours meets them by broadcast of its row, see join_groups().
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     e = stash(e, "edges")
-    said = None
+    n, said = e.count(), None
     while True:
-        before, e = e, stash(_small(_large(e)), "edges")
-        discard(before)
+        for step in (_large, _small):
+            before, e = e, stash(step(e, n), "edges")
+            discard(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        n = now["n"]
         if (now["n"], now["h"]) == said:
             break
         said = (now["n"], now["h"])

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.components import components
-from roadloom.llm.shared import discard, stash
+from roadloom.llm.shared import discard, give_back, join_groups, stash
 from roadloom.llm.tokencount import slices
 
 PENALTY = 128.0
@@ -57,10 +57,15 @@ CUTS = 4
 BLOCK = 400_000
 #: Up to so many candidate sets (of 24 bytes) are broadcast to the scan that fetches their texts.
 BROADCAST_ROWS = 500_000
-KEEP_WORDS = 400_000
+#: Texts are hashed in runs of about so many bytes, cut at white space.
+RUN = 1_000_000
+#: Bytes and documents of text that a worker holds as sets at once.
+SLICE_BYTES, SLICE_DOCS = 2_000_000, 2048
+#: Sets that a task remembers, so as not to index copies of them again.
+SEEN = 500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,23 +74,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's n-grams."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space alone
-    if not words:
-        return np.empty(0, np.uint64)
-    try:
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_WORDS) > KEEP_WORDS:
-            _WORDS.clear()
-        _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(_WORDS))
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = _mix((out * _P) ^ h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+#: A number for each byte, the same for a letter from A to Z and its lower case.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _P)
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word starts, its 64-bit hash): a polynomial in the numbers of its bytes."""
+    c = np.frombuffer(data, np.uint8)
+    starts, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    at = 0
+    while at < len(c):
+        to = min(at + RUN, len(c))
+        while to < len(c) and not _SPACE[c[to]]:
+            more = np.nonzero(_SPACE[c[to : to + RUN]])[0]
+            to = to + int(more[0]) if len(more) else min(to + RUN, len(c))
+        inside = ~_SPACE[c[at:to]]
+        edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+        first, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        if len(first):
+            sizes = end - first
+            powers = np.full(int(sizes.max()), _P)
+            powers[0] = 1
+            powers = np.cumprod(powers)
+            where = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(where, sizes)
+            terms = _BYTE[c[at:to][inside]] * powers[place]
+            starts.append(first + at)
+            hashes.append(_mix(np.add.reduceat(terms, where) ^ sizes.astype(np.uint64)))
+        at = to
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's n-grams."""
+    coded = [(t or "").encode() for t in texts]
+    starts, h = word_hashes(b" ".join(coded))
+    begins = np.cumsum([0, *(len(t) + 1 for t in coded)])
+    cuts = np.searchsorted(starts, begins).tolist()
+
+    def grams(h: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            out = _mix((out * _P) ^ h[i : len(h) - size + 1 + i])
+        return out
+
+    whole = grams(h, n) if len(h) >= n else h
+    sets = []
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        size = min(n, z - a)
+        sets.append(np.unique(whole[a : z - n + 1]) if size == n else grams(h[a:z], size) if size else np.empty(0, np.uint64))
+    return sets
 
 
 def _more_than(n: int, mean: float) -> float:
@@ -200,6 +239,29 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
     return [np.unique(np.concatenate(o)) if o else np.empty(0, np.uint64) for o in out]
 
 
+def first_holders(ids: list[int], entries: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What is left of each set's entries when one that several sets have stays with the first of them, and whom it ties each set to.
+
+    So a task sends an entry once, however many of its sets share it.
+    """
+    sizes = np.array([len(e) for e in entries], np.int64)
+    if not sizes.sum():
+        return entries, [np.empty(0, np.int64) for _ in entries]
+    flat = np.concatenate(entries)
+    who = np.repeat(np.arange(len(entries)), sizes)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate(([True], np.diff(flat[order]) != 0))
+    head = who[order][np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
+    stays = np.empty(len(flat), bool)
+    stays[order] = new
+    later = np.unique(who[order][~new] * len(entries) + head[~new])
+    tie, to = later // len(entries), later % len(entries)
+    cuts = np.cumsum(sizes)[:-1]
+    left = [e[k] for e, k in zip(entries, np.split(stays, cuts), strict=True)]
+    own = np.asarray(ids, np.int64)[to]
+    return left, np.split(own, np.searchsorted(tie, np.arange(1, len(entries))))
+
+
 def linked(sets: list[np.ndarray], weights: list[int], left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(a smallest linked-to index for each set, weighted number of links).
 
@@ -255,7 +317,7 @@ def row_identity() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-DOCS = "doc_id long, key long, set_id long, n_shingles long, entries array<long>"
+DOCS = "doc_id long, key long, set_id long, n_shingles long, entries array<long>, ties array<long>"
 
 
 def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, rows: bool = False) -> DataFrame:
@@ -274,44 +336,53 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, ro
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingles(t, n) for t in part.column("text").to_pylist()]
-                ids = [_identity(s) for s in sets]
-                new = [i for i, x in enumerate(ids) if x is not None and not (x in seen or seen.add(x))]
-                entries: list = [None] * len(sets)
-                for i, e in zip(new, index_entries([sets[i] for i in new], plan), strict=True):
-                    entries[i] = e.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(entries, pa.list_(pa.int64())), *(part.column(c) for c in more)],
-                    names=["doc_id", "key", "set_id", "n_shingles", "entries", *more],
-                )
+        for part in small_slices(batches):
+            sets = shingle_sets(part.column("text").to_pylist(), n)
+            ids = [_identity(s) for s in sets]
+            if len(seen) > SEEN:
+                seen.clear()
+            new = [i for i, x in enumerate(ids) if x is not None and not (x in seen or seen.add(x))]
+            left, ties = first_holders([ids[i] for i in new], index_entries([sets[i] for i in new], plan))
+            entries: list = [None] * len(sets)
+            tied: list = [None] * len(sets)
+            for i, e, t in zip(new, left, ties, strict=True):
+                entries[i], tied[i] = e.view(np.int64), t
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(tied, pa.list_(pa.int64())), *(part.column(c) for c in more)],
+                names=["doc_id", "key", "set_id", "n_shingles", "entries", "ties", *more],
+            )
+        give_back()
 
     whole = stash(docs.mapInArrow(index, DOCS + "".join(f", {c} long" for c in more)), "ngram-index")
-    indexed = stash(whole.drop("entries"), "ngram-sets")
+    indexed = stash(whole.drop("entries", "ties"), "ngram-sets")
     classes = indexed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    entries = whole.where("entries IS NOT NULL").select("set_id", F.explode("entries").alias("e"))
+    entries = whole.where("size(entries) > 0").select("set_id", F.explode("entries").alias("e"))
     # a running window: rows stream through, however many share an entry
     edges = entries.selectExpr("first_value(set_id) OVER (PARTITION BY e ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a", "set_id AS b").where("a <> b")
-    clusters = stash(components(edges), "ngram-clusters")
+    ties = whole.where("size(ties) > 0").select(F.explode("ties").alias("a"), F.col("set_id").alias("b"))
+    clusters = stash(components(edges.unionByName(ties)), "ngram-clusters")
     discard(whole)
 
-    sets = clusters.join(classes, clusters["node"] == classes["set_id"]).select("set_id", "component", "key", "copies", "n")
-    blocks = clusters.join(classes, clusters["node"] == classes["set_id"]).groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    wanted = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    wanted = stash(wanted, "ngram-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
+    sets = stash(clusters.join(classes, clusters["node"] == classes["set_id"]).select("set_id", "component", "key", "rep", "copies", "n"), "ngram-candidates")
+    discard(clusters)
+    blocks = sets.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
+    n_sets = sets.count()
+    wanted = join_groups(sets, blocks, "component", n_sets).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    wanted = stash(wanted.drop("n", "rep"), "ngram-wanted")
+    few = n_sets <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                got = [shingles(t, n) for t in part.column("text").to_pylist()]
-                # one key may have several texts, and a text several rows
-                new = [_identity(s) == i and not (i in seen or seen.add(i)) for s, i in zip(got, part.column("set_id").to_pylist(), strict=True)]
-                part = part.drop_columns(["text"]).append_column("elements", pa.array([s.tobytes() for s in got], pa.binary()))
-                yield part.filter(pa.array(new))
+        for part in small_slices(batches):
+            if len(seen) > SEEN:
+                seen.clear()  # a set may then be sent twice; verify() takes one
+            got = shingle_sets(part.column("text").to_pylist(), n)
+            # one key may have several texts, and a text several rows
+            new = [_identity(s) == i and not (i in seen or seen.add(i)) for s, i in zip(got, part.column("set_id").to_pylist(), strict=True)]
+            part = part.drop_columns(["text"]).filter(pa.array(new, pa.bool_()))
+            yield part.append_column("elements", pa.array([s.tobytes() for s, k in zip(got, new, strict=True) if k], pa.binary()))
+        give_back()
 
     schema = "set_id long, component long, copies long, blocks int, block int, elements binary"
     fetched = texts.select("text", "set_id", "component", "copies", "blocks", "block").mapInArrow(fetch, schema)
@@ -331,19 +402,29 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, ro
 
     found = tasks.groupBy("component", "i", "j").applyInArrow(verify, "set_id long, other long, links long, blocks int")
     found = stash(found, "ngram-links")
+    discard(wanted)
     # a cluster in one block is done; the forests of the others' blocks still have to meet
     apart = found.where("blocks > 1 AND set_id <> other").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
     labels = found.where("blocks = 1").select("set_id", F.col("other").alias("label"))
     if apart.limit(1).count():
         labels = labels.unionByName(components(apart).select(F.col("node").alias("set_id"), F.col("component").alias("label")))
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    named = classes.join(labels, "set_id", "left").join(links, "set_id", "left").select("set_id", "rep", "copies", F.coalesce("label", "set_id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    per_set = named.join(least, "label").select("set_id", "component_id", *(["label"] if rows else []), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    # only sets of candidate clusters have links; every other set is its own component
+    named = stash(sets.select("set_id", "rep", "copies").join(labels, "set_id").join(links, "set_id"), "ngram-named")
+    discard(sets)
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_rows"))
+    linked_sets = join_groups(named, least, "label", n_sets).select("set_id", "component_id", "label", "links")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    per_set = classes.join(linked_sets, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"), *([F.coalesce("label", "set_id").alias("label")] if rows else []), n_links.alias("n_links"))
     out = indexed.select("doc_id", "n_shingles", "set_id", *more).join(per_set, "set_id", "left")
     named_rows = [F.col("row_id"), F.coalesce("label", "row_id").alias("group_id")] if rows else []
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *named_rows)
 
 
+def small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "text", SLICE_BYTES, SLICE_DOCS)
+
+
 def _verified(ids, to, links, blocks: int) -> pa.Table:
     return pa.table({"set_id": pa.array(ids, pa.int64()), "other": pa.array(to, pa.int64()), "links": pa.array(links, pa.int64()), "blocks": pa.array([blocks] * len(ids), pa.int32())})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; in local mode an own one where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="roadloom-shared-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext.getCheckpointDir()
@@ -46,6 +51,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """At the end of a task: hands memory that its arrays had back to the machine, since workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: A group of more rows is joined by broadcast, unless a thousandth of all rows are more.
+HOT_ROWS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with groups: one row for each value of key, whose column n_rows says how many rows have it (and is dropped).
+
+    Groups of more than n_rows / 1000 rows, fewer than a thousand of them, are
+    broadcast, so that no task gets a hot group; the others are shuffled.
+    """
+    limit = max(HOT_ROWS, n_rows // 1000)
+    hot = F.broadcast(groups.where(F.col("n_rows") > limit).drop("n_rows"))
+    cold = groups.where(F.col("n_rows") <= limit).drop("n_rows")
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
