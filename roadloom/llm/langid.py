@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.llm.shared import discard, stash
+
 BINS = 1 << 14
 GRAMS = (1, 2, 3)
 PER_LANG = 600
 #: Of all languages together, the first rows of each before the second of any.
 MAX_ROWS = 12_000
 UNKNOWN = "und"
-#: Longer texts are counted in runs of so many characters, so that memory stays bounded.
+#: N-grams are hashed in runs of so many at a time, so that memory stays near the text's size.
 RUN = 200_000
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -42,15 +44,16 @@ _OTHER = re.compile(r"[\W\d_]+")
 def bin_counts(text: str) -> np.ndarray:
     """Counts of the text's hashed n-grams of lower-cased letters, words apart; length BINS."""
     total = np.zeros(BINS, np.int64)
-    for at in range(0, len(text), RUN):
-        s = " " + _OTHER.sub(" ", text[at : at + RUN].lower()).strip() + " "
-        c = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    whole = np.frombuffer((" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32)
+    for at in range(0, len(whole), RUN):
+        # the n-grams that start in this run; the last ones reach into the next
+        c = whole[at : at + RUN + max(GRAMS) - 1]
         h = np.zeros(len(c), np.uint32)
         for n in GRAMS:
             if len(c) < n:
                 break
             h = (h[: len(c) - n + 1] * np.uint32(0x01000193)) ^ c[n - 1 :]
-            mixed = (h ^ np.uint32((n * 0x9E3779B1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            mixed = (h[:RUN] ^ np.uint32((n * 0x9E3779B1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             total += np.bincount(mixed >> np.uint32(18), minlength=BINS)
     return total
 
@@ -129,14 +132,36 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(total[BINS]), total[:BINS]
 
 
+def smallest(rows: DataFrame, per_lang: int) -> DataFrame:
+    """key, lang, k: the per_lang smallest keys of each language in rows (key: a hash, lang), repeated ones each, numbered by k.
+
+    A threshold on the key, from each language's number of rows, lets about four times
+    per_lang through to the window; where repeated keys make that too few, the threshold grows.
+    """
+    spark = rows.sparkSession
+    # a row for each language; of more than MAX_ROWS languages the first MAX_ROWS by name
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_ROWS).collect()}
+    factor = 4
+    while True:
+        bound = [(lang, int(min(2**64 * factor * per_lang // n, 2**64 - 1)) - 2**63) for lang, n in sizes.items()]
+        bounds = F.broadcast(spark.createDataFrame(bound, "lang string, bound long"))
+        order = Window.partitionBy("lang").orderBy("key")
+        found = rows.join(bounds, "lang").where("key <= bound").select("key", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+        if all(n <= factor * per_lang for n in sizes.values()):
+            return found
+        got = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+        if all(got.get(lang, 0) >= min(n, per_lang) for lang, n in sizes.items()):
+            return found
+        factor *= 64
+
+
 def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     """labelled: (doc_id, text, lang). Rows without text or lang teach nothing."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("long"), "lang", "text").alias("key"))
-    # the window sees hashes alone; the limit is pushed below its shuffle. Rows of one key are repeated rows
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = known.select("key", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    keys = stash(smallest(known.select("key", "lang"), per_lang), "language-sample")
     times = Counter(r["key"] for r in keys.orderBy("k", "lang").limit(MAX_ROWS).collect())
+    discard(keys)
     if not times:
         return Model([], np.zeros(BINS), np.zeros((BINS, 0)), np.zeros(0))
 

@@ -6,10 +6,9 @@ bucket's boundary. Inside each bucket, in the order of a hash of the id, batches
 of as many documents as fit the token budget are formed: padded tokens never
 exceed BUDGET unless one document alone does.
 
-Lengths up to EXACT are cells of their own in the histogram, longer ones share a
-cell with those within 1/512 of them, so the histogram the driver sees has a fixed
-bound (EXACT + 512 cells per doubling) whatever the table's size. A cell's
-boundary is its longest length. Within those cells the choice is optimal.
+The histogram is exact: one row per distinct length, which the driver reads. A corpus
+of 100 TB whose longest document has a million words has at most a million of them,
+24 MB, however many documents there are.
 
 Length is the number of words. Edge cases: null text has length 0. Documents
 longer than the budget are batches of their own, whole. Repeated rows are each
@@ -18,20 +17,13 @@ packed. An empty table gives an empty result. Extra columns are not carried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.shared import n_words, running_sum, stash
 
 BUCKETS = 16
 BUDGET = 65_536
-EXACT = 1024
-
-
-def cell(size):
-    """The histogram cell of a length, as a Column: the length, or its 10 leading bits beyond EXACT."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))) - 9, F.lit(0)))
-    return F.when(size <= EXACT, size.cast("double")).otherwise(F.floor(size / step) * step).cast("long")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -70,19 +62,20 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 5) -> DataFrame:
-    """doc_id, size, bucket, padded_size, batch (within the bucket), batch_docs_max for every row of docs (doc_id, text)."""
+def pack(docs: DataFrame, *, size: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 5) -> DataFrame:
+    """doc_id, size, bucket, padded_size, batch (within the bucket), batch_docs_max for every row of docs (doc_id, text).
+
+    size: a document's length, its number of words unless given (a column of token counts, for one).
+    """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     # the texts are read once; all that follows works on a few numbers for each row
-    rows = stash(docs.select("doc_id", n_words(F.col("text")).alias("size"), h.alias("_h"), F.xxhash64("text").alias("_t")), "sizes")
-    hist = rows.groupBy(cell(F.col("size")).alias("cell")).agg(F.max("size").alias("size"), F.count("*").alias("n"))
-    got = sorted((r["size"], r["n"]) for r in hist.collect())  # bounded, see above
-    cuts = boundaries([g[0] for g in got], [g[1] for g in got], buckets) or [0]
+    rows = stash(docs.select("doc_id", (n_words(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0))).alias("size"), h.alias("_h"), F.xxhash64("text").alias("_t")), "sizes")
+    hist = rows.groupBy("size").count().orderBy("size").toPandas()  # a row per distinct length, see above
+    cuts = boundaries(hist["size"].tolist(), hist["count"].tolist(), buckets) or [0]
     tops = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
     number = F.size(F.filter(tops, lambda c: c < F.col("size"))).cast("int")
     rows = rows.withColumn("bucket", number).withColumn("padded_size", F.element_at(tops, F.col("bucket") + 1))
-    rows = rows.withColumns({"_b": F.substring("_h", 1, 3), "_one": F.lit(1).cast("long")})
-    rows = running_sum(rows, ["bucket"], "_b", ["_h", "size", "_t"], "_one", "_rank")
+    rows = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), ["bucket"], "_h", ["_t"], "_one", "_rank")
     fit = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget}L div greatest(padded_size, 1L)"))
     rows = rows.withColumn("batch_docs_max", fit)
     return rows.select("doc_id", "size", "bucket", "padded_size", F.expr("_rank div batch_docs_max").alias("batch"), "batch_docs_max")

@@ -63,11 +63,13 @@ FROM p GROUP BY conv_id
 @query
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs, keep_text=False)
+    said = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"], d["words"])), " ")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", said.alias("draws"))
 
 
 ORACLES["op7_source_mixing"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
   FROM documents
@@ -82,15 +84,55 @@ WITH d AS (
 ), l AS (SELECT arg_min(level, o) FILTER (WHERE level * weight <= 3 * source_size) AS level FROM c
 ), g AS (
   SELECT source, source_size, coalesce(least(l.level * weight, (3 * source_size)::DOUBLE), 0.0) AS target FROM c, l
+), goals AS (
+  SELECT *, coalesce('s' || source, 'n') AS k, CAST(floor(target + 0.5) AS BIGINT) AS goal, CAST(ceil(floor(target + 0.5) / 1024) AS BIGINT) AS blocks FROM g
+), top AS (
+  SELECT list(blocks ORDER BY k) AS q, list(k ORDER BY k) AS ks, CAST(count(*) AS INTEGER) AS n,
+    CAST(greatest(4, least(8, ceil(log2(greatest(1, sum(goal)) / 16777216.0)))) AS INTEGER) AS levels
+  FROM goals
+), tree AS (
+  SELECT 0 AS level, 0 AS shard, 0 AS i, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_sum(q) // 2 AS BIGINT) AS draws, q, CAST([] AS BIGINT[]) AS l FROM top
+  UNION ALL
+  SELECT CASE WHEN i = n THEN level + 1 ELSE level END, CASE WHEN i = n THEN 2 * shard + side ELSE shard END, CASE WHEN i = n THEN 0 ELSE i + 1 END,
+    CASE WHEN i = n THEN CAST(list_sum(half) AS BIGINT) ELSE total - q[i + 1] END, CASE WHEN i = n THEN CAST(list_sum(half) // 2 AS BIGINT) ELSE draws - got END,
+    CASE WHEN i = n THEN half ELSE q END, CASE WHEN i = n THEN CAST([] AS BIGINT[]) ELSE list_append(l, got) END
+  FROM (
+    SELECT *, lo + least(hi - lo, len(list_filter(range(1, len(p) + 1), lambda m: list_sum(p[1:m]) <= unit))) AS got,
+      CASE WHEN side = 0 THEN l ELSE list_transform(range(1, n + 1), lambda m: q[m] - l[m]) END AS half
+    FROM (
+      SELECT *, list_transform(range(lo, hi + 1), lambda x: exp(
+          lgamma(good + 1) - lgamma(x + 1) - lgamma(good - x + 1) + lgamma(total - good + 1) - lgamma(draws - x + 1) - lgamma(total - good - draws + x + 1)
+          - lgamma(total + 1) + lgamma(draws + 1) + lgamma(total - draws + 1))) AS p
+      FROM (
+        SELECT *, CAST(greatest(0, draws + good - total, floor(mean - 10 * sd - 2)) AS BIGINT) AS lo, CAST(least(draws, good, ceil(mean + 10 * sd + 2)) AS BIGINT) AS hi
+        FROM (
+          SELECT *, CASE WHEN total > 1 THEN sqrt(greatest(0, mean * (1 - good / total) * (total - draws) / (total - 1))) ELSE 0 END AS sd
+          FROM (
+            SELECT tree.*, side, n, coalesce(tree.q[i + 1], 0) AS good, CASE WHEN total > 0 THEN draws * coalesce(tree.q[i + 1], 0) / total ELSE 0 END AS mean,
+              ('0x' || substring(md5('7:' || level || ':' || shard || ':' || coalesce(ks[i + 1], '')), 1, 13))::BIGINT / 4503599627370496.0 AS unit
+            FROM tree, top, (VALUES (0), (1)) sides(side) WHERE level < levels AND (side = 0 OR i = n)
+          )
+        )
+      )
+    )
+  )
+), leaves AS (SELECT shard, unnest(ks) AS k, unnest(tree.q) AS blocks FROM tree, top WHERE level = levels AND i = 0
+), runs AS (
+  SELECT k, shard, 1024 * (upto - blocks) AS first, least(1024 * upto, goal) AS last
+  FROM (SELECT k, shard, blocks, sum(blocks) OVER (PARTITION BY k ORDER BY shard) AS upto FROM leaves) JOIN (SELECT k, goal FROM goals) USING (k) WHERE blocks > 0
 ), r AS (
-  SELECT d.*, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS goal,
+  SELECT d.*, k, source_size, target, row_number() OVER () AS row,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source
+), given AS (
+  SELECT row, epoch, shard, CAST(least(last, begins + size) - greatest(first, begins) AS BIGINT) AS words
+  FROM (SELECT row, k, size, epoch, start + epoch * source_size AS begins FROM r, (VALUES (0), (1), (2)) e(epoch)) JOIN runs USING (k)
+  WHERE first < begins + size AND last > begins
 )
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size))
-     + greatest(0, least(size, goal - start - 2 * source_size)) AS BIGINT) AS taken
-FROM r
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(coalesce(sum(words), 0) AS BIGINT) AS taken,
+  coalesce(string_agg(epoch || ':' || shard || ':' || words, ' ' ORDER BY epoch, shard), '') AS draws
+FROM r LEFT JOIN given USING (row) GROUP BY row
 """
 
 

@@ -98,18 +98,29 @@ def range_part(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key.cast("long"))), F.lit(0)).cast("int")
 
 
-def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, into: str) -> DataFrame:
-    """Adds into: the sum of value over all rows before this one in (bucket, order), within group.
-
-    bucket must be a coarse, order-preserving cut of the order. No task sees a
-    whole group: rows are dealt by (group, bucket), only the buckets' sums meet.
-    group columns must not be null.
+def running_sum(df: DataFrame, group: list[str], h: str, ties: list[str], value: str, into: str) -> DataFrame:
+    """Adds into: the sum of value over all rows before this one in the order of (h, ties), within group.
+
+    h is a hash in hex. No task sees a whole group: rows are dealt by (group, the
+    first digits of h), only those buckets' sums meet. A bucket with over a
+    thousandth of all rows, as repeated ids make it, is dealt by the whole of h and the
+    tie, and if that isn't enough by the rows' place in df, which only tells apart rows
+    that agree in the order. df is a written table, so that a row keeps its place. group columns must not be null.
     """
-    keys = [*group, bucket]
-    rows = df.repartition(*[F.col(c) for c in keys])
+    tie = F.lpad(F.hex(F.xxhash64(*ties)), 16, "0")
+    rows = df.withColumns({"_b": F.substring(h, 1, 3), "_tie": tie, "_row": F.monotonically_increasing_id()})
+    limit = max(HOT_ROWS, df.count() // 1000)
+    place = F.lpad(F.hex(F.shiftright("_row", 33)), 8, "0")
+    for finer in (F.concat(h, F.substring("_tie", 1, 3)), F.concat(h, "_tie", place)):
+        hot = rows.groupBy(*group, "_b").count().where(F.col("count") > limit).select(*group, "_b", F.lit(True).alias("_hot"))
+        if not hot.limit(1).count():
+            break
+        rows = rows.join(F.broadcast(hot), [*group, "_b"], "left").withColumn("_b", F.when(F.col("_hot"), finer).otherwise(F.col("_b"))).drop("_hot")
+    keys = [*group, "_b"]
+    rows = rows.repartition(*[F.col(c) for c in keys])
     sums = rows.groupBy(*keys).agg(F.sum(value).alias("_in_bucket"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*keys, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy(h, "_tie", "_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(bases, keys).withColumn(into, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+    return rows.join(bases, keys).withColumn(into, F.col("_base") + F.col("_inner")).drop("_base", "_inner", "_b", "_row", "_tie")

@@ -217,6 +217,22 @@ def test_language_id(spark):
     assert langid.predict(t.limit(0), model).count() == 0
 
 
+def test_bin_counts_do_not_depend_on_the_run(monkeypatch):
+    text = "Ábc déf-ghi jk12 l m, nop " * 40
+    whole = langid.bin_counts(text)
+    for run in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "RUN", run)
+        assert np.array_equal(langid.bin_counts(text), whole)
+
+
+def test_smallest_keys_of_each_language(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(-(2**63), 2**63), "en") for _ in range(900)] + [(2**62, "de")] * 500 + [(5, "fr")]
+    got = sorted((r["lang"], r["k"], r["key"]) for r in langid.smallest(spark.createDataFrame(rows, "key long, lang string"), 20).collect())
+    want = [(lang, k + 1, x) for lang in ("de", "en", "fr") for k, x in enumerate(sorted(x for x, y in rows if y == lang)[:20])]
+    assert got == want
+
+
 def test_bin_counts_of_long_texts_are_of_the_whole():
     text = "abc def " * 60_000
     whole = langid.bin_counts(text)

@@ -108,7 +108,94 @@ def test_mixing_meets_targets(spark, seed):
     assert all(again[r["doc_id"]] == r["draws"] for r in got)
     drawn = mixing.draw_rows(m).collect()
     assert sum(len((r["text"] or "").split()) for r in drawn) == sum(r["taken"] for r in got)
-    assert {r["shard"] for r in drawn} <= set(range(mixing.SHARDS))
+    assert {r["shard"] for r in drawn} <= set(range(mixing.LEAST_SHARDS))
+
+
+def brute_mix(rows, block, shards, seed=7, tree=None):
+    """draws of every document, from a splitting tree in plain Python."""
+    from math import exp, floor, lgamma
+
+    def unit(level, shard, k):
+        return int(hashlib.md5(f"{seed}:{level}:{shard}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+
+    def hyper(t, g, d, u):
+        mean = d * g / t if t else 0.0
+        sd = max(0.0, mean * (1 - g / t) * (t - d) / (t - 1)) ** 0.5 if t > 1 else 0.0
+        lo, hi = max(0, d + g - t, floor(mean - 10 * sd - 2)), min(d, g, -floor(-(mean + 10 * sd + 2)))
+        lc = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+        x, cum = lo, 0.0
+        for k in range(lo, hi + 1):
+            if cum <= u:
+                x = k
+            cum += exp(lc(g, k) + lc(t - g, d - k) - lc(t, d))
+        return x
+
+    def split(level, shard, q):
+        if 2**level == shards:
+            return {shard: q}
+        total, draws, left = sum(q.values()), sum(q.values()) // 2, {}
+        for k in sorted(q, key=str.encode):
+            left[k] = hyper(total, q[k], draws, unit(level, shard, k))
+            total, draws = total - q[k], draws - left[k]
+        return split(level + 1, 2 * shard, left) | split(level + 1, 2 * shard + 1, {k: q[k] - left[k] for k in q})
+
+    key = lambda s: "n" if s is None else "s" + s
+    size = lambda t: len((t or "").split())
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    goals = {key(s): floor(x + 0.5) for s, x in targets(sizes).items()}
+    leaves = (tree or split)(0, 0, {k: -(-g // block) for k, g in goals.items()})
+    out = {}
+    for s in sizes:
+        at, k = 0, key(s)
+        runs, first = [], 0
+        for shard in sorted(leaves):
+            runs.append((shard, first * block, min((first + leaves[shard][k]) * block, goals[k])))
+            first += leaves[shard][k]
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()):
+            spans = [(e, at + e * sizes[s]) for e in range(3)]
+            met = [(e, shard, min(z, a + size(t)) - max(f, a)) for e, a in spans for shard, f, z in runs if z > f]
+            out[i] = [m for m in met if m[2] > 0]
+            at += size(t)
+    return out
+
+
+def test_mixing_against_a_plain_tree(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 400])), rng.choice(["a", "b", "b", "b", "b", None, "é"])) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64, shards=16).collect()
+    want = brute_mix(rows, 64, 16)
+    assert {r["doc_id"]: [(d["epoch"], d["shard"], d["words"]) for d in r["draws"]] for r in got} == want
+
+
+def test_what_is_taken_comes_from_the_tree(spark, monkeypatch):
+    rows = [(i, "w " * 50, "ab"[i % 2]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=16).collect()}
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: real(*a).withColumn("runs", F.slice("runs", 1, 3)))  # three shards alone
+    fewer = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=16).collect()}
+    assert all(fewer[i] <= plain[i] for i in plain) and 0 < sum(fewer.values()) < sum(plain.values()) / 2
+
+
+def test_shards_follow_the_input():
+    assert [mixing.n_shards(n) for n in (0, 10**6, 2**28 + 1, 2**30, 10**13)] == [16, 16, 32, 64, 256]
+
+
+def test_repeated_and_null_ids_are_dealt_by_text(spark, monkeypatch, tmp_path):
+    from roadloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    rows = [(7, f"t{i % 30}", i) for i in range(200)] + [(None, "same", i) for i in range(100)] + [(i, "x", i) for i in range(50)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, v long").selectExpr("*", "md5(coalesce(string(doc_id), 'null')) AS _h", "1L AS one", "'g' AS g")
+    t.repartition(3).write.parquet(str(tmp_path / "t"))
+    got = shared.running_sum(spark.read.parquet(str(tmp_path / "t")), ["g"], "_h", ["text"], "one", "before").collect()
+    assert sorted(r["before"] for r in got) == list(range(350))
+    order = sorted(got, key=lambda r: r["before"])
+    assert [r["_h"] for r in order] == sorted(r["_h"] for r in got)
+    texts = [r["text"] for r in order if r["doc_id"] == 7]
+    assert sum(a != b for a, b in itertools.pairwise(texts)) == 30  # "x" as well
 
 
 def test_mixing_edges(spark, docs):
@@ -133,11 +220,13 @@ def test_hypergeometric_is_right(spark):
 
 def test_splitting_tree_keeps_quotas(spark):
     q = {"sa": 1000, "sb": 3, "sc": 0, "n": 77}
-    got = {r["source_key"]: r["starts"] for r in mixing.splitting_tree(spark.createDataFrame(list(q.items()), "source_key string, blocks long"), 8).collect()}
+    got = {r["source_key"]: {x["shard"]: (x["first"], x["end"]) for x in r["runs"]} for r in mixing.splitting_tree(spark.createDataFrame(list(q.items()), "source_key string, blocks long"), 8).collect()}
     for s, n in q.items():
-        assert len(got[s]) == 8 and got[s][0] == 0 and got[s] == sorted(got[s]) and got[s][-1] <= n
-    ends = {s: [*got[s][1:], q[s]] for s in q}
-    per_shard = [sum(ends[s][i] - got[s][i] for s in q) for i in range(8)]
+        spans = [got[s][i] for i in sorted(got[s])]
+        assert all(a < b for a, b in spans) and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
+        assert not n or (spans[0][0], spans[-1][1]) == (0, n)
+    taken = {s: [got[s][i][1] - got[s][i][0] if i in got[s] else 0 for i in range(8)] for s in q}
+    per_shard = [sum(taken[s][i] for s in q) for i in range(8)]
     assert max(per_shard) - min(per_shard) <= 1 and sum(per_shard) == 1080
 
 
