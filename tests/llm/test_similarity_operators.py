@@ -279,7 +279,7 @@ def test_small_and_far_flung_tables_give_full_lists(spark):
     rows = [(i * 50, [float(i == j) * 10.0 ** (i % 4) for j in range(12)]) for i in range(12)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.nearest(t, F.col("vec_id") % 100 == 0, k=20, tables=2, probes=2).collect():
+    for r in ann.nearest(t, F.col("vec_id") % 100 == 0, k=20, tables=2, hashes=8, width=2.0, probes=2).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 600, 100))
     for q, mine in got.items():
@@ -292,11 +292,39 @@ def test_hot_slots_are_salted_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BROADCAST_SLOTS", 0)
     plain = sorted(map(tuple, ann.nearest(t, F.col("vec_id") % 100 == 0).collect()))
     monkeypatch.setattr(ann, "ROWS", 13)
     assert sorted(map(tuple, ann.nearest(t, F.col("vec_id") % 100 == 0).collect())) == plain
 
 
+def test_probes_come_in_order_of_cost():
+    """Against all perturbations of a few projections, with the codes of the buckets they lead to."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((5, 7))
+    for i, (tables, codes) in enumerate(ann.probe(v, 2, 4, 1.3, 11, 100)):
+        want = []
+        for t in range(2):
+            family = ann._family(11, 7, t, 4, 1.3)
+            cells, inside = ann._cells(v[i : i + 1], family)
+            for d in itertools.product((-1, 0, 1), repeat=4):
+                cost = sum(f**2 if x < 0 else (1 - f) ** 2 for f, x in zip(inside[0], d, strict=True) if x)
+                want.append((cost, t, int(ann._code(((cells[0] + np.array(d)) * family[2]).sum(), t))))
+        want.sort()
+        assert list(zip(tables.tolist(), codes.tolist(), strict=True)) == [w[1:] for w in want[:100]]
+
+
+def test_only_visited_buckets_are_compared(spark):
+    rng = np.random.default_rng(5)
+    t = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    few = ann.nearest(t, F.col("vec_id") % 100 == 0, k=1, tables=1, hashes=3, width=1.0, probes=3).count()
+    assert few == 6  # queries whose buckets are empty are compared with all rows
+    found = {r["query_id"]: (r["vec_id"], r["score"]) for r in ann.nearest(t, F.col("vec_id") % 100 == 0, k=1).collect()}
+    assert len(found) == 6
+
+
 # -- pipeline
 
 
