@@ -1,10 +1,13 @@
 """Chat formatting by prefix-target expansion, DataFrame functions only.
 
-A conversation becomes one formatted string. Every assistant turn is an example
-of its own: all turns before it are context, only its text is trained on. An
-example's text is a prefix of the formatted string, so an example is three
-numbers (end, and the loss span) and long conversations don't cost the square of
-their length; explode_examples() spells each example out.
+A conversation becomes one formatted string. explode_examples() makes an example of
+every assistant turn: a row of its own with all turns before it as context, and only
+its text trained on (the loss span). digest() reads roles, texts and loss spans back from
+those rows. A row's text is cut from the conversation's string when the row is made, so
+examples stream: they are never gathered, and what is grouped again for a conversation is
+its loss texts and lengths alone. In all, examples have the square of a conversation's
+length over two; store format_conversations() (a string and three numbers an example) where
+that is too much.
 
 A turn is written  [TURN role]\\n text </s>\\n  (without the blanks around text). In roles and texts the
 characters \\ < [ ] get a backslash after them, so no marker can occur in them;
@@ -14,8 +17,8 @@ Edge cases: null text, role: empty. Rows with the same turn number stand in the
 order of role, then text; repeated rows stay. A null turn number comes first. A
 null conv_id is a conversation like any other. Turns after the last assistant
 turn (or all, where there is none) form a last example without a loss span's
-text, so that no turn is lost. An empty table gives an empty result. Extra
-columns are not carried.
+text, so that no turn is lost. Texts of any length are whole. An empty table gives an
+empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -86,9 +89,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def explode_examples(formatted: DataFrame) -> DataFrame:
-    """One row per example with its whole text: conv_id, example, text, loss_start, loss_end (code points from 0)."""
-    e = formatted.select("conv_id", "text", F.explode("examples").alias("e"))
-    return e.select("conv_id", "e.example", F.substring("text", F.lit(1), F.col("e.end_char").cast("int")).alias("text"), "e.loss_start", "e.loss_end")
+    """One row per example with its whole text: conv_id, example, n_examples, text, loss_start, loss_end (code points from 0)."""
+    e = formatted.select("conv_id", "text", F.size("examples").alias("n_examples"), F.explode("examples").alias("e"))
+    return e.select("conv_id", "e.example", "n_examples", F.substring("text", F.lit(1), F.col("e.end_char").cast("int")).alias("text"), "e.loss_start", "e.loss_end")
 
 
 def read_turns(text: Column) -> Column:
@@ -107,24 +110,22 @@ def read_turns(text: Column) -> Column:
     return F.transform(whole, turn)
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """What the output says when read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    d = formatted.select(
-        "conv_id",
-        "examples",
-        read_turns(F.col("text")).alias("turns"),
-        F.transform(
-            "examples",
-            lambda e: unescape(F.substring(F.col("text"), (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))),
-        ).alias("losses"),
-    )
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    d = d.withColumn("loss", F.array_join("losses", ""))
-    return d.select(
+def digest(examples: DataFrame) -> DataFrame:
+    """What the exploded examples say when read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    All turns are read from the last example's text, a loss text from its own example.
+    """
+    is_last = F.col("example") == F.col("n_examples") - 1
+    turns = read_turns(F.col("text"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = unescape(F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    read = examples.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["end_char"]).alias("formatted_chars"),
+        F.struct("example", loss.alias("loss")).alias("l"),
+        F.length("text").cast("long").alias("chars"),
+        F.when(is_last, F.size(turns)).cast("long").alias("n"),
+        F.when(is_last, F.sha2(said, 256)).alias("sha"),
     )
+    whole = read.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max("sha").alias("turns_sha256"), F.sort_array(F.collect_list("l")).alias("l"), F.sum("chars").alias("formatted_chars"))
+    whole = whole.withColumn("loss", F.array_join(F.transform("l", lambda x: x["loss"]), ""))
+    return whole.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -36,7 +36,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(HOSTILE).alias("text"),
     )
-    return chat.digest(chat.format_conversations(rows.unionByName(own)))
+    return chat.digest(chat.explode_examples(chat.format_conversations(rows.unionByName(own))))
 
 
 ORACLES["op10_chat_formatting"] = r"""

@@ -41,7 +41,7 @@ def test_chat_round_trip(spark):
         want[c] = [(r or "", x or "") for _, r, x in turns]
     rng.shuffle(rows)
     f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, examples string"))
-    got = {r["conv_id"]: r for r in chat.digest(f).collect()}
+    got = {r["conv_id"]: r for r in chat.digest(chat.explode_examples(f)).collect()}
     examples = {}
     for r in chat.explode_examples(f).collect():
         examples.setdefault(r["conv_id"], []).append(r)
@@ -60,14 +60,28 @@ def test_chat_round_trip(spark):
 
 def test_chat_empty_repeated_and_null_turns(spark):
     schema = "conv_id long, turn long, role string, text string"
-    assert chat.digest(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+    assert chat.digest(chat.explode_examples(chat.format_conversations(spark.createDataFrame([], schema)))).count() == 0
     rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, None, "system", "s"), (None, 1, "assistant", "a")]
-    got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(spark.createDataFrame(rows, schema))).collect()}
+    got = {r["conv_id"]: r for r in chat.digest(chat.explode_examples(chat.format_conversations(spark.createDataFrame(rows, schema)))).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 0
     assert got[1]["turns_sha256"] == hashlib.sha256(b"system\ns\nuser\nq\nuser\nq\n").hexdigest()
     assert got[None]["loss_chars"] == 1
 
 
+def test_chat_loss_comes_from_each_example(spark):
+    """A change of one example's own row changes the digest, and long conversations are whole."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, t, ("user", "assistant")[t % 2], f"said {t}") for t in range(300)] + [(2, 0, "user", LONG), (2, 1, "assistant", LONG)]
+    e = chat.explode_examples(chat.format_conversations(spark.createDataFrame(rows, schema)))
+    got = {r["conv_id"]: r for r in chat.digest(e).collect()}
+    assert got[1]["n_turns"] == 300 and got[1]["loss_chars"] == sum(len(f"said {t}") for t in range(1, 300, 2))
+    assert got[2]["loss_chars"] == len(LONG) and got[2]["turns_sha256"] == hashlib.sha256((spoken("user", LONG) + spoken("assistant", LONG)).encode()).hexdigest()
+    assert e.where("conv_id = 1").count() == 150
+    changed = chat.digest(e.withColumn("text", F.when((F.col("conv_id") == 1) & (F.col("example") == 7), F.replace("text", F.lit("said 15"), F.lit("sung 15"))).otherwise(F.col("text"))))
+    other = {r["conv_id"]: r for r in changed.collect()}
+    assert other[1]["loss_sha256"] != got[1]["loss_sha256"] and other[1]["turns_sha256"] == got[1]["turns_sha256"]
+
+
 # -- mixing
 
 
@@ -269,6 +283,43 @@ def test_url_model_learns_and_is_stable(spark):
     assert not none.any() and prior < 0
 
 
+def test_url_model_on_held_out_rows(spark):
+    rows = urls.labelled()
+    assert len(rows) <= urls.MAX_LABELLED
+    w, b = urls.train(spark.createDataFrame([r for i, r in enumerate(rows) if i % 5], "url string, label int"))
+    out = spark.createDataFrame([(u, y, 1) for u, y in rows[::5]], "url string, want int, page_id long")
+    got = [(r["want"], r["score"]) for r in urls.judge(out, w, b).collect()]
+    assert sum((s >= 0.5) == bool(y) for y, s in got) / len(got) > 0.85
+    bad, good = [s for y, s in got if y], [s for y, s in got if not y]
+    assert sum(x > z for x in bad for z in good) / len(bad) / len(good) > 0.9
+
+
+def test_url_scores_against_brute_force(spark):
+    """Every score by the formula, over n-grams as strings of bytes; the verdicts where no rule fits vary."""
+    from math import exp, sqrt
+
+    w, b = urls.train(urls.labelled_table(spark))
+    mask = 2**64 - 1
+
+    def bin_of(gram, mark):
+        h = mark * 2654435761 + len(gram)
+        for c in gram:
+            h = (h * 1099511628211 & mask) ^ c
+        h ^= h >> 29
+        return (h * 0x9E3779B97F4A7C15 & mask) >> 50
+
+    pages = ["https://free-bets.example.com/en/1", "http://tionsh.example.net/fr/2.html?x", "http://best-casino.example.info/x", "http://é.example.com/ü", "", "x", "http://a", None]
+    t = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(t, w, b).collect()}
+    for i, u in enumerate(pages):
+        host, path, rule = judged(u)
+        grams = {bin_of(s[j : j + n], mark) for mark, s in ((1, f"^{host}$".encode()), (2, f"{path}$".encode())) for n in urls.GRAMS for j in range(len(s) - n + 1)}
+        z = b + sum(float(w[g]) for g in grams) / sqrt(max(1, len(grams)))
+        assert got[i]["score"] == pytest.approx(1 / (1 + exp(-z)), abs=1e-5)
+        assert rule or got[i]["verdict"] == ("block" if got[i]["score"] >= 0.5 else "allow")
+    assert {got[0]["verdict"], got[1]["verdict"]} == {"block", "allow"}
+
+
 # -- tokens
 
 HARD = ["", "a", "  a", "a\n\nb", " \n x", "x \n", "don't we'll", "\u00a0a", "a\u2003b c\u3000d", "\tq\t w", "x.\ny", "x.\n y", "é. ü!", "12 3.", "a  b   c", "<|endoftext|> hi", "</s> <s> <unk>", "\n", "\nA", "A\n", "日本 語。", "x\r\ny z\r\n", "🙂 🙂.", "\x1c a", "▁a ▁", None, "a\x00b \x00", " ", "   ", LONG, "ﬁ Å"]
