@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,28 +17,41 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it; without this each mention is an expression of its own."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _cell(v: Column, low: float, span: float, bits: int) -> Column:
     """The number of v's cell among 2**bits equal ones. A floor, then moved to agree with the cells' exact edges."""
     n = 1 << bits
     step = span / n  # a power-of-two fraction: edges are exact
-    i = F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(n - 1))
-    i = i + (v >= F.lit(low) + (i + 1) * F.lit(step)).cast("int") - (v < F.lit(low) + i * F.lit(step)).cast("int")
-    return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("bigint")
+
+    def to_edges(p: Column) -> Column:
+        v, i = p["v"], p["i"]
+        moved = i + (v >= F.lit(low) + (i + 1) * F.lit(step)).cast("int") - (v < F.lit(low) + i * F.lit(step)).cast("int")
+        return F.least(F.greatest(moved, F.lit(0)), F.lit(n - 1)).cast("bigint")
+
+    return let(F.struct(v.alias("v"), F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(n - 1)).alias("i")), to_edges)
 
 
 def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     """Geohash text; bits alternate, longitude first, and a value on an edge belongs to the upper cell."""
     bits = 5 * precision
     lon_bits, lat_bits = (bits + 1) // 2, bits // 2
-    x, y = _cell(lon, -180.0, 360.0, lon_bits), _cell(lat, -90.0, 180.0, lat_bits)
-    letters = []
-    for c in range(precision):
-        value = F.lit(0).cast("bigint")
-        for b in range(5 * c, 5 * c + 5):
-            source, at = (x, lon_bits - 1 - b // 2) if b % 2 == 0 else (y, lat_bits - 1 - b // 2)
-            value = F.shiftleft(value, 1).bitwiseOR(F.shiftright(source, at).bitwiseAND(F.lit(1)))
-        letters.append(F.substring(F.lit(BASE32), value.cast("int") + 1, F.lit(1)))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*letters))
+
+    def spell(cell: Column) -> Column:
+        letters = []
+        for c in range(precision):
+            value = F.lit(0).cast("bigint")
+            for b in range(5 * c, 5 * c + 5):
+                source, at = (cell["x"], lon_bits - 1 - b // 2) if b % 2 == 0 else (cell["y"], lat_bits - 1 - b // 2)
+                value = value.bitwiseOR(F.shiftleft(F.shiftright(source, at).bitwiseAND(F.lit(1)), 4 - b % 5))
+            letters.append(F.substring(F.lit(BASE32), value.cast("int") + 1, F.lit(1)))
+        return F.concat(*letters)
+
+    cell = F.struct(_cell(lon, -180.0, 360.0, lon_bits).alias("x"), _cell(lat, -90.0, 180.0, lat_bits).alias("y"))
+    return F.when(lat.isNotNull() & lon.isNotNull(), let(cell, spell))
 
 
 def geohash_center(text: Column, precision: int = 7) -> Column:
@@ -88,17 +102,26 @@ def solar_position(epoch_ms: Column, lat: Column, lon: Column) -> Column:
     days = epoch_ms / F.lit(86_400_000.0) + F.lit(2440587.5 - 2451545.0)
     mean_longitude = positive_mod(280.460 + 0.9856474 * days, 360.0)
     anomaly = positive_mod(357.528 + 0.9856003 * days, 360.0) * deg
-    ecliptic = (mean_longitude + 1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly)) * deg
-    tilt = (23.439 - 0.0000004 * days) * deg
-    ascension = F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic))
-    declination = F.asin(F.sin(tilt) * F.sin(ecliptic))
     hours = (epoch_ms % 86_400_000) / F.lit(3_600_000.0)
     sidereal = positive_mod(positive_mod(6.697375 + 0.0657098242 * days + hours, 24.0) + lon / 15.0, 24.0)
-    angle = sidereal * (15.0 * deg) - ascension
-    phi = lat * deg
-    elevation = F.asin(F.sin(phi) * F.sin(declination) + F.cos(phi) * F.cos(declination) * F.cos(angle))
-    azimuth = F.atan2(-F.sin(angle), F.tan(declination) * F.cos(phi) - F.sin(phi) * F.cos(angle))
-    return F.struct((elevation / deg).alias("elevation"), positive_mod(azimuth / deg + 360.0, 360.0).alias("azimuth"))
+    mean = F.struct(mean_longitude.alias("longitude"), anomaly.alias("anomaly"), ((23.439 - 0.0000004 * days) * deg).alias("tilt"), (sidereal * (15.0 * deg)).alias("sidereal"), (lat * deg).alias("phi"))
+
+    def along(m: Column) -> Column:
+        ecliptic = (m["longitude"] + 1.915 * F.sin(m["anomaly"]) + 0.020 * F.sin(2 * m["anomaly"])) * deg
+        return F.struct(ecliptic.alias("ecliptic"), *[m[c].alias(c) for c in ("tilt", "sidereal", "phi")])
+
+    def seen(m: Column) -> Column:
+        ascension = F.atan2(F.cos(m["tilt"]) * F.sin(m["ecliptic"]), F.cos(m["ecliptic"]))
+        declination = F.asin(F.sin(m["tilt"]) * F.sin(m["ecliptic"]))
+        return F.struct((m["sidereal"] - ascension).alias("angle"), declination.alias("dec"), m["phi"].alias("phi"))
+
+    def place(m: Column) -> Column:
+        angle, dec, phi = m["angle"], m["dec"], m["phi"]
+        elevation = F.asin(F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(angle))
+        azimuth = F.atan2(-F.sin(angle), F.tan(dec) * F.cos(phi) - F.sin(phi) * F.cos(angle))
+        return F.struct((elevation / deg).alias("elevation"), positive_mod(azimuth / deg + 360.0, 360.0).alias("azimuth"))
+
+    return let(let(let(mean, along), seen), place)
 
 
 def time_bucket(elevation: Column) -> Column:

@@ -238,7 +238,7 @@ def pixelate(rgb: np.ndarray, box: Box, block: int = 12) -> np.ndarray:
 
 STATS = (
     "mean double, std double, clip_low double, clip_high double, p50 double, p95 double, banding double, coverage double, line_count int, hough_conf double, mark_luma double, road_luma double, "
-    "grid array<double>, bright_frac double, largest_frac double, blob_count int, dark_channel double, vert_share double, edge_energy double, noise double, bottom_center double, top double, regions int"
+    "grid array<double>, bright_frac double, largest_frac double, blob_count int, dark_channel double, vert_share double, edge_energy double, noise double, whole_edges double, whole_mean double, bottom_center double, top double, regions int"
 )
 
 
@@ -251,13 +251,14 @@ def frame_stats(luma: np.ndarray, rgb: np.ndarray, before: np.ndarray | None = N
     blobs = bright_blobs(luma)
     area = max(1, h * w)
     sky = sobel(luma, (0, 0, w, h // 3))
-    bottom = luma_stats(luma, (w // 4, int(h * 0.6), w * 3 // 4, h), 2)["mean"]
-    s = luma_stats(luma)
+    bottom = luma_stats(luma, (int(w * 0.30), int(h * 0.6), int(w * 0.70), h), 2)["mean"]
+    s = luma_stats(luma, stride=2)
     return s | {
         "banding": row_banding(luma), "coverage": marks["coverage"], "line_count": lines, "hough_conf": conf, "mark_luma": marks["mark_luma"], "road_luma": marks["road_luma"],
         "grid": sharpness_grid(luma), "bright_frac": sum(b["size"] for b in blobs) / area, "largest_frac": max((b["size"] for b in blobs), default=0) / area, "blob_count": len(blobs),
         "dark_channel": dark_channel(rgb), "vert_share": float(sky["hist"][7:12].sum()), "edge_energy": sky["edge_energy"], "noise": flat_noise(luma),
-        "bottom_center": bottom, "top": luma_stats(luma, (0, 0, w, h // 3), 2)["mean"], "regions": None if before is None else motion_regions(before, luma),
+        "whole_edges": sobel(luma, None, 4, 2)["edge_energy"], "whole_mean": luma_stats(luma, stride=4)["mean"],
+        "bottom_center": bottom, "top": luma_stats(luma, (0, 0, w, int(h * 0.30)), 2)["mean"], "regions": None if before is None else motion_regions(before, luma),
     }
 
 

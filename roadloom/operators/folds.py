@@ -2,7 +2,8 @@
 
 A step takes (state, tick) and returns (state, out); nothing here knows Spark but
 fold(), which runs a step over each key's rows in order, in Arrow batches, and
-the native folds at the end, which need no Python at all.
+the native folds (assign_visits, and those over an array at the end), which need no
+Python at all.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.config import Settings
@@ -68,32 +70,52 @@ def ema_step(state: dict | None, value: float | None, keep: float = 0.8) -> tupl
 
 
 def churn(before: list[tuple], now: list[tuple], least: float = 0.4) -> float:
-    """Share of boxes (x0, y0, x1, y1) that came or went; boxes are matched one to one, greedily in order, by overlap."""
+    """Share of boxes (x0, y0, x1, y1) that came or went; each old box in order takes the free new one that overlaps it most, by over least."""
     if not before and not now:
         return 0.0
-    free = set(range(len(before)))
-    matched = 0
-    for b in now:
-        best, at = least, None
-        for i in sorted(free):
-            a = before[i]
-            w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-            union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-            if union > 0 and w * h / union > best:
-                best, at = w * h / union, i
-        if at is not None:
-            free.discard(at)
-            matched += 1
+    area = lambda x: max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1])
+    free = dict(enumerate(now))
+    for old in before:
+        overlaps = {}
+        for i, new in free.items():
+            shared = area((max(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), min(old[3], new[3])))
+            union = area(old) + area(new) - shared
+            if union > 0 and shared / union > least:
+                overlaps[i] = shared / union
+        if overlaps:
+            del free[max(overlaps, key=lambda i: (overlaps[i], -i))]
+    matched = len(now) - len(free)
     return (len(before) + len(now) - 2 * matched) / (len(before) + len(now))
 
 
+#: What lens_step says of a tick.
+DIRT = "struct<persistence:array<double>,scene_change:double,median:double>"
+
+
+def lens_step(state: tuple | None, grid: list[float] | None, moving: float = 0.04, up: float = 0.08, down: float = 0.05) -> tuple[tuple | None, dict | None]:
+    """The dirt counters of a lens's blocks after a sharpness grid, with the scene's change and the median sharpness.
+
+    A counter grows while its block is far less sharp than the median and the scene
+    moves by more than moving, else it falls. A null grid, from a broken frame, changes nothing.
+    """
+    if grid is None:
+        return state, None
+    now = np.asarray(grid, float)
+    counters, last = state if state else (np.zeros(len(now)), None)
+    change = 0.0 if last is None or now.sum() <= 1e-3 else float(np.abs(now - last).sum() / (now.sum() + 1e-3))
+    median = float(np.sort(now)[len(now) // 2])
+    dim = (now < 8) & (now < 0.25 * median)
+    counters = np.clip(counters + np.where(dim & (change > moving), up, -down), 0.0, 1.0)
+    return (counters, now), {"persistence": counters.tolist(), "scene_change": change, "median": median}
+
+
 def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str) -> DataFrame:
     """rows with a column into: what step says of each row, in order, from start() for each key.
 
     Rows are dealt by the keys and sorted inside the partition by Spark, which
     spills; the fold streams over them, so no key is ever gathered.
     """
-    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())])}[kind]
+    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())]), DIRT: pa.struct([("persistence", pa.list_(pa.float64())), ("scene_change", pa.float64()), ("median", pa.float64())])}[kind]
     schema = rows.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +134,26 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
 
 
 def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings()) -> DataFrame:
-    """ticks with visit, null in a gap (null key)."""
-    frames, far = s.hysteresis_frames, s.hysteresis_metres
-    return fold(ticks, keys, order, [key, metres], lambda: None, lambda st, t: visit_step(st, t, frames, far), "visit", "int")
+    """ticks with visit, null in a gap (null key), and opens, true for a visit's first tick: what visit_step says, as windows over one shuffle.
+
+    A run is a series of equal keys, gaps aside. A tick of a run that has enough ticks and
+    metres by then makes its key the active one; until the first the active key is
+    the first of all. The visit counts the changes of the active key.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    k = F.col(key)
+    before = F.last(key, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    t = ticks.withColumn("_new", (k.isNotNull() & ~k.eqNullSafe(before)).cast("int"))
+    t = t.withColumn("_run", F.sum("_new").over(upto))
+    in_run = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    enough = (F.count(k).over(in_run) >= s.hysteresis_frames) & (F.sum(F.when(k.isNotNull(), F.col(metres))).over(in_run) >= s.hysteresis_metres)
+    t = t.withColumn("_ripe", F.when(k.isNotNull() & enough, k))
+    t = t.withColumn("_active", F.coalesce(F.last("_ripe", ignorenulls=True).over(upto), F.first(key, ignorenulls=True).over(upto)))
+    t = t.withColumn("_flip", (F.col("_active") != F.lag("_active").over(by)).cast("int"))
+    t = t.withColumn("visit", F.when(k.isNotNull(), F.coalesce(F.sum("_flip").over(upto), F.lit(0))).cast("int"))
+    t = t.withColumn("opens", k.isNotNull() & ((F.col("_flip") == 1) | before.isNull()))
+    return t.drop("_new", "_run", "_ripe", "_active", "_flip")
 
 
 def throttle(frames: DataFrame, keys: list[str], order: list[str], ms: str, fps: int) -> DataFrame:
@@ -132,6 +171,11 @@ def box_churn(frames: DataFrame, keys: list[str], order: list[str], boxes: str)
     return fold(frames, keys, order, [boxes], list, lambda st, t: (as_tuples(t[0]), churn(st, as_tuples(t[0]))), "churn", "double")
 
 
+def lens_dirt(frames: DataFrame, keys: list[str], order: list[str], grid: str) -> DataFrame:
+    """frames with dirt: what lens_step says of each sharpness grid in order."""
+    return fold(frames, keys, order, [grid], lambda: None, lambda st, t: lens_step(st, t[0]), "dirt", DIRT)
+
+
 # -- folds over an array, native -----------------------------------------------------------------
 
 

@@ -122,7 +122,7 @@ def roughness_stats(imu: DataFrame, keys: list[str], order: str, accel: str = "v
     x = x.withColumns({"_d2": second, "_dg": F.lead(gyro, 1).over(seq) - F.col(gyro)})
     rms = lambda c: F.coalesce(F.sqrt(F.avg(F.col(c) * F.col(c))), F.lit(0.0))
     return x.groupBy(*keys).agg(
-        F.count("*").alias("n"), rms("_band").alias("rms_band"), F.count_if(F.abs("_band") > 3.5).alias("spikes"), rms("_d2").alias("hf_accel"), rms("_dg").alias("hf_gyro")
+        F.count("*").alias("n"), rms("_band").alias("rms_band"), F.count_if(F.abs("_x") > 3.5).alias("spikes"), rms("_d2").alias("hf_accel"), rms("_dg").alias("hf_gyro")
     )
 
 
@@ -161,8 +161,9 @@ def lens(persistence: Column, scene_change: Column, median: Column) -> Column:
 def glare(s: Column, elevation: Column, azimuth: Column, heading: Column) -> Column:
     """s: bright_frac, largest_frac, blob_count; heading null where unknown."""
     sat = clamp(0.6 * clamp(s["bright_frac"] / 0.06) + 0.4 * clamp(s["largest_frac"] / 0.03))
-    away = F.abs(F.pmod(azimuth - heading + 180.0, F.lit(360.0)) - 180.0)
-    aimed = elevation.between(0.0, 18.0) & (away < 35)
+    low_sun = elevation.between(0.0, 18.0)
+    away = F.when(low_sun, F.abs(F.pmod(azimuth - heading + 180.0, F.lit(360.0)) - 180.0))
+    aimed = low_sun & (away < 35)
     geom = F.when(aimed, clamp((18 - elevation) / 18.0) * clamp(F.cos(F.radians(away)))).otherwise(0.0)
     severity = F.greatest(sat, geom)
     raw = {"severity": severity, "satSeverity": sat, "geomSeverity": geom, "geomFlag": (geom > 0).cast("int"), "brightFrac": s["bright_frac"], "largestFrac": s["largest_frac"], "blobCount": s["blob_count"], "sunElev": F.coalesce(elevation, F.lit(-99.0)), "sunRelAz": F.coalesce(away, F.lit(-1.0))}
@@ -183,7 +184,7 @@ def atmo(s: Column, wiper: Column) -> Column:
     streak = clamp((s["vert_share"] - 0.3) / 0.3) * clamp(s["edge_energy"] / 0.12)
     rain = clamp(0.7 * streak + 0.3 * clamp(wiper / 0.5))
     worst = F.greatest(rain, haze)
-    raw = {"rainSeverity": rain, "hazeSeverity": haze, "visibility": 1 - worst, "darkChannel": s["dark_channel"], "normStd": norm_std, "vertShare": s["vert_share"], "streakIndex": streak, "wiperIndex": wiper}
+    raw = {"rainSeverity": rain, "hazeSeverity": haze, "visibility": 1 - haze, "darkChannel": s["dark_channel"], "normStd": norm_std, "vertShare": s["vert_share"], "streakIndex": streak, "wiperIndex": wiper}
     return F.when(s["dark_channel"].isNotNull(), sample("atmo", 1 - worst, raw))
 
 
@@ -195,12 +196,13 @@ def atmo_model(rain: Column, fog: Column, haze: Column, engine: str = "model") -
 
 @head("nightq")
 def nightq(s: Column, bucket: Column, speed: Column) -> Column:
-    """s: noise, edge_energy, bottom_center and top means, mean; null by day."""
-    blur = F.when(speed > 3, 1 - clamp(s["edge_energy"] / 0.10)).otherwise(0.0)
+    """s: noise, whole_edges, bottom_center and top means, whole_mean; null by day."""
+    blur = F.when(speed > 3, 1 - clamp(s["whole_edges"] / 0.10)).otherwise(0.0)
     ratio = s["bottom_center"] / (s["top"] + 1e-3)
-    lights = F.when((ratio > 2.2) & (s["mean"] < 55), clamp((ratio - 2.2) / 2.0)).otherwise(0.0)
+    alone = (ratio > 2.2) & (s["whole_mean"] < 55)
+    lights = F.when(alone, clamp((ratio - 2.2) / 2.0)).otherwise(0.0)
     score = clamp(1 - (0.5 * s["noise"] + 0.3 * blur + 0.2 * lights))
-    raw = {"noise": s["noise"], "blurProxy": blur, "headlightOnly": lights, "falloffRatio": ratio, "globalMean": s["mean"], "nightSeeing": score}
+    raw = {"noise": s["noise"], "blurProxy": blur, "headlightOnly": alone.cast("int"), "falloffRatio": ratio, "globalMean": s["whole_mean"], "nightSeeing": score}
     return F.when((bucket == "NIGHT") & s["noise"].isNotNull(), sample("nightq", score, raw))
 
 

@@ -1,7 +1,7 @@
 """From ticks with samples to one packet per segment visit: gates, Welford statistics, composite, evidence.
 
-The only ordered step is the visit number (folds.assign_visits). Everything else is
-an ordinary aggregate, which Spark combines before the shuffle.
+What is ordered, the visit number (folds.assign_visits), a visit's opening and its evidence, are
+windows over one shuffle by vehicle; all else is one aggregate over long rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.config import DIMENSIONS, Settings
-from roadloom.functions import scores
+from roadloom.functions import geo, scores
 from roadloom.operators.gnss import CAPABILITIES
 
 VISIT = ["node_id", "session_id", "visit"]
@@ -29,14 +29,27 @@ def last_raw(samples: Column, dimension: str, key: str) -> Column:
 
 def with_gates(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """ticks whose samples carry outcome: failed, invalid, gated or accepted, and reason of a gate."""
-    all_of = F.col("samples")
-    t = ticks.withColumns({"_dirt": last_raw(all_of, "lens", "dirtFraction"), "_glare": last_raw(all_of, "glare", "severity"), "_mount": last_raw(all_of, "rough", "mountContam")})
-    # plain struct fields, not a chain of withField, and the reason once per sample
     fields = ("dimension", "score", "raw", "engine", "locally_valid")
-    reasoned = F.transform("samples", lambda x: F.struct(*[x[f].alias(f) for f in fields], scores.gate_reason(x["dimension"], F.col("_dirt"), F.col("_glare"), F.col("_mount"), s).alias("reason")))
-    outcome = lambda x: F.when(x["engine"] == "failed", "failed").when(~x["locally_valid"], "invalid").when(x["reason"].isNotNull(), "gated").otherwise("accepted")
-    marked = F.transform(reasoned, lambda x: F.struct(*[x[f].alias(f) for f in (*fields, "reason")], outcome(x).alias("outcome")))
-    return t.withColumn("samples", marked).drop("_dirt", "_glare", "_mount")
+
+    def mark(gate: Column) -> Column:
+        # plain struct fields, not a chain of withField, and the reason once per sample
+        reasoned = F.transform(gate["samples"], lambda x: F.struct(*[x[f].alias(f) for f in fields], scores.gate_reason(x["dimension"], gate["dirt"], gate["glare"], gate["mount"], s).alias("reason")))
+        outcome = lambda x: F.when(x["engine"] == "failed", "failed").when(~x["locally_valid"], "invalid").when(x["reason"].isNotNull(), "gated").otherwise("accepted")
+        return F.transform(reasoned, lambda x: F.struct(*[x[f].alias(f) for f in (*fields, "reason")], outcome(x).alias("outcome")))
+
+    def gates(all_of: Column) -> Column:
+        return F.struct(all_of.alias("samples"), last_raw(all_of, "lens", "dirtFraction").alias("dirt"), last_raw(all_of, "glare", "severity").alias("glare"), last_raw(all_of, "rough", "mountContam").alias("mount"))
+
+    # the samples, then the gate values, are computed once a tick, not for every sample
+    return ticks.withColumn("samples", geo.let(geo.let(F.col("samples"), gates), mark))
+
+
+def sample_rows(ticks: DataFrame, *columns: str) -> DataFrame:
+    """columns of ticks and the fields of their samples, a row per sample.
+
+    explode_outer, as explode would have the optimizer filter by the number of samples, and compute them all twice.
+    """
+    return ticks.select(*columns, F.explode_outer("samples").alias("s")).where("s IS NOT NULL").select(*columns, "s.*")
 
 
 def with_conditions(ticks: DataFrame) -> DataFrame:
@@ -59,68 +72,136 @@ def welford(value: Column) -> list[Column]:
     return [F.count(value).alias("n"), zero(F.avg(value)).alias("mean"), zero(F.var_samp(value)).alias("variance"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max")]
 
 
-def dimension_stats(ticks: DataFrame) -> DataFrame:
-    """Per visit and dimension: statistics of accepted samples, gates, failures, means of the raw values.
+#: The dimension under which a tick's own row goes through the statistics, and the outcomes of its rows.
+TICK = ""
+DUTIES = ("NORMAL", "REDUCED", "THROTTLED")
+
+
+def _rank(names: tuple[str, ...], c: Column) -> Column:
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[c]
+
+
+def _name(names: tuple[str, ...], rank: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), rank + 1)
+
 
-    A sample's score and raw values become rows of one long table (the score's key
-    is empty), so that the visits are assigned and shuffled once for all of them.
+def _statistics(ticks: DataFrame, s: Settings) -> DataFrame:
+    """One aggregate over everything that ticks say: a row for each visit, dimension and key.
+
+    A sample's score (key "") and raw values are rows, a tick is a row of dimension TICK, and so
+    are its opening (the names of segment and time bucket stand for engine and reason) and what
+    it may show as evidence (its seq is the key). So the ticks are computed and shuffled once, and
+    the buffers hold numbers alone, which keeps the aggregate in memory and combined before any shuffle.
     """
-    ok = F.col("outcome") == "accepted"
-    s = ticks.select(*VISIT, "ts", F.explode("samples").alias("s")).select(*VISIT, "ts", "s.*")
-    values = F.when(ok, F.map_concat(F.create_map(F.lit(""), F.col("score")), "raw")).otherwise(F.create_map(F.lit(""), F.col("score")))
-    long = s.select(*VISIT, "ts", "dimension", "engine", "outcome", "reason", F.explode(values).alias("key", "value"))
-    gated = F.when(F.col("outcome") == "gated", F.struct("ts", "reason"))
-    per_key = long.groupBy(*VISIT, "dimension", "key").agg(
-        *welford(F.when(ok, F.col("value"))),
-        F.max(F.when(ok, F.struct("ts", "engine")))["engine"].alias("engine"),
-        F.count_if(F.col("outcome") == "gated").alias("gated"),
-        F.max(gated)["reason"].alias("gate_reason"),
-        F.count_if(F.col("outcome") == "failed").alias("failures"),
-    )
-    own = lambda c: F.max(F.when(F.col("key") == "", F.col(c))).alias(c)
-    raw = F.sort_array(F.collect_list(F.when(F.col("key") != "", F.struct("key", "mean"))))
-    return per_key.groupBy(*VISIT, "dimension").agg(*map(own, ("n", "mean", "variance", "min", "max", "engine", "gated", "gate_reason", "failures")), F.map_from_entries(raw).alias("raw_means"))
+    pair = lambda key, value: F.struct(key.cast("string").alias("key"), value.cast("double").alias("value"))
+    score_of = lambda x: F.array(pair(F.lit(""), x["score"]))
+    values = lambda x: F.when(x["outcome"] == "accepted", F.concat(score_of(x), F.transform(F.map_entries(x["raw"]), lambda e: pair(e["key"], e["value"])))).otherwise(score_of(x))
+    entry = lambda dimension, engine, outcome, reason, values: F.struct(dimension.alias("dimension"), engine.alias("engine"), outcome.alias("outcome"), reason.alias("reason"), values.alias("values"))
+    no, null = F.lit(None).cast("string"), F.lit(None)
+    of_samples = F.transform("samples", lambda x: entry(x["dimension"], x["engine"], x["outcome"], x["reason"], values(x)))
+    tick = entry(F.lit(TICK), no, F.lit("tick"), no, F.array(pair(F.lit("tick"), null)))
+    opening = F.when(F.col("opens"), entry(F.lit(TICK), F.col("segment"), F.lit("opening"), F.col("time_bucket"), F.array(pair(F.lit("opening"), null))))
+    shown = F.when(F.col("evidence_reason").isNotNull(), entry(F.lit(TICK), F.col("worst.dimension"), F.lit("evidence"), F.col("evidence_reason"), F.array(pair(F.col("seq"), F.col("worst.score")))))
+    numbers = ("distance_m", "speed_mps", "duty", "capability", "raw_gnss", "light_sensor")
+    t = ticks.withColumns({"duty": _rank(DUTIES, F.col("duty_cycle")), "capability": _rank(CAPABILITIES, F.col("gnss_capability"))})
+    rows = t.select(*VISIT, "ts", "seq", *numbers, F.explode_outer(F.concat(of_samples, F.array_compact(F.array(tick, opening, shown)))).alias("x")).select(*VISIT, "ts", "seq", *numbers, "x.*")
+    rows = rows.withColumn("v", F.explode_outer("values")).select("*", "v.key", "v.value").drop("values", "v")
+    is_tick = F.col("outcome") == "tick"
+    moving = F.when(is_tick & (F.col("speed_mps") >= 0), F.col("speed_mps"))
+    return rows.groupBy(*VISIT, "dimension", "key", "engine", "outcome", "reason").agg(
+        F.count("*").alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("seq").alias("seq"),
+        F.sum(F.when(is_tick, F.col("distance_m"))).alias("distance_m"), F.avg(moving).alias("speed_mean"), F.min(moving).alias("speed_min"), F.max(moving).alias("speed_max"),
+        F.max("duty").alias("duty"), F.max("capability").alias("capability"), F.bool_or("raw_gnss").alias("raw_gnss"), F.bool_or("light_sensor").alias("light_sensor"),
+    )
+
+
+#: What a visit's row of dimension TICK carries.
+_OF_TICKS = ("rows", "first_ts", "last_ts", "distance_m", "speed_mean", "speed_min", "speed_max", "duty", "capability", "raw_gnss", "light_sensor")
+
+
+def _by_dimension_and_visit(stats: DataFrame, s: Settings) -> DataFrame:
+    """_statistics with a row per visit and dimension: statistics of accepted samples, gates, failures, means of the raw values; for TICK what the ticks say."""
+    ok, own = F.col("outcome") == "accepted", F.col("key") == ""
+    n, at = F.col("n"), F.col("mean")
+    # accepted rows of several engines are put together; those of one stay as they are
+    count = F.sum(F.when(ok, n))
+    mean = F.when(F.count_if(ok) == 1, F.max(F.when(ok, at))).otherwise(F.sum(F.when(ok, n * at)) / count)
+    square = F.sum(F.when(ok, (n - 1) * F.coalesce("variance", F.lit(0.0)) + n * at * at))
+    variance = F.when(F.count_if(ok) == 1, F.max(F.when(ok, F.col("variance")))).otherwise((square - count * mean * mean) / F.nullif(count - 1, F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    of = lambda outcome, c: F.max(F.when(F.col("outcome") == outcome, F.col(c)))
+    per_key = stats.groupBy(*VISIT, "dimension", "key").agg(
+        F.coalesce(count, F.lit(0)).alias("n"), zero(mean).alias("mean"), zero(variance).alias("variance"), zero(F.min(F.when(ok, F.col("min")))).alias("min"), zero(F.max(F.when(ok, F.col("max")))).alias("max"),
+        F.max(F.when(ok, F.struct("last_ts", "engine")))["engine"].alias("engine"),
+        F.sum(F.when(F.col("outcome") == "gated", F.col("rows")).otherwise(0)).alias("gated"), F.max(F.when(F.col("outcome") == "gated", F.struct("last_ts", "reason")))["reason"].alias("gate_reason"),
+        F.sum(F.when(F.col("outcome") == "failed", F.col("rows")).otherwise(0)).alias("failures"),
+        of("opening", "engine").alias("segment"), of("opening", "reason").alias("time_bucket"), *[of("tick", c).alias(f"tick_{c}") for c in _OF_TICKS],
+        F.max(F.when(F.col("outcome") == "evidence", F.struct(F.col("max").alias("score"), F.col("first_ts").alias("ts"), "seq", F.col("engine").alias("dimension"), "reason"))).alias("shown"),
+    )
+    # the worst first, nulls last; only what is shown matters
+    order = Window.partitionBy(*VISIT).orderBy(F.col("shown").isNull(), "shown")
+    per_key = per_key.withColumn("rank", F.when(F.col("shown").isNotNull(), F.row_number().over(order)))
+    mine = lambda c: F.max(F.when(own, F.col(c))).alias(c)
+    raw = F.sort_array(F.collect_list(F.when(~own & (F.col("dimension") != TICK), F.struct("key", "mean"))))
+    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= s.evidence_max, F.struct("rank", "shown"))))
+    return per_key.groupBy(*VISIT, "dimension").agg(
+        *map(mine, ("n", "mean", "variance", "min", "max", "engine", "gated", "gate_reason", "failures")), F.map_from_entries(raw).alias("raw_means"),
+        *[F.max(c).alias(c) for c in ("segment", "time_bucket", *(f"tick_{c}" for c in _OF_TICKS))], shown.alias("shown"),
+    )
 
 
 def visit_windows(ticks: DataFrame) -> DataFrame:
     """Per visit: what doesn't depend on the dimension. Attributes of the opening tick come with the least ts."""
-    capability = F.create_map(*[x for i, c in enumerate(CAPABILITIES) for x in (F.lit(c), F.lit(i))])
-    duties = ("NORMAL", "REDUCED", "THROTTLED")
-    duty = F.create_map(*[x for i, c in enumerate(duties) for x in (F.lit(c), F.lit(i))])
     moving = F.when(F.col("speed_mps") >= 0, F.col("speed_mps"))
     first = lambda c: F.min_by(c, F.struct("ts", "seq"))
-    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i + 1)
     return ticks.groupBy(*VISIT).agg(
         first("segment").alias("segment"), first("time_bucket").alias("time_bucket"),
-        first(F.struct("lat", "lon")).alias("centroid"),
         F.min("ts").alias("enter_ts"), F.max("ts").alias("exit_ts"), F.count("*").alias("frame_count"), F.sum("distance_m").alias("distance_m"),
         F.coalesce(F.avg(moving), F.lit(0.0)).alias("speed_mean"), F.coalesce(F.min(moving), F.lit(0.0)).alias("speed_min"), F.coalesce(F.max(moving), F.lit(0.0)).alias("speed_max"),
-        name(duties, F.max(duty[F.col("duty_cycle")])).alias("duty_cycle"),
-        name(CAPABILITIES, F.max(capability[F.col("gnss_capability")])).alias("gnss_capability"),
+        _name(DUTIES, F.max(_rank(DUTIES, F.col("duty_cycle")))).alias("duty_cycle"),
+        _name(CAPABILITIES, F.max(_rank(CAPABILITIES, F.col("gnss_capability")))).alias("gnss_capability"),
         F.bool_or("raw_gnss").alias("raw_gnss"), F.bool_or("light_sensor").alias("light_sensor"),
     )
 
 
 def packets(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per visit: nested scores, gates, capability, window, weather and composite.
+    """One row per visit: nested scores, gates, capability, evidence, window, segment with the cell's centre, weather and composite.
 
-    ticks: node_id, session_id, visit, seq, ts, segment, lat, lon, time_bucket, speed_mps,
+    ticks: node_id, session_id, visit, seq, ts, segment, time_bucket, speed_mps,
     distance_m, duty_cycle, gnss_capability, raw_gnss, light_sensor, samples (with_gates).
+    evidence: at most evidence_max of a visit's worst ticks that have a reason to be kept, the
+    worst first; file is the name under which its image goes into the packet's folder, seq tells the tick.
     The packet id is a hash of what identifies the visit, so a replay writes the same rows.
     """
-    inside = ticks.where("visit IS NOT NULL")
-    stats = dimension_stats(inside)
+    inside = ticks.where("visit IS NOT NULL").withColumn("worst", worst_sample(F.col("samples")))
+    inside = inside.withColumn("evidence_reason", scores.evidence_reason(F.col("worst.dimension"), F.col("worst.score")) if s.evidence else F.lit(None).cast("string"))
+    if "opens" not in ticks.columns:
+        inside = inside.withColumn("opens", F.row_number().over(Window.partitionBy(*VISIT).orderBy("ts", "seq")) == 1)
+    wide = _by_dimension_and_visit(_statistics(inside, s), s)
+    of_sample = F.col("dimension") != TICK
     score = F.struct("mean", "variance", "min", "max", "n", F.coalesce("engine", F.when(F.col("failures") > 0, "failed")).alias("engine"), "raw_means")
-    scored = (F.col("n") > 0) | (F.col("failures") > 0)
-    raw_of = lambda dim, key: F.max(F.when(F.col("dimension") == dim, F.col("raw_means")[key]))
-    wide = stats.groupBy(*VISIT).agg(
+    scored = of_sample & ((F.col("n") > 0) | (F.col("failures") > 0))
+    raw_of = lambda dim, key: F.round(F.coalesce(F.max(F.when(F.col("dimension") == dim, F.col("raw_means")[key])), F.lit(0.0)), 9)
+    the = lambda c: F.max(F.when(~of_sample, F.col(f"tick_{c}")))
+    evidence = F.transform(F.max(F.when(~of_sample, F.col("shown"))), lambda e: F.struct(F.concat(F.lit("evidence_"), e["rank"] - 1, F.lit(".png")).alias("file"), *[e["shown"][c].alias(c) for c in ("dimension", "reason", "score", "seq", "ts")]))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    p = wide.groupBy(*VISIT).agg(
+        F.max("segment").alias("segment"), F.max("time_bucket").alias("time_bucket"),
+        the("first_ts").alias("enter_ts"), the("last_ts").alias("exit_ts"), the("rows").alias("frame_count"), the("distance_m").alias("distance_m"),
+        *[zero(the(c)).alias(c) for c in ("speed_mean", "speed_min", "speed_max")],
+        _name(DUTIES, the("duty")).alias("duty_cycle"), _name(CAPABILITIES, the("capability")).alias("gnss_capability"), the("raw_gnss").alias("raw_gnss"), the("light_sensor").alias("light_sensor"),
         F.map_from_entries(F.collect_list(F.when(scored, F.struct("dimension", score)))).alias("scores"),
-        F.map_from_entries(F.collect_list(F.when(F.col("n") > 0, F.struct("dimension", "n")))).alias("sample_counts"),
+        F.map_from_entries(F.collect_list(F.when(of_sample & (F.col("n") > 0), F.struct("dimension", "n")))).alias("sample_counts"),
         F.array_sort(F.collect_list(F.when(F.col("gated") > 0, F.struct("dimension", F.col("gated").alias("invalidated_count"), F.col("gate_reason").alias("reason"))))).alias("gates"),
+        evidence.alias("evidence"),
         scores.composite({d: F.max(F.when((F.col("dimension") == d) & (F.col("n") > 0), F.col("mean"))) for d in DIMENSIONS}, s).alias("odd_score"),
-        scores.weather(F.coalesce(raw_of("atmo", "rainSeverity"), F.lit(0.0)), F.coalesce(raw_of("atmo", "hazeSeverity"), F.lit(0.0))).alias("weather"),
-    )
-    p = visit_windows(inside).join(wide, VISIT, "left")
+        # rounded, so that the order of summing decides nothing at a limit
+        scores.weather(raw_of("atmo", "rainSeverity"), raw_of("atmo", "hazeSeverity")).alias("weather"),
+    )
+    cell = geo.decode_segment_key(F.col("segment"))
+    centre = geo.geohash_center(cell["geohash7"])
+    p = p.withColumn("segment_ref", F.struct(cell["geohash7"].alias("geohash7"), cell["heading_bucket"].alias("heading_bucket"), centre["lat"].alias("centroid_lat"), centre["lon"].alias("centroid_lon")))
     ident = F.sha2(F.concat_ws("|", "node_id", "session_id", "segment", F.col("enter_ts").cast("string")), 256)
     return p.withColumn("packet_id", ident)
 

@@ -42,17 +42,26 @@ def visit_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.with_gates(with_samples(visited(spark, sf_dir)))
 
 
+_EVIDENCE_SQL = """
+worst AS (SELECT event_id, arg_min(dimension, (score, CASE dimension WHEN 'lane_vis' THEN 0 WHEN 'rough' THEN 4 WHEN 'lens' THEN 5 WHEN 'glare' THEN 6 ELSE 7 END)) AS dimension, min(score) AS score FROM s WHERE outcome <> 'failed' GROUP BY event_id),
+e AS (SELECT f.node_id, f.visit, t.seq, t.ts, worst.*, CASE WHEN dimension = 'lane_vis' AND score < 0.18::DOUBLE THEN 'lane_markings_invisible' WHEN dimension = 'glare' AND score < 0.25::DOUBLE THEN 'sun_glare_blinding'
+  WHEN dimension = 'lens' AND score < 0.45::DOUBLE THEN 'lens_dirt' WHEN dimension = 'atmo' AND score < 0.30::DOUBLE THEN 'heavy_rain_or_fog' END AS reason
+  FROM worst JOIN f USING (event_id) JOIN t USING (event_id) WHERE f.visit IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY node_id, visit ORDER BY score, ts, seq) AS rank FROM e WHERE reason IS NOT NULL)"""
+
+
 # -- flagship: packets ---------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL},
+@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL},
+x AS (SELECT node_id, visit, string_agg('evidence_' || (rank - 1) || '.png:' || dimension || ':' || reason || ':' || seq, ' ' ORDER BY rank) AS evidence FROM k WHERE rank <= 2 GROUP BY ALL),
 v AS (SELECT s.*, f.visit FROM s JOIN f USING (event_id) WHERE f.visit IS NOT NULL),
 d AS (SELECT node_id, visit, dimension, avg(score) FILTER (WHERE outcome = 'accepted') AS mean, count(*) FILTER (WHERE outcome = 'accepted') AS n,
         count(*) FILTER (WHERE outcome = 'gated') AS g FROM v GROUP BY ALL),
-a AS (SELECT node_id, visit, avg((k * 11 % 100) / 100::DOUBLE) AS rain, avg((k * 13 % 100) / 100::DOUBLE) AS haze FROM v WHERE dimension = 'atmo' GROUP BY ALL),
+a AS (SELECT node_id, visit, round(avg((k * 11 % 100) / 100::DOUBLE), 9) AS rain, round(avg((k * 13 % 100) / 100::DOUBLE), 9) AS haze FROM v WHERE dimension = 'atmo' GROUP BY ALL),
 o AS (SELECT node_id, visit, sum(g) AS gated, max(mean) FILTER (WHERE dimension = 'lane_vis') AS lane, max(mean) FILTER (WHERE dimension = 'rough') AS rough,
         avg(mean) FILTER (WHERE dimension IN ('lens', 'glare', 'atmo')) AS perception FROM d GROUP BY ALL),
-w AS (SELECT f.node_id, f.visit, min_by(t.segment, t.seq) AS segment, min_by(t.time_bucket, t.seq) AS time_bucket, count(*) AS frame_count,
+w AS (SELECT f.node_id, f.visit, min_by(t.segment, t.seq) AS segment, min_by(t.time_bucket, t.seq) AS time_bucket, min_by(t.lat, t.seq) AS lat, count(*) AS frame_count,
         sum(t.distance_m) AS distance_m, avg(t.speed_mps) AS speed_mean, max(t.duty) AS duty, max(t.cap) AS cap
       FROM f JOIN t USING (event_id) WHERE f.visit IS NOT NULL GROUP BY ALL)
 SELECT w.node_id, w.visit, w.segment, w.time_bucket, w.frame_count, round(w.distance_m, 10) AS distance_m, round(w.speed_mean, 10) AS speed_mean,
@@ -61,11 +70,17 @@ SELECT w.node_id, w.visit, w.segment, w.time_bucket, w.frame_count, round(w.dist
   CAST(o.gated AS BIGINT) AS gated, round(100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + coalesce(0.24::DOUBLE * perception, 0))
     / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + CASE WHEN perception IS NULL THEN 0 ELSE 0.24::DOUBLE END), 10) AS odd_score,
   CASE WHEN rain >= 0.5 AND haze >= 0.4 THEN 'rain_fog' WHEN rain >= 0.5 THEN 'rain' WHEN haze >= 0.6 THEN 'fog' WHEN haze >= 0.35 THEN 'haze' ELSE 'clear' END AS weather
-FROM w JOIN o USING (node_id, visit) JOIN a USING (node_id, visit)""")
+,
+  coalesce(x.evidence, '') AS evidence, round(-90 + (floor((w.lat + 90) / 180 * 131072) + 0.5) * (180::DOUBLE / 131072), 9) AS centroid_lat, CAST(right(w.segment, 1) AS INTEGER) AS heading_bucket
+FROM w JOIN o USING (node_id, visit) JOIN a USING (node_id, visit) LEFT JOIN x USING (node_id, visit)""")
 def visit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets.packets(visit_ticks(spark, sf_dir))
     gates = F.aggregate("gates", F.lit(0).cast("long"), lambda a, g: a + g["invalidated_count"])
-    return p.select("node_id", "visit", "segment", "time_bucket", "frame_count", r(F.col("distance_m")).alias("distance_m"), r(F.col("speed_mean")).alias("speed_mean"), "duty_cycle", "gnss_capability", gates.alias("gated"), r(F.col("odd_score")).alias("odd_score"), "weather")
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["file"], e["dimension"], e["reason"], e["seq"])), " ")
+    return p.select(
+        "node_id", "visit", "segment", "time_bucket", "frame_count", r(F.col("distance_m")).alias("distance_m"), r(F.col("speed_mean")).alias("speed_mean"), "duty_cycle", "gnss_capability",
+        gates.alias("gated"), r(F.col("odd_score")).alias("odd_score"), "weather", shown.alias("evidence"), r(F.col("segment_ref.centroid_lat"), 9).alias("centroid_lat"), F.col("segment_ref.heading_bucket").alias("heading_bucket"),
+    )
 
 
 @query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL} SELECT node_id, event_id, visit FROM f""")
@@ -125,19 +140,19 @@ def labels_and_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TICKS_SQL}, {SAMPLES_SQL} SELECT event_id, dimension, outcome, reason FROM s")
 def gate_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gated(spark, sf_dir).select("event_id", F.explode("samples").alias("s")).select("event_id", "s.dimension", "s.outcome", "s.reason")
+    return packets.sample_rows(gated(spark, sf_dir), "event_id").select("event_id", "dimension", "outcome", "reason")
 
 
 @query(f"WITH {TICKS_SQL}, {SAMPLES_SQL} SELECT node_id, dimension, reason, count(*) AS n FROM s WHERE outcome = 'gated' GROUP BY ALL")
 def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gated(spark, sf_dir).select("node_id", F.explode("samples").alias("s")).select("node_id", "s.*").where("outcome = 'gated'")
+    g = packets.sample_rows(gated(spark, sf_dir), "node_id").where("outcome = 'gated'")
     return g.groupBy("node_id", "dimension", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TICKS_SQL}, {SAMPLES_SQL} SELECT node_id, dimension, count(*) AS n, round(avg(score), 10) AS mean, round(coalesce(var_samp(score), 0), 10) AS variance, round(min(score), 10) AS min, round(max(score), 10) AS max
 FROM s WHERE outcome = 'accepted' GROUP BY node_id, dimension""")
 def welford_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = gated(spark, sf_dir).select("node_id", F.explode("samples").alias("s")).select("node_id", "s.*").where("outcome = 'accepted'")
+    s = packets.sample_rows(gated(spark, sf_dir), "node_id").where("outcome = 'accepted'")
     g = s.groupBy("node_id", "dimension").agg(*packets.welford(F.col("score")))
     return g.select("node_id", "dimension", "n", *[r(F.col(c)).alias(c) for c in ("mean", "variance", "min", "max")])
 
@@ -146,7 +161,7 @@ def welford_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
   (avg(score) FILTER (WHERE dimension = 'lens') + avg(score) FILTER (WHERE dimension = 'glare') + avg(score) FILTER (WHERE dimension = 'atmo')) / 3 AS p FROM s GROUP BY node_id)
 SELECT node_id, round(100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + 0.24::DOUBLE * p) / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + 0.24::DOUBLE), 10) AS odd FROM m""")
 def composite_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = gated(spark, sf_dir).select("node_id", F.explode("samples").alias("s")).select("node_id", "s.*").where("outcome = 'accepted'")
+    s = packets.sample_rows(gated(spark, sf_dir), "node_id").where("outcome = 'accepted'")
     means = {d: F.avg(F.when(F.col("dimension") == d, F.col("score"))) for d in ("lane_vis", "rough", "lens", "glare", "atmo")}
     return s.groupBy("node_id").agg(r(scores.composite(means)).alias("odd"))
 
@@ -208,14 +223,14 @@ def imu_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("event_id", F.when(F.col("window").isNotNull(), F.size("window").cast("long")).alias("filled"), r(F.aggregate("window", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query("""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+@query("""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 16 AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 x AS (SELECT *, v - avg(v) OVER (PARTITION BY vec_id) AS d FROM u),
 b AS (SELECT *, d - avg(d) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS band,
   lead(d, 2) OVER w - 2 * lead(d, 1) OVER w + d AS d2 FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i))
-SELECT vec_id, count(*) AS n, round(sqrt(avg(band * band)), 10) AS rms_band, count(*) FILTER (WHERE abs(band) > 3.5) AS spikes, round(sqrt(avg(d2 * d2)), 10) AS hf_accel,
+SELECT vec_id, count(*) AS n, round(sqrt(avg(band * band)), 10) AS rms_band, count(*) FILTER (WHERE abs(d) > 3.5) AS spikes, round(sqrt(avg(d2 * d2)), 10) AS hf_accel,
   round(1 - least(sqrt(avg(band * band)) * sqrt(2.0::DOUBLE) / 3.5::DOUBLE, 1), 10) AS score FROM b GROUP BY vec_id""")
 def rough_band_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v")).withColumn("v", F.col("v") * 16)
     s = heads.roughness_stats(e.withColumn("g", F.col("v")), ["vec_id"], "i")
     score = heads.rough(F.struct(*s.columns), F.lit(5.0), F.lit(100.0))["score"]
     return s.select("vec_id", "n", r(F.col("rms_band")).alias("rms_band"), "spikes", r(F.col("hf_accel")).alias("hf_accel"), r(score).alias("score"))
@@ -279,12 +294,7 @@ def throttle_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- top-k, queues, totals -------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL},
-w AS (SELECT event_id, arg_min(dimension, (score, CASE dimension WHEN 'lane_vis' THEN 0 WHEN 'rough' THEN 4 WHEN 'lens' THEN 5 WHEN 'glare' THEN 6 ELSE 7 END)) AS dimension, min(score) AS score FROM s WHERE outcome <> 'failed' GROUP BY event_id),
-e AS (SELECT f.node_id, f.visit, t.seq, t.ts, w.*, CASE WHEN dimension = 'lane_vis' AND score < 0.18::DOUBLE THEN 'lane_markings_invisible' WHEN dimension = 'glare' AND score < 0.25::DOUBLE THEN 'sun_glare_blinding'
-  WHEN dimension = 'lens' AND score < 0.45::DOUBLE THEN 'lens_dirt' WHEN dimension = 'atmo' AND score < 0.30::DOUBLE THEN 'heavy_rain_or_fog' END AS reason
-  FROM w JOIN f USING (event_id) JOIN t USING (event_id) WHERE f.visit IS NOT NULL),
-k AS (SELECT *, row_number() OVER (PARTITION BY node_id, visit ORDER BY score, ts, seq) AS rank FROM e WHERE reason IS NOT NULL)
+@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL}
 SELECT node_id, visit, CAST(seq AS INTEGER) AS seq, dimension, round(score, 10) AS score, reason, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 2""")
 def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = packets.evidence_top(visit_ticks(spark, sf_dir), 2)

@@ -78,10 +78,19 @@ def head_engines(registry: DataFrame) -> DataFrame:
 def model_udf(load: Callable[[], Any], predict: Callable[[Any, pd.Series], pd.Series], returns: str) -> Callable[[Column], Column]:
     """A column function whose model is loaded once per Python worker; a row for which predict fails is null."""
 
+    def one(model: Any, row: pd.Series) -> Any:
+        try:
+            return predict(model, row).iloc[0]
+        except Exception:  # noqa: BLE001
+            return None
+
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for b in batches:
-            yield predict(model, b)
+            try:
+                yield predict(model, b)
+            except Exception:  # noqa: BLE001 (whatever a model raises: find the rows it is about)
+                yield pd.Series([one(model, b.iloc[i : i + 1]) for i in range(len(b))], dtype=object)
 
     return run

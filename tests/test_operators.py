@@ -53,6 +53,21 @@ def test_churn():
     # an overlap of exactly 0.4 is no match
     assert folds.churn([(0, 0, 7, 1)], [(3, 0, 10, 1)]) == 1.0
     assert folds.churn([box, box], [box]) == pytest.approx(1 / 3)
+    # by hand: the first old box takes the new one it overlaps most (8 of 12, not 7 of 13), the second is left with 4 of 16, too little;
+    # from the new boxes' side both are matched (9 of 11, then 7 of 13)
+    old = [(0, 0, 10, 1), (3, 0, 13, 1)]
+    new = [(2, 0, 12, 1), (-3, 0, 7, 1)]
+    assert folds.churn(old, new) == pytest.approx(0.5)
+    assert folds.churn(new, old) == 0.0
+
+
+def test_lens_counters_need_a_moving_scene():
+    sharp, dull = [100.0] * 7 + [1.0], [110.0] * 7 + [1.0]
+    still = folds.run_steps(folds.lens_step, None, [sharp] * 20)
+    assert all(s["persistence"] == [0.0] * 8 and s["scene_change"] == 0 for s in still)
+    moving = folds.run_steps(folds.lens_step, None, [sharp, dull, sharp, None, dull])
+    assert moving[0]["persistence"][7] == 0 and moving[2]["persistence"][7] == pytest.approx(0.16) and moving[3] is None
+    assert moving[4]["persistence"][7] == pytest.approx(0.24) and moving[4]["persistence"][0] == 0.0 and moving[4]["median"] == 110.0
 
 
 def test_fold_over_partitions(spark):
@@ -93,7 +108,11 @@ def test_heads(spark):
     g = lambda el, az, h: get(heads.glare(lit(bright_frac=0.0, largest_frac=0.0, blob_count=0), F.lit(el), F.lit(az), F.lit(h)))["raw"]
     assert g(9.0, 5.0, 355.0)["geomSeverity"] == pytest.approx(0.5 * np.cos(np.radians(10)))
     assert g(18.1, 0.0, 0.0)["geomSeverity"] == 0 and g(9.0, 36.0, 0.0)["geomSeverity"] == 0
-    n = lit(noise=0.2, edge_energy=0.05, bottom_center=50.0, top=10.0, mean=30.0)
+    assert g(19.0, 5.0, 355.0)["sunRelAz"] == -1.0 and g(9.0, 5.0, 355.0)["sunRelAz"] == pytest.approx(10.0)
+    n = lit(noise=0.2, whole_edges=0.05, bottom_center=50.0, top=10.0, whole_mean=30.0)
+    # by hand: 1 - (0.5 * 0.2 + 0.3 * (1 - 0.05 / 0.10) + 0.2 * (4.9995 - 2.2) / 2, at most 1); the raw flag is 0 or 1
+    assert get(heads.nightq(n, F.lit("NIGHT"), F.lit(10.0)))["raw"]["headlightOnly"] == 1.0
+    assert get(heads.nightq(n, F.lit("NIGHT"), F.lit(3.0)))["raw"]["blurProxy"] == 0.0
     assert get(heads.nightq(n, F.lit("NIGHT"), F.lit(10.0)))["score"] == pytest.approx(1 - (0.1 + 0.15 + 0.2), abs=1e-3)
     assert get(heads.nightq(n, F.lit("DAY"), F.lit(10.0))) is None
     r = lit(n=100, rms_band=0.7, spikes=1, hf_accel=0.7, hf_gyro=0.0)
@@ -262,7 +281,9 @@ def test_frame_statistics_and_blur(spark):
     rows = [(64, 48, bytearray(y.tobytes()), bytearray(rgb.tobytes()), None), (64, 48, bytearray(b"short"), bytearray(b""), None), (64, 48, bytearray(y.tobytes()), bytearray(rgb.tobytes()), bytearray(y.tobytes()))]
     t = spark.createDataFrame(rows, "w int, h int, luma binary, rgb binary, before binary")
     got = [r["s"] for r in t.select(image.stats_column(*map(F.col, ("w", "h", "luma", "rgb", "before"))).alias("s")).collect()]
-    assert got[0]["mean"] == pytest.approx(y.mean()) and got[0]["regions"] is None and len(got[0]["grid"]) == 48
+    # every other pixel for the mean, every fourth for the whole frame's; the middle 40 % below 60 %, the top 30 %
+    assert got[0]["whole_mean"] == pytest.approx(y[::4, ::4].mean()) and got[0]["bottom_center"] == pytest.approx(y[28:48:2, 19:44:2].mean()) and got[0]["top"] == pytest.approx(y[0:14:2, ::2].mean())
+    assert got[0]["mean"] == pytest.approx(y[::2, ::2].mean()) and got[0]["regions"] is None and len(got[0]["grid"]) == 48
     assert got[1]["mean"] is None and got[2]["regions"] == 0
     v = t.withColumn("v", F.expr("array(named_struct('x0', 0D, 'y0', 0D, 'x1', 40D, 'y1', 40D))"))
     b = [r["b"] for r in v.select(sinks.blurred(*map(F.col, ("w", "h", "rgb", "v")), faces=lambda img: [(0, 0, 10, 10)]).alias("b")).collect()]
