@@ -19,9 +19,41 @@ def exploded_scores(packets: DataFrame, include_failed: bool = False) -> DataFra
     return e if include_failed else e.where("n > 0")
 
 
-def map_sets(e: DataFrame) -> DataFrame:
-    """Means per (segment), (segment, dimension) and (segment, time_bucket, dimension) in one pass."""
-    return e.groupingSets([["segment"], ["segment", "dimension"], ["segment", "time_bucket", "dimension"]], "segment", "time_bucket", "dimension").agg(F.avg("mean").alias("mean"), F.count("*").alias("packets"))
+def map_sets(packets: DataFrame, dimension: str | None = None) -> DataFrame:
+    """Means over packets per (segment, dimension) and (segment, time_bucket, dimension) in one pass; dimension odd is the composite, from 0 to 1.
+
+    With dimension, those of one colouring of the map alone.
+    """
+    dims = F.transform(F.filter(F.map_entries("scores"), lambda e: e["value"]["n"] > 0), lambda e: F.struct(e["key"].alias("dimension"), e["value"]["mean"].alias("mean")))
+    odd = F.array(F.struct(F.lit("odd").alias("dimension"), (F.col("odd_score") / 100).alias("mean")))
+    e = packets.select("segment", "time_bucket", F.explode_outer(F.concat(dims, odd)).alias("e")).select("segment", "time_bucket", "e.*")
+    if dimension is not None:
+        e = e.where(F.col("dimension") == dimension)
+    return e.groupingSets([["segment", "dimension"], ["segment", "time_bucket", "dimension"]], "segment", "time_bucket", "dimension").agg(F.avg("mean").alias("mean"), F.count("*").alias("packets"))
+
+
+def gate_totals(packets: DataFrame) -> DataFrame:
+    """Per segment and dimension: samples gated, and their share of those gated or accepted, over all vehicles."""
+    g = packets.select("segment", F.explode_outer("gates").alias("g"), "sample_counts").where("g IS NOT NULL")
+    g = g.select("segment", "g.dimension", "g.invalidated_count", F.coalesce(F.col("sample_counts")[F.col("g.dimension")], F.lit(0)).alias("n"))
+    quiet = packets.select("segment", F.explode_outer(F.map_filter("sample_counts", lambda d, n: ~F.exists("gates", lambda x: x["dimension"] == d))).alias("dimension", "n"), F.lit(0).cast("long").alias("invalidated_count")).where("dimension IS NOT NULL")
+    t = g.unionByName(quiet).groupBy("segment", "dimension").agg(F.sum("invalidated_count").alias("gated"), F.sum("n").alias("accepted"))
+    return t.where("gated > 0").withColumn("share", F.col("gated") / (F.col("gated") + F.col("accepted")))
+
+
+def at_speed(packets: DataFrame, reference: float = 10.0) -> DataFrame:
+    """packets whose roughness is what rough raw motion says at a reference speed, so that fast and slow vehicles agree.
+
+    The raw band of the motion is pooled, not the index, which already has each tick's own speed in it: the score is
+    1 - band * sqrt(reference / reference) / 3.5 of the mean band scaled from the packet's mean speed.
+    """
+    rough = F.col("scores")["rough"]
+    band = rough["raw_means"]["rmsBand"] * F.sqrt(F.lit(reference) / F.greatest(F.col("speed_mean"), F.lit(2.5)))
+    score = F.greatest(1 - band / 3.5, F.lit(0.0))
+    changed = F.when((rough["n"] > 0) & band.isNotNull(), score)
+    fields = ("variance", "min", "max", "n", "engine", "raw_means")
+    new = F.transform_values("scores", lambda d, v: F.when((d == "rough") & changed.isNotNull(), F.struct(changed.alias("mean"), *[v[f].alias(f) for f in fields])).otherwise(F.struct(v["mean"].alias("mean"), *[v[f].alias(f) for f in fields])))
+    return packets.withColumn("scores", new)
 
 
 def bucket_pivot(e: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.config import DIMENSIONS, FAILED_SCORE, Settings
+from roadloom.functions import geo
 from roadloom.functions.geo import clamp
 from roadloom.functions.scores import class_group
 
@@ -126,6 +127,23 @@ def roughness_stats(imu: DataFrame, keys: list[str], order: str, accel: str = "v
     )
 
 
+def roughness_of(v: Column, g: Column) -> Column:
+    """struct(n, rms_band, spikes, hf_accel, hf_gyro) of arrays of vertical acceleration and turn rate, as roughness_stats says; null of null."""
+    rms = lambda a: F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x) / F.size(a))).otherwise(0.0)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
+
+    def of(w: Column) -> Column:
+        x, turn, n = w["x"], w["g"], F.size(w["x"])
+        around = lambda i: F.slice(x, F.greatest(i - 2, F.lit(1)), F.least(i + 4, n) - F.greatest(i - 2, F.lit(1)) + 1)
+        band = F.transform(x, lambda a, i: a - mean(around(i)))
+        second = F.transform(F.slice(x, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda a, i: a - 2 * x[i + 1] + x[i])
+        turned = F.transform(F.slice(turn, F.lit(2), F.greatest(F.size(turn) - 1, F.lit(0))), lambda a, i: a - turn[i])
+        return F.struct(n.alias("n"), rms(band).alias("rms_band"), F.size(F.filter(x, lambda a: F.abs(a) > 3.5)).alias("spikes"), rms(second).alias("hf_accel"), rms(turned).alias("hf_gyro"))
+
+    centred = geo.let(F.struct(v.alias("v"), mean(v).alias("m"), g.alias("g")), lambda w: F.struct(F.transform(w["v"], lambda a: a - w["m"]).alias("x"), w["g"].alias("g")))
+    return F.when(v.isNotNull(), geo.let(centred, of))
+
+
 @head("rough")
 def rough(s: Column, speed: Column, sample_hz: Column, settings: Settings = Settings()) -> Column:
     """s: a row of roughness_stats; null under 16 samples, without a speed, or when slow."""

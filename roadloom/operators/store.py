@@ -44,18 +44,26 @@ def evict(packets: DataFrame, cap_bytes: int) -> DataFrame:
     """
     over = packets.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("_total"))
     can = packets.withColumn("_free", F.when((F.col("status") == "DONE") & ~F.col("evidence_evicted"), F.col("evidence_bytes")).otherwise(0))
-    can = can.withColumn("_day", F.to_date("uploaded_at"))
+    # what frees nothing, as all that isn't uploaded yet, needs no order
+    rest = can.where("NOT coalesce(_free > 0, false)").select(*packets.columns, F.lit(False).alias("evict"))
+    can = can.where("_free > 0").withColumn("_day", F.to_date("uploaded_at"))
     days = can.groupBy("_day").agg(F.sum("_free").alias("_d"))
     days = days.select("_day", (F.sum("_d").over(Window.orderBy(F.col("_day").asc_nulls_last())) - F.col("_d")).alias("_before"))
     inner = Window.partitionBy("_day").orderBy("uploaded_at", "packet_id").rowsBetween(Window.unboundedPreceding, -1)
     can = can.join(days, can["_day"].eqNullSafe(days["_day"])).drop(days["_day"])
     freed = F.col("_before") + F.coalesce(F.sum("_free").over(inner), F.lit(0))
-    can = can.withColumn("_freed", freed).join(F.broadcast(over))
-    return can.withColumn("evict", (F.col("_free") > 0) & (F.col("_total") - F.col("_freed") > cap_bytes)).drop("_free", "_day", "_before", "_freed", "_total")
+    gone = can.withColumn("_freed", freed).join(F.broadcast(over)).select(*packets.columns, (F.col("_total") - F.col("_freed") > cap_bytes).alias("evict"))
+    return gone.unionByName(rest)
 
 
-def session_totals(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("node_id", "session_id").agg(F.sum("distance_m").alias("distance_m"), F.count("*").alias("segments_visited"), F.min("enter_ts").alias("start_ts"), F.max("exit_ts").alias("end_ts"))
+def session_totals(packets: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """Per session: metres, visits, start and end, and with alerts (node_id, session_id, fired) how many were raised."""
+    keys = ["node_id", "session_id"]
+    t = packets.groupBy(*keys).agg(F.sum("distance_m").alias("distance_m"), F.count("*").alias("segments_visited"), F.min("enter_ts").alias("start_ts"), F.max("exit_ts").alias("end_ts"))
+    if alerts is None:
+        return t
+    raised = alerts.groupBy(*keys).agg(F.count_if("fired").alias("alerts_raised"))
+    return t.join(raised, keys, "left").withColumn("alerts_raised", F.coalesce("alerts_raised", F.lit(0)))
 
 
 def lifetime_totals(sessions: DataFrame, packets: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def newest_first(table: DataFrame, ts: str, key: str) -> DataFrame:
     return table.orderBy(F.col(ts).desc(), key)
 
 
-def by_id(table: DataFrame, key: str, value: str) -> DataFrame:
+def by_id(table: DataFrame, key: str, value: object) -> DataFrame:
     return table.where(F.col(key) == F.lit(value))
 
 
@@ -78,3 +86,10 @@ def changes_only(states: DataFrame, keys: list[str], order: list[str], columns:
     now, before = F.struct(*columns), F.lag(F.struct(*columns)).over(w)
     s = states.withColumn("_same", F.coalesce(now.eqNullSafe(before), F.lit(False)))
     return s.where("NOT _same OR _same IS NULL").drop("_same")
+
+
+def session_packets(sessions: DataFrame, packets: DataFrame) -> DataFrame:
+    """sessions with what their packets say: how many, their frames and mean composite; a session without one has 0."""
+    keys = ["node_id", "session_id"]
+    p = packets.groupBy(*keys).agg(F.count("*").alias("packets"), F.sum("frame_count").alias("frames"), F.avg("odd_score").alias("odd_mean"))
+    return sessions.join(p, keys, "left").fillna(0, ["packets", "frames"])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.config import Settings
-from roadloom.functions import geo, scores
+from roadloom.functions import geo, image, scores
 from roadloom.operators import asof, fleet, folds, gnss, heads, packets, store
 from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, table, ticks, with_samples
 
@@ -53,26 +55,30 @@ k AS (SELECT *, row_number() OVER (PARTITION BY node_id, visit ORDER BY score, t
 # -- flagship: packets ---------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL},
-x AS (SELECT node_id, visit, string_agg('evidence_' || (rank - 1) || '.png:' || dimension || ':' || reason || ':' || seq, ' ' ORDER BY rank) AS evidence FROM k WHERE rank <= 2 GROUP BY ALL),
-v AS (SELECT s.*, f.visit FROM s JOIN f USING (event_id) WHERE f.visit IS NOT NULL),
+#: v: samples of visits, d: statistics by visit and dimension, pk: packets.
+_PACKETS_CTE = """v AS (SELECT s.*, f.visit FROM s JOIN f USING (event_id) WHERE f.visit IS NOT NULL),
 d AS (SELECT node_id, visit, dimension, avg(score) FILTER (WHERE outcome = 'accepted') AS mean, count(*) FILTER (WHERE outcome = 'accepted') AS n,
-        count(*) FILTER (WHERE outcome = 'gated') AS g FROM v GROUP BY ALL),
+        coalesce(var_samp(score) FILTER (WHERE outcome = 'accepted'), 0) AS variance, count(*) FILTER (WHERE outcome = 'gated') AS g FROM v GROUP BY ALL),
 a AS (SELECT node_id, visit, round(avg((k * 11 % 100) / 100::DOUBLE), 9) AS rain, round(avg((k * 13 % 100) / 100::DOUBLE), 9) AS haze FROM v WHERE dimension = 'atmo' GROUP BY ALL),
 o AS (SELECT node_id, visit, sum(g) AS gated, max(mean) FILTER (WHERE dimension = 'lane_vis') AS lane, max(mean) FILTER (WHERE dimension = 'rough') AS rough,
         avg(mean) FILTER (WHERE dimension IN ('lens', 'glare', 'atmo')) AS perception FROM d GROUP BY ALL),
 w AS (SELECT f.node_id, f.visit, min_by(t.segment, t.seq) AS segment, min_by(t.time_bucket, t.seq) AS time_bucket, min_by(t.lat, t.seq) AS lat, count(*) AS frame_count,
-        sum(t.distance_m) AS distance_m, avg(t.speed_mps) AS speed_mean, max(t.duty) AS duty, max(t.cap) AS cap
-      FROM f JOIN t USING (event_id) WHERE f.visit IS NOT NULL GROUP BY ALL)
-SELECT w.node_id, w.visit, w.segment, w.time_bucket, w.frame_count, round(w.distance_m, 10) AS distance_m, round(w.speed_mean, 10) AS speed_mean,
-  CASE w.duty WHEN 2 THEN 'THROTTLED' WHEN 1 THEN 'REDUCED' ELSE 'NORMAL' END AS duty_cycle,
-  CASE w.cap WHEN 2 THEN 'RAW_MEASUREMENTS' WHEN 1 THEN 'STATUS_ONLY' ELSE 'NONE' END AS gnss_capability,
-  CAST(o.gated AS BIGINT) AS gated, round(100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + coalesce(0.24::DOUBLE * perception, 0))
-    / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + CASE WHEN perception IS NULL THEN 0 ELSE 0.24::DOUBLE END), 10) AS odd_score,
-  CASE WHEN rain >= 0.5 AND haze >= 0.4 THEN 'rain_fog' WHEN rain >= 0.5 THEN 'rain' WHEN haze >= 0.6 THEN 'fog' WHEN haze >= 0.35 THEN 'haze' ELSE 'clear' END AS weather
-,
-  coalesce(x.evidence, '') AS evidence, round(-90 + (floor((w.lat + 90) / 180 * 131072) + 0.5) * (180::DOUBLE / 131072), 9) AS centroid_lat, CAST(right(w.segment, 1) AS INTEGER) AS heading_bucket
-FROM w JOIN o USING (node_id, visit) JOIN a USING (node_id, visit) LEFT JOIN x USING (node_id, visit)""")
+        sum(t.distance_m) AS distance_m, avg(t.speed_mps) AS speed_mean, max(t.duty) AS duty, max(t.cap) AS cap, min(t.ts) AS enter_ts, max(t.ts) AS exit_ts
+      FROM f JOIN t USING (event_id) WHERE f.visit IS NOT NULL GROUP BY ALL),
+pk AS (SELECT w.*, gated, rain, haze, 100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + coalesce(0.24::DOUBLE * perception, 0))
+    / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + CASE WHEN perception IS NULL THEN 0 ELSE 0.24::DOUBLE END) AS odd_score
+  FROM w JOIN o USING (node_id, visit) JOIN a USING (node_id, visit))"""
+
+
+@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL}, {_PACKETS_CTE},
+x AS (SELECT node_id, visit, string_agg('evidence_' || (rank - 1) || '.png:' || dimension || ':' || reason || ':' || seq, ' ' ORDER BY rank) AS evidence FROM k WHERE rank <= 2 GROUP BY ALL)
+SELECT node_id, visit, segment, time_bucket, frame_count, round(distance_m, 10) AS distance_m, round(speed_mean, 10) AS speed_mean,
+  CASE duty WHEN 2 THEN 'THROTTLED' WHEN 1 THEN 'REDUCED' ELSE 'NORMAL' END AS duty_cycle,
+  CASE cap WHEN 2 THEN 'RAW_MEASUREMENTS' WHEN 1 THEN 'STATUS_ONLY' ELSE 'NONE' END AS gnss_capability,
+  CAST(gated AS BIGINT) AS gated, round(odd_score, 10) AS odd_score,
+  CASE WHEN rain >= 0.5 AND haze >= 0.4 THEN 'rain_fog' WHEN rain >= 0.5 THEN 'rain' WHEN haze >= 0.6 THEN 'fog' WHEN haze >= 0.35 THEN 'haze' ELSE 'clear' END AS weather,
+  coalesce(evidence, '') AS evidence, round(-90 + (floor((lat + 90) / 180 * 131072) + 0.5) * (180::DOUBLE / 131072), 9) AS centroid_lat, CAST(right(segment, 1) AS INTEGER) AS heading_bucket
+FROM pk LEFT JOIN x USING (node_id, visit)""")
 def visit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets.packets(visit_ticks(spark, sf_dir))
     gates = F.aggregate("gates", F.lit(0).cast("long"), lambda a, g: a + g["invalidated_count"])
@@ -128,11 +134,21 @@ def distance_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", r(geo.distance_delta(F.col("speed_mps"), (F.col("wall_ms") - F.col("prev_wall_ms")) * 1_000_000)).alias("delta"))
 
 
-@query("""SELECT event_type, upper(event_type) AS label, upper(left(event_type, 5)) AS short, 'node-' || replace('a ' || event_type, ' ', '_') AS node, event_type || '@' || '1' AS engine, 'other' AS class_group, round(avg(0.22::DOUBLE + 0.62::DOUBLE * least(value / 100, 1)), 10) AS luma FROM events GROUP BY event_type""")
+@query("""WITH n AS (SELECT p_partkey AS id, p_size, p_partkey % 12 AS i FROM part),
+m AS (SELECT *, (['lane_vis', 'gnss_q', 'illum', 'chaos', 'rough', 'lens', 'glare', 'atmo', 'nightq', 'Tram line', 'gnss', 'x'])[i + 1] AS dim, (['Person', 'bicycle', 'motorbike', 'CAR', 'bus', 'train', 'cow', 'Bird', 'auto', 'rickshaw', 'kite', ''])[i + 1] AS seen FROM n)
+SELECT id, CASE i WHEN 0 THEN 'LANE MARKINGS' WHEN 1 THEN 'GNSS QUALITY' WHEN 2 THEN 'ILLUMINATION' WHEN 3 THEN 'AGENT CHAOS' WHEN 4 THEN 'ROAD ROUGHNESS' WHEN 5 THEN 'LENS DIRT' WHEN 6 THEN 'GLARE / SUN' WHEN 7 THEN 'RAIN / FOG' WHEN 8 THEN 'NIGHT QUALITY' ELSE upper(dim) END AS label,
+  CASE i WHEN 0 THEN 'LANE' WHEN 1 THEN 'GNSS' WHEN 2 THEN 'ILUM' WHEN 3 THEN 'CHAOS' WHEN 4 THEN 'ROUGH' WHEN 5 THEN 'LENS' WHEN 6 THEN 'GLARE' WHEN 7 THEN 'ATMO' WHEN 8 THEN 'NIGHT' ELSE upper(left(dim, 5)) END AS short,
+  CASE WHEN i % 3 = 0 THEN 'node-' || replace('Pixel ' || dim, ' ', '_') ELSE 'n' || id END AS node, dim || '@' || p_size AS engine,
+  CASE i WHEN 0 THEN 'person' WHEN 1 THEN 'two_wheeler' WHEN 2 THEN 'two_wheeler' WHEN 3 THEN 'car' WHEN 4 THEN 'heavy' WHEN 5 THEN 'heavy' WHEN 6 THEN 'animal' WHEN 7 THEN 'animal' WHEN 8 THEN 'auto' WHEN 9 THEN 'auto' ELSE 'other' END AS class_group,
+  round(0.22::DOUBLE + 0.62::DOUBLE * least(greatest((p_size - 10) / 30.0::DOUBLE, 0), 1), 10) AS luma FROM m""")
 def labels_and_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(r(F.avg(scores.score_luminance(F.col("value") / 100))).alias("luma"))
-    t = F.col("event_type")
-    return e.select("event_type", scores.dimension_label(t).alias("label"), scores.dimension_short(t).alias("short"), scores.resolve_node_id(F.lit(" "), F.concat(F.lit("a "), t)).alias("node"), scores.engine_tag(t, F.lit("1")).alias("engine"), scores.class_group(t).alias("class_group"), "luma")
+    dims = F.array(*map(F.lit, ("lane_vis", "gnss_q", "illum", "chaos", "rough", "lens", "glare", "atmo", "nightq", "Tram line", "gnss", "x")))
+    seen = F.array(*map(F.lit, ("Person", "bicycle", "motorbike", "CAR", "bus", "train", "cow", "Bird", "auto", "rickshaw", "kite", "")))
+    i = (F.col("p_partkey") % 12).cast("int")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", i.alias("i"), dims[i].alias("dim"), seen[i].alias("seen"))
+    own = F.when(F.col("i") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("n"), "id"))
+    d = F.col("dim")
+    return p.select("id", scores.dimension_label(d).alias("label"), scores.dimension_short(d).alias("short"), scores.resolve_node_id(own, F.concat(F.lit("Pixel "), d)).alias("node"), scores.engine_tag(d, F.col("p_size").cast("string")).alias("engine"), scores.class_group(F.col("seen")).alias("class_group"), r(scores.score_luminance((F.col("p_size") - 10) / 30)).alias("luma"))
 
 
 # -- gates, conditions, aggregates -----------------------------------------------------------------
@@ -196,13 +212,18 @@ def capability_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnss.latch_capability(t, "node_id", "seq", "rank").select("event_id", "capability")
 
 
-@query("""WITH e AS (SELECT l_orderkey, count(*) AS uin, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS used FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, round(0.25::DOUBLE * least(used / 12::DOUBLE, 1) + 0.15::DOUBLE * (1 - least(l_orderkey % 50 / 40::DOUBLE, 1)) + 0.10::DOUBLE, 10) AS score FROM e""")
+@query("""WITH g AS (SELECT l_orderkey, l_quantity AS cn0, l_linenumber % 2 = 1 AS used, l_suppkey % 5 AS con, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 = 1 ORDER BY l_quantity DESC) AS rk,
+  count(*) OVER (PARTITION BY l_orderkey, l_linenumber % 2 = 1) AS nu, stddev_pop(l_quantity) OVER (PARTITION BY l_orderkey) + avg(l_quantity) OVER (PARTITION BY l_orderkey) AS jitter FROM lineitem),
+e AS (SELECT l_orderkey, count(*) FILTER (WHERE used) AS used, coalesce(avg(cn0) FILTER (WHERE used), avg(cn0), 0) AS mean, coalesce(avg(cn0) FILTER (WHERE used AND rk <= greatest(1, nu // 4)), 0) AS top,
+  count(DISTINCT con) FILTER (WHERE used) AS cons, CASE WHEN count(*) FILTER (WHERE used) >= 2 THEN var_pop(cn0) FILTER (WHERE used) ELSE 0 END AS var, any_value(jitter) AS jitter FROM g GROUP BY l_orderkey),
+m AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 0.5 * least(var / 25, 1) + 0.5 * least(jitter / 5, 1) ELSE least(var / 25, 1) END AS multipath FROM e)
+SELECT l_orderkey, round(0.25::DOUBLE * least(used / 12::DOUBLE, 1) + 0.20::DOUBLE * least(greatest((mean - 20) / 25, 0), 1) + 0.15::DOUBLE * least(greatest((top - 25) / 23, 0), 1) + 0.15::DOUBLE * least(cons / 4::DOUBLE, 1)
+  + 0.15::DOUBLE * (1 - least(l_orderkey % 50 / 40::DOUBLE, 1)) + 0.10::DOUBLE * (1 - multipath), 10) AS score FROM m""")
 def gnss_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("in_view"), F.count_if(F.col("l_linenumber") % 2 == 1).alias("used"))
-    zero = F.lit(0.0)
-    epoch = F.struct("used", "in_view", zero.alias("mean_cn0"), zero.alias("top_quartile_cn0"), zero.alias("constellations"), zero.alias("cn0_variance"), zero.alias("jitter"), F.lit("NONE").alias("capability"))
-    return e.select("l_orderkey", r(heads.gnss_q(epoch, (F.col("l_orderkey") % 50).cast("double"))["score"]).alias("score"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.col("l_quantity").alias("cn0_dbhz"), (F.col("l_linenumber") % 2 == 1).alias("used_in_fix"), (F.col("l_suppkey") % 5).alias("constellation"))
+    e = gnss.epochs(l, ["l_orderkey"]).join(gnss.jitter(l, ["l_orderkey"], "l_quantity"), "l_orderkey")
+    e = e.withColumn("capability", F.when(F.col("l_orderkey") % 3 == 0, "RAW_MEASUREMENTS").otherwise("STATUS_ONLY"))
+    return e.select("l_orderkey", r(heads.gnss_q(F.struct(*e.columns), (F.col("l_orderkey") % 50).cast("double"))["score"]).alias("score"))
 
 
 # -- joins in time ---------------------------------------------------------------------------------
@@ -341,7 +362,7 @@ def evict_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey = 77")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    return o.where(F.col("id") == 77)
+    return store.by_id(o, "id", 77)
 
 
 @query(f"""WITH {_PACKETS_SQL}, c AS (SELECT packet_id, 'DONE' AS status, created_at FROM p WHERE packet_id % 5 = 0 UNION ALL SELECT packet_id + 10000000, 'PENDING', created_at FROM p WHERE packet_id % 50 = 0)
@@ -366,10 +387,13 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("packet_id", F.when(F.col("status") == "FAILED", "error").otherwise(F.col("status")).alias("status"), "attempts")
 
 
-@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL} SELECT node_id, round(sum(distance_m), 10) AS distance_m, count(DISTINCT visit) AS segments_visited FROM f WHERE visit IS NOT NULL GROUP BY node_id""")
+@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, l AS (SELECT node_id, count(*) AS alerts FROM t WHERE k / 100::DOUBLE >= 0.45::DOUBLE OR (k * 7 % 100) / 100::DOUBLE >= 0.65::DOUBLE OR greatest(k * 11 % 100, k * 13 % 100) / 100::DOUBLE >= 0.6::DOUBLE GROUP BY node_id)
+SELECT node_id, round(sum(f.distance_m), 10) AS distance_m, count(DISTINCT visit) AS segments_visited, coalesce(any_value(alerts), 0) AS alerts_raised FROM f LEFT JOIN l USING (node_id) WHERE visit IS NOT NULL GROUP BY node_id""")
 def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packets.visit_windows(visited(spark, sf_dir).where("visit IS NOT NULL"))
-    return store.session_totals(p).select("node_id", r(F.col("distance_m")).alias("distance_m"), "segments_visited")
+    t = visited(spark, sf_dir)
+    p = packets.visit_windows(t.where("visit IS NOT NULL"))
+    fired = packets.with_conditions(with_samples(t)).withColumn("fired", F.col("alert").isNotNull())
+    return store.session_totals(p, fired).select("node_id", r(F.col("distance_m")).alias("distance_m"), "segments_visited", "alerts_raised")
 
 
 @query(f"""WITH {_PACKETS_SQL} SELECT (SELECT count(*) FROM customer) AS sessions, (SELECT round(sum(c_acctbal) / 1000, 6) FROM customer) AS km, count(*) AS packets, count(*) FILTER (WHERE status = 'DONE') AS uploaded FROM p""")
@@ -382,43 +406,48 @@ def lifetime_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- map and fleet -----------------------------------------------------------------------------------
 
 
-def map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted samples as packet scores of one sample each."""
-    g = gated(spark, sf_dir).where("segment IS NOT NULL").select("segment", "time_bucket", "duty_cycle", "gnss_capability", F.explode("samples").alias("s"))
-    return g.select("segment", "time_bucket", "duty_cycle", "gnss_capability", "s.*").where("outcome = 'accepted'").select(
-        "segment", "time_bucket", "duty_cycle", "gnss_capability", "dimension", F.col("score").alias("mean"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("variance")
-    )
+def packets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.packets(visit_ticks(spark, sf_dir))
 
 
-_MAP_SQL = f"{TICKS_SQL}, {SAMPLES_SQL}, m AS (SELECT * FROM s WHERE outcome = 'accepted' AND segment IS NOT NULL)"
+_MAP_SQL = f"RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_PACKETS_CTE}, m AS (SELECT pk.segment, pk.time_bucket, pk.duty, pk.cap, d.dimension, d.mean, d.n, d.variance FROM d JOIN pk USING (node_id, visit) WHERE d.n > 0)"
 
 
-@query(f"""WITH {_MAP_SQL} SELECT segment, time_bucket, dimension, round(avg(score), 10) AS mean, count(*) AS packets FROM m GROUP BY GROUPING SETS ((segment), (segment, dimension), (segment, time_bucket, dimension))""")
+@query(f"""WITH {_MAP_SQL}, b AS (SELECT segment, time_bucket, dimension, mean FROM m UNION ALL SELECT segment, time_bucket, 'odd', odd_score / 100 FROM pk)
+SELECT segment, time_bucket, dimension, round(avg(mean), 10) AS mean, count(*) AS packets FROM b GROUP BY GROUPING SETS ((segment, dimension), (segment, time_bucket, dimension))""")
 def map_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.map_sets(map_rows(spark, sf_dir)).withColumn("mean", r(F.col("mean")))
+    return fleet.map_sets(packets_of(spark, sf_dir)).withColumn("mean", r(F.col("mean")))
 
 
-@query(f"""WITH {_MAP_SQL} SELECT segment, dimension, round(avg(score) FILTER (WHERE time_bucket = 'DAY'), 10) AS DAY, round(avg(score) FILTER (WHERE time_bucket = 'DUSK_DAWN'), 10) AS DUSK_DAWN, round(avg(score) FILTER (WHERE time_bucket = 'NIGHT'), 10) AS NIGHT FROM m GROUP BY segment, dimension""")
+@query(f"""WITH {_MAP_SQL} SELECT segment, dimension, round(avg(mean) FILTER (WHERE time_bucket = 'DAY'), 10) AS DAY, round(avg(mean) FILTER (WHERE time_bucket = 'DUSK_DAWN'), 10) AS DUSK_DAWN, round(avg(mean) FILTER (WHERE time_bucket = 'NIGHT'), 10) AS NIGHT FROM m GROUP BY segment, dimension""")
 def map_pivot_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fleet.bucket_pivot(map_rows(spark, sf_dir))
+    p = fleet.bucket_pivot(fleet.exploded_scores(packets_of(spark, sf_dir)))
     return p.select("segment", "dimension", *[r(F.col(b)).alias(b) for b in fleet.BUCKETS])
 
 
-_POOL_SQL = f"""{_MAP_SQL}, x AS (SELECT *, (CASE cap WHEN 2 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE) * (CASE duty WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.3 END::DOUBLE) AS w FROM m),
-g AS (SELECT segment, time_bucket, dimension, sum(w) AS weight, count(*) AS n, sum(w * score) / sum(w) AS mean, sum(w * score * score) / sum(w) AS sq FROM x GROUP BY ALL)"""
+_POOL_SQL = f"""{_MAP_SQL}, x AS (SELECT *, n * (CASE cap WHEN 2 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE) * (CASE duty WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.3 END::DOUBLE) AS w FROM m),
+g AS (SELECT segment, time_bucket, dimension, sum(w) AS weight, CAST(sum(n) AS BIGINT) AS n, sum(w * mean) / sum(w) AS mean, sum(w * (variance + mean * mean)) / sum(w) AS sq FROM x GROUP BY ALL)"""
 
 
-@query(f"WITH {_POOL_SQL} SELECT segment, time_bucket, dimension, round(weight, 10) AS weight, n, round(mean, 10) AS mean, round(greatest(sq - mean * mean, 0), 10) AS variance FROM g")
+@query(f"WITH {_POOL_SQL} SELECT segment, time_bucket, dimension, round(weight, 9) AS weight, n, round(mean, 9) AS mean, round(greatest(sq - mean * mean, 0), 9) AS variance FROM g")
 def fleet_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fleet.pool(map_rows(spark, sf_dir))
-    return p.select("segment", "time_bucket", "dimension", r(F.col("weight")).alias("weight"), "n", r(F.col("mean")).alias("mean"), r(F.col("variance")).alias("variance"))
+    p = fleet.pool(fleet.exploded_scores(packets_of(spark, sf_dir)))
+    return p.select("segment", "time_bucket", "dimension", r(F.col("weight"), 9).alias("weight"), "n", r(F.col("mean"), 9).alias("mean"), r(F.col("variance"), 9).alias("variance"))
 
 
-@query(f"""WITH {_POOL_SQL}, o AS (SELECT segment, time_bucket, sum(weight) AS weight, max(mean) FILTER (WHERE dimension = 'lane_vis') AS lane, max(mean) FILTER (WHERE dimension = 'rough') AS rough, avg(mean) FILTER (WHERE dimension IN ('lens', 'glare', 'atmo')) AS p FROM g GROUP BY ALL)
-SELECT segment, time_bucket, round(weight, 10) AS weight, round(100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + 0.24::DOUBLE * p) / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + 0.24::DOUBLE), 10) AS odd_score FROM o""")
+@query(f"""WITH {_POOL_SQL}, pc AS (SELECT segment, time_bucket, sum(weight) AS weight, max(mean) FILTER (WHERE dimension = 'lane_vis') AS lane, max(mean) FILTER (WHERE dimension = 'rough') AS rough, avg(mean) FILTER (WHERE dimension IN ('lens', 'glare', 'atmo')) AS p FROM g GROUP BY ALL)
+SELECT segment, time_bucket, round(weight, 9) AS weight, round(100 * (coalesce(0.22::DOUBLE * lane, 0) + coalesce(0.10::DOUBLE * rough, 0) + 0.24::DOUBLE * p) / (CASE WHEN lane IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN rough IS NULL THEN 0 ELSE 0.10::DOUBLE END + 0.24::DOUBLE), 9) AS odd_score FROM pc""")
 def fleet_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fleet.pooled_composite(fleet.pool(map_rows(spark, sf_dir)))
-    return c.select("segment", "time_bucket", r(F.col("weight")).alias("weight"), r(F.col("odd_score")).alias("odd_score"))
+    c = fleet.pooled_composite(fleet.pool(fleet.exploded_scores(packets_of(spark, sf_dir))))
+    return c.select("segment", "time_bucket", r(F.col("weight"), 9).alias("weight"), r(F.col("odd_score"), 9).alias("odd_score"))
+
+
+@query(f"""WITH {_MAP_SQL}, h AS (SELECT pk.segment, d.dimension, CAST(sum(d.g) AS BIGINT) AS gated, CAST(sum(d.n) AS BIGINT) AS accepted FROM d JOIN pk USING (node_id, visit) GROUP BY ALL)
+SELECT segment, dimension, gated, round(gated / (gated + accepted), 9) AS share FROM h WHERE gated > 0""")
+def fleet_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where sensor faults, not the road, decide."""
+    g = fleet.gate_totals(packets_of(spark, sf_dir))
+    return g.select("segment", "dimension", "gated", r(F.col("share"), 9).alias("share"))
 
 
 _PROJECT_SQL = f"""{TICKS_SQL}, a AS (SELECT segment, min(lat) AS lat, min(lon) AS lon FROM t WHERE segment IS NOT NULL GROUP BY segment), b AS (SELECT *, avg(lat) OVER () AS lat0, avg(lon) OVER () AS lon0 FROM a),
@@ -449,20 +478,23 @@ def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p, count(*) OVER (PARTITION BY user_id) AS kinds FROM c)
 SELECT user_id, round(-sum(p * ln(p)) / ln(greatest(max(kinds), 2)), 10) AS entropy FROM p GROUP BY user_id""")
 def class_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))
-    e = e.withColumn("p", share)
-    return e.groupBy("user_id").agg(r(-F.sum(F.col("p") * F.log("p")) / F.log(F.greatest(F.count("*"), F.lit(2)).cast("double"))).alias("entropy"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("kinds"))
+    return e.select("user_id", r(heads.class_entropy(F.col("kinds"))).alias("entropy"))
 
 
 @query("""WITH h AS (SELECT l_returnflag AS f, CAST(floor(l_quantity) AS INTEGER) AS v, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY f ORDER BY v) AS cum, sum(n) OVER (PARTITION BY f) AS total FROM h)
 SELECT f, min(v) FILTER (WHERE cum >= floor(total * 0.5)) AS p50, min(v) FILTER (WHERE cum >= floor(total * 0.95::DOUBLE)) AS p95 FROM c GROUP BY f""")
 def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f"), F.floor("l_quantity").cast("int").alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("f")
-    h = h.withColumns({"cum": F.sum("n").over(w.orderBy("v")), "total": F.sum("n").over(w)})
-    at = lambda p: F.min(F.when(F.col("cum") >= F.floor(F.col("total") * p), F.col("v")))
-    return h.groupBy("f").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    # 256 counters, as a frame has them
+    counts = h.groupBy("f").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"))
+    hist = counts.select("f", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.col("m")[v], F.lit(0))).alias("hist"))
+
+    @F.pandas_udf("p50 int, p95 int")
+    def percentiles(hists: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(image.hist_percentile(np.asarray(x), 0.5), image.hist_percentile(np.asarray(x), 0.95)) for x in hists], columns=["p50", "p95"])
+
+    return hist.select("f", percentiles("hist").alias("p")).select("f", "p.p50", "p.p95")
 
 
 @query("SELECT vec_id, round(list_sort(embedding)[33]::DOUBLE, 10) AS med FROM embeddings")
