@@ -51,13 +51,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights: documents are left out, taken or repeated, always whole."""
+    """Sources meet their target weights: documents are left out, taken or repeated, always whole.
+
+    A null source is a source; a document without words, or of a source without any, has
+    nothing to give and goes. Null and repeated ids and repeated rows each count. n_chars becomes the text's length.
+    """
     drawn = mixing.draw_rows(mixing.mix(docs.select(*COLUMNS), whole=True))
     return drawn.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, bucket, padded_size, batch, batch_docs_max of every row."""
+    """doc_id, size, bucket, padded_size, batch, batch_docs_max of every row, those with null or repeated ids as well; a null text has size 0."""
     return packing.pack(docs.select("doc_id", "text"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import tempfile
 import uuid
 
@@ -91,11 +92,17 @@ def id_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def range_part(key: Column, bounds: list[int]) -> Column:
-    """The number of the range that holds key: how many bounds are <= key; null keys go to range 0."""
+    """The number of the range that holds key: how many bounds are <= key; null keys go to range 0.
+
+    Found in two steps, among every so many-th bound and then between two of those.
+    """
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key.cast("long"))), F.lit(0)).cast("int")
+    step = math.isqrt(len(bounds)) or 1
+    longs = lambda bs: F.array(*[F.lit(int(b)).cast("long") for b in bs]).cast("array<bigint>")
+    upto = lambda cuts: F.size(F.filter(cuts, lambda b: b <= key.cast("long")))
+    coarse = upto(longs(bounds[step - 1 :: step])) * step
+    return F.when(key.isNull(), 0).otherwise(coarse + upto(F.slice(longs(bounds), coarse + 1, step))).cast("int")
 
 
 def running_sum(df: DataFrame, group: list[str], h: str, ties: list[str], value: str, into: str) -> DataFrame:

@@ -154,7 +154,7 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame
         to = F.when(F.col("doc_id").isNull(), F.lit(halo_of[0])).otherwise(to)
     copies = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("halo")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(1).alias("halo")))))
     dealt = rows.withColumn("_c", F.explode(copies)).select("doc_id", "text", "_c.part", "_c.halo")
-    dealt = dealt.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(now: tuple, after: tuple) -> tuple:
@@ -193,7 +193,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of docs (doc_id, text)."""
+    """doc_id, fingerprint of docs (doc_id, text), a row for each row: null and empty texts have the empty one, null and repeated ids stay, an empty table gives none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

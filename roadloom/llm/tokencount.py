@@ -8,7 +8,8 @@ its pre-tokens. Three steps:
    each, the documents that hold it and how often, packed by token bucket.
 2. Slices meet in the bucket of the pre-token's hash: its pieces are counted
    once there, and joined to the frequencies. A frequent pre-token is one entry per
-   slice, so it makes no bucket hot.
+   slice, so it makes no bucket hot. Of a large input each bucket has several tasks, by
+   slice (see PARTITIONS_PER_TASK), and counts once in each.
 3. Each slice's partial sums are added up.
 
 Edge cases: null text counts as empty: 0 bytes, 0 tokens. Repeated rows and
@@ -30,6 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: A bucket of over so many partitions of input is worked on by several tasks, each for its share of the slices.
+PARTITIONS_PER_TASK = 256
+#: Pre-tokens whose pieces a task remembers.
+KNOWN = 2_000_000
 SLICE_BYTES = 6_000_000
 SLICE_DOCS = 4096
 LIMIT = 4096
@@ -146,6 +151,8 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = LIMIT, bucket
                     out.append((r["slice"], None, r["doc_ids"], r["sizes"]))
                     continue
                 tokens = _unpack_tokens(r["tokens"], len(r["marks"]) // 4)
+                if len(known) > KNOWN:
+                    known = {"": 1}
                 new = [t for t in tokens if t not in known]
                 known.update(zip(new, map(len, model.encode(new, num_threads=1)), strict=True))
                 pieces = np.repeat(np.fromiter((known[t] for t in tokens), np.int64, len(tokens)), np.frombuffer(r["marks"], "<u4"))
@@ -169,5 +176,8 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = LIMIT, bucket
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": n, "over_limit": n > limit})
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, PACKED)
-    sums = packed.repartition("bucket").mapInArrow(partial, "slice long, sums binary, doc_ids array<long>, sizes array<long>")
+    shares = -(-docs.rdd.getNumPartitions() // PARTITIONS_PER_TASK)
+    share = F.pmod(F.xxhash64("slice"), F.lit(shares))
+    dealt = packed.repartition(*(["bucket"] if shares == 1 else [buckets * shares, "bucket", share]))
+    sums = dealt.mapInArrow(partial, "slice long, sums binary, doc_ids array<long>, sizes array<long>")
     return sums.groupBy("slice").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,7 +6,8 @@ Format, per part of the id range (parts are runs of ascending doc_id):
                     unsigned 16-bit (32-bit where the vocabulary has over 65,536)
   part-NNNNNN.idx   64-bit little-endian offsets, in ids: n_docs + 1 of them
   part-NNNNNN.doc   64-bit doc_ids, n_docs of them
-  manifest/         Parquet: part, n_docs, n_tokens, base; base is the prefix
+  manifest/         Parquet: part, n_docs, n_tokens, width, base; width is the bytes
+                    of an id, base is the prefix
                     sum of n_tokens, so base + offset is a document's place in the
                     whole stream
 
@@ -41,7 +42,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import id_bounds, range_part, stash
+from roadloom.llm.shared import discard, id_bounds, range_part, stash
 from roadloom.llm.tokencount import slices
 
 END_ID = 2
@@ -207,14 +208,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, parts: int |
                 now.add(batch.column("doc_id").slice(a, z - a).to_pylist(), batch.column("ids").slice(a, z - a).to_pylist())
         if now is not None:
             done.append(now.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([dtype.itemsize] * len(done), pa.int32())], names=["part", "n_docs", "n_tokens", "width"])
 
     encoded = docs.mapInArrow(encode, "doc_id long, ids binary").withColumn("part", range_part(F.col("doc_id"), bounds))
-    dealt = encoded.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    written = stash(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long"), "token-parts")
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    written = stash(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long, width int"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    manifest = written.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    manifest = written.select("part", "n_docs", "n_tokens", "width", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    discard(written)
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
@@ -227,14 +229,13 @@ def _open(folder: str, part: int, kind: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def read_ids(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
+def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit numbers) of every document, from the files."""
-    kind = f"<u{width}"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = _open(folder, r["part"], ".bin", kind)
+                ids = _open(folder, r["part"], ".bin", f"<u{r['width']}")
                 ends = np.asarray(_open(folder, r["part"], ".idx", "<u8")).astype(np.int64)
                 who = np.asarray(_open(folder, r["part"], ".doc", "<i8"))
                 crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

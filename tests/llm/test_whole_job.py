@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadloom.llm import langid, spotsigs
 
@@ -106,3 +107,100 @@ def test_pipeline_mixes_whole_documents(spark):
     total = sum(len(t.split()) for t in texts.values())
     for s, share in (("s0", 1 / 6), ("s1", 2 / 6), ("s2", 3 / 6)):
         assert abs(words(s) - total * share) <= 45.5
+
+
+# -- op5_packing, pipeline: whole rows
+
+
+def brute_pack(rows, buckets, budget, seed=5):
+    """Every row of the packing, with boundaries from the least cost over all choices."""
+    import hashlib
+    import itertools
+
+    sizes = [len((t or "").split()) for _, t in rows]
+    lengths = sorted(set(sizes))
+    cost = lambda cuts: sum(min(c for c in cuts if c >= n) for n in sizes)
+    choices = [(*c, lengths[-1]) for k in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], k)]
+    best = min(map(cost, choices))
+    return sizes, best, {c for c in choices if cost(c) == best}, [hashlib.md5(f"{seed}:{d}".encode()).hexdigest() for d, _ in rows]
+
+
+def test_packing_whole_rows(spark):
+    from roadloom.llm import packing
+
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 2, 5, 9, 30, 31, 70])))) for i in range(120)] + [(500, None), (501, "w " * 3000)]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=4, budget=100).collect()}
+    sizes, best, choices, order = brute_pack(rows, 4, 100)
+    assert len(got) == len(rows) and sum(r["padded_size"] for r in got.values()) == best
+    tops = tuple(sorted({r["padded_size"] for r in got.values()}))
+    assert tops in choices
+    for b, top in enumerate(tops):
+        fit = max(1, 100 // max(1, top))
+        own = sorted((h, d) for h, (d, _), n in zip(order, rows, sizes, strict=True) if n <= top and (b == 0 or n > tops[b - 1]))
+        for rank, (_, d) in enumerate(own):
+            r = got[d]
+            assert (r["bucket"], r["padded_size"], r["batch"], r["batch_docs_max"]) == (b, top, rank // fit, fit)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, repeated rows, very long texts, null columns."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    kinds = {"en": ("the", "thing", "other", "ing"), "de": ("schule", "ein", "ungern", "sch")}
+    text = lambda lang, n=40: " ".join(rng.choice(kinds[lang]) + str(rng.randrange(50)) for _ in range(n))
+    rows = [(i, text(lang), lang, f"s{i % 2}", 1) for i in range(60) for lang in [rng.choice(["en", "de"])]]
+    long_text = text("en", 150_000)
+    rows += [(None, text("en"), "en", None, None) for _ in range(5)] + [(7, text("de"), None, "s1", None)] * 3 + [(900, long_text, "en", "s0", 0), (901, long_text + " other1", "en", "s0", 0), (902, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = p.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in out]
+    assert 901 not in ids and 902 not in ids
+    kept = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, p.language_id(spark, docs, ""), "").collect()]
+    assert len(kept) == len(set(kept)) == 60 + 5 + 1 + 1
+    packed = {r["doc_id"]: r for r in p.pack(spark, docs, "").collect()}
+    assert packed[900]["size"] == 150_000 and packed[902]["size"] == 0 and p.pack(spark, docs, "").count() == len(rows)
+
+
+# -- op3, op4: ranges
+
+
+def test_ranges_of_ids(spark):
+    from roadloom.llm.shared import range_part
+
+    rng = random.Random(1)
+    keys = [rng.randrange(-50, 150) for _ in range(200)] + [None, -(2**63), 2**63 - 1]
+    t = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (1, 2, 3, 7, 16, 40):
+        bounds = sorted(rng.sample(range(100), n))
+        got = t.select("k", range_part(F.col("k"), bounds).alias("p")).collect()
+        assert all(r["p"] == (0 if r["k"] is None else sum(b <= r["k"] for b in bounds)) for r in got)
+
+
+def test_fingerprints_of_a_table(spark):
+    rows = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (None, "the cat sat on the mat"), (2, None), (3, ""), (4, "word " * 50_000)]
+    got = spotsigs.fingerprints(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fingerprint int")).collect()
+    assert len(got) == len(rows) and {r["fingerprint"] for r in got if r["doc_id"] in (2, 3)} == {""}
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, None)}) == 1
+    assert spotsigs.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# -- op6_token_counts: large inputs
+
+
+def test_buckets_with_several_tasks(spark, monkeypatch):
+    import sentencepiece
+
+    from roadloom.llm import tokencount
+    from roadloom.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(tokencount, "PARTITIONS_PER_TASK", 2)
+    monkeypatch.setattr(tokencount, "KNOWN", 5)
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"word{rng.randrange(40)}" for _ in range(rng.randrange(30)))) for i in range(90)]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), path).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in rows}
