@@ -61,14 +61,18 @@ def give_back() -> None:
 
 #: A group of more rows is joined by broadcast, unless a thousandth of all rows are more.
 HOT_ROWS = 1000
+#: Where there are no more rows than this, all their groups, a few numbers each, are broadcast.
+BROADCAST_GROUPS = 200_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
     """rows joined with groups: one row for each value of key, whose column n_rows says how many rows have it (and is dropped).
 
-    Groups of more than n_rows / 1000 rows, fewer than a thousand of them, are
+    Of more than BROADCAST_GROUPS rows, groups of more than n_rows / 1000 rows, fewer than a thousand of them, are
     broadcast, so that no task gets a hot group; the others are shuffled.
     """
+    if n_rows <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups.drop("n_rows")), key)
     limit = max(HOT_ROWS, n_rows // 1000)
     hot = F.broadcast(groups.where(F.col("n_rows") > limit).drop("n_rows"))
     cold = groups.where(F.col("n_rows") <= limit).drop("n_rows")
