@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import ann, chat, langid, mixing, ngramjoin, packing, spotsigs, tokencount, tokenids, urls
-from roadloom.llm.shared import new_dir
+from roadloom.llm import ann, chat, langid, mixing, ngramjoin, packing, periodic, spelling, spotsigs, substring, tokencount, tokenids, urls
+from roadloom.llm.shared import WORD, new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,127 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+), s AS (
+  SELECT *, CASE WHEN count(*) OVER f = 35 THEN md5(string_agg(word, ' ') OVER f) END AS h
+  FROM p WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), c AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM s
+), k AS (SELECT *, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c
+), a AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), of which a tenth get a periodic tail.
+
+    With h = crc32(doc_id), g = h div 10 and n words: where 10 divides h, word i >= a becomes word
+    a + (i - a) % p, for a = g % n and p = 1 + (n - a) div (3 + g % 8). Null ids and empty texts stay as they are.
+    """
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    g = F.expr("crc32(CAST(doc_id AS STRING)) div 10")
+
+    def periodic_from(w: Column, a: Column, p: Column) -> Column:
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        bound = let(F.struct((g % n).alias("a"), n.alias("n")), lambda s: F.struct(s["a"].alias("a"), (1 + F.floor((s["n"] - s["a"]) / (3 + g % 8))).alias("p")))
+        return F.when(n > 0, let(bound, lambda s: periodic_from(w, s["a"], s["p"])))
+
+    chosen = F.expr("crc32(CAST(doc_id AS STRING)) % 10 = 0")
+    tailed = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), of_words)
+    return docs.select("doc_id", F.when(chosen, F.coalesce(tailed, "text")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_tails(table(spark, sf_dir, "documents").select("doc_id", "text")), min_length=6, min_exponent=4)
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    said = F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli",
+        F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: What each byte adds to a crc32, from its polynomial; used as crc.t by crc32_sql().
+CRC_TABLE = """SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes as SQL."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(crc.t[xor(c, b) % 256 + 1], c >> 8)))"""
+
+
+ORACLES["op12_periodic_runs"] = rf"""
+WITH crc AS ({CRC_TABLE}
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc
+), m AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a FROM d
+), e AS (
+  SELECT r, doc_id, len(w) AS n, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + h // 10 % 8)) + 1] END) END AS w
+  FROM m
+), p AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM e
+), j AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM p x JOIN p y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), k AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM j
+), runs AS (
+  SELECT r, start, length, min(q) AS q FROM (SELECT r, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY r, q, island)
+  WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length
+), said AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS said FROM runs GROUP BY r
+), best AS (SELECT r, start, length, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / q DESC, start, q) = 1
+), gone AS (SELECT DISTINCT p.r, i FROM p JOIN runs ON p.r = runs.r AND i >= start + q AND i < start + length
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM p WHERE (r, i) NOT IN (SELECT r, i FROM gone) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN said USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, min_length=7, min_count=2, ratio=10, noise=31)
+
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}
+), t AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+), h AS (
+  SELECT run, k, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS k FROM t WHERE length(run) >= 7 GROUP BY doc_id, run), crc
+), words AS (
+  SELECT w, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM h)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(k) >= 2
+), gaps AS (SELECT w, n, i, left(w, i) || substr(w, i + 2) AS d FROM (SELECT w, n, unnest(range(length(w))) AS i FROM words)
+), longer AS (SELECT DISTINCT gaps.w AS a, words.w AS b FROM gaps JOIN words ON gaps.d = words.w
+), pairs AS (
+  SELECT x.w AS a, y.w AS b FROM gaps x JOIN gaps y ON x.d = y.d AND x.i = y.i AND x.w <> y.w UNION SELECT a, b FROM longer UNION SELECT b, a FROM longer
+), near AS (SELECT a, b, n FROM pairs JOIN words ON b = w
+), many AS (SELECT a, count(*) AS n_near FROM near GROUP BY a
+), best AS (SELECT a, b, n AS b_n FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1
+), forms AS (SELECT w, words.n, b, b_n FROM words JOIN best ON a = w WHERE b_n >= 10 * words.n
+), walk AS (
+  SELECT w, b AS leads FROM forms UNION ALL SELECT walk.w, forms.b FROM walk JOIN forms ON walk.leads = forms.w
+), ends AS (SELECT walk.w, leads FROM walk LEFT JOIN forms ON leads = forms.w WHERE forms.w IS NULL)
+SELECT words.w AS word, words.n, coalesce(n_near, 0) AS n_near, forms.b AS form, forms.b_n AS form_n, coalesce(ends.leads, words.w) AS root
+FROM words LEFT JOIN many ON a = words.w LEFT JOIN forms ON forms.w = words.w LEFT JOIN ends ON ends.w = words.w
+"""
