@@ -1,11 +1,14 @@
 """From ticks with samples to one packet per segment visit: gates, Welford statistics, composite, evidence.
 
 What is ordered, the visit number (folds.assign_visits), a visit's opening and its evidence, are
-windows over one shuffle by vehicle; all else is one aggregate over long rows.
+windows over one shuffle by vehicle; all else is one aggregate over long rows and arithmetic on
+the few it leaves of a visit. partials() and assemble() are apart, so that a stream can emit the same packets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,8 +106,7 @@ def _statistics(ticks: DataFrame, s: Settings) -> DataFrame:
     opening = F.when(F.col("opens"), entry(F.lit(TICK), F.col("segment"), F.lit("opening"), F.col("time_bucket"), F.array(pair(F.lit("opening"), null))))
     shown = F.when(F.col("evidence_reason").isNotNull(), entry(F.lit(TICK), F.col("worst.dimension"), F.lit("evidence"), F.col("evidence_reason"), F.array(pair(F.col("seq"), F.col("worst.score")))))
     numbers = ("distance_m", "speed_mps", "duty", "capability", "raw_gnss", "light_sensor")
-    t = ticks.withColumns({"duty": _rank(DUTIES, F.col("duty_cycle")), "capability": _rank(CAPABILITIES, F.col("gnss_capability"))})
-    rows = t.select(*VISIT, "ts", "seq", *numbers, F.explode_outer(F.concat(of_samples, F.array_compact(F.array(tick, opening, shown)))).alias("x")).select(*VISIT, "ts", "seq", *numbers, "x.*")
+    rows = ranked(ticks).select(*VISIT, "ts", "seq", *numbers, F.explode_outer(F.concat(of_samples, F.array_compact(F.array(tick, opening, shown)))).alias("x")).select(*VISIT, "ts", "seq", *numbers, "x.*")
     rows = rows.withColumn("v", F.explode_outer("values")).select("*", "v.key", "v.value").drop("values", "v")
     is_tick = F.col("outcome") == "tick"
     moving = F.when(is_tick & (F.col("speed_mps") >= 0), F.col("speed_mps"))
@@ -117,37 +119,84 @@ def _statistics(ticks: DataFrame, s: Settings) -> DataFrame:
 
 
 #: What a visit's row of dimension TICK carries.
-_OF_TICKS = ("rows", "first_ts", "last_ts", "distance_m", "speed_mean", "speed_min", "speed_max", "duty", "capability", "raw_gnss", "light_sensor")
-
-
-def _by_dimension_and_visit(stats: DataFrame, s: Settings) -> DataFrame:
-    """_statistics with a row per visit and dimension: statistics of accepted samples, gates, failures, means of the raw values; for TICK what the ticks say."""
-    ok, own = F.col("outcome") == "accepted", F.col("key") == ""
-    n, at = F.col("n"), F.col("mean")
-    # accepted rows of several engines are put together; those of one stay as they are
-    count = F.sum(F.when(ok, n))
-    mean = F.when(F.count_if(ok) == 1, F.max(F.when(ok, at))).otherwise(F.sum(F.when(ok, n * at)) / count)
-    square = F.sum(F.when(ok, (n - 1) * F.coalesce("variance", F.lit(0.0)) + n * at * at))
-    variance = F.when(F.count_if(ok) == 1, F.max(F.when(ok, F.col("variance")))).otherwise((square - count * mean * mean) / F.nullif(count - 1, F.lit(0)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    of = lambda outcome, c: F.max(F.when(F.col("outcome") == outcome, F.col(c)))
-    per_key = stats.groupBy(*VISIT, "dimension", "key").agg(
-        F.coalesce(count, F.lit(0)).alias("n"), zero(mean).alias("mean"), zero(variance).alias("variance"), zero(F.min(F.when(ok, F.col("min")))).alias("min"), zero(F.max(F.when(ok, F.col("max")))).alias("max"),
-        F.max(F.when(ok, F.struct("last_ts", "engine")))["engine"].alias("engine"),
-        F.sum(F.when(F.col("outcome") == "gated", F.col("rows")).otherwise(0)).alias("gated"), F.max(F.when(F.col("outcome") == "gated", F.struct("last_ts", "reason")))["reason"].alias("gate_reason"),
-        F.sum(F.when(F.col("outcome") == "failed", F.col("rows")).otherwise(0)).alias("failures"),
-        of("opening", "engine").alias("segment"), of("opening", "reason").alias("time_bucket"), *[of("tick", c).alias(f"tick_{c}") for c in _OF_TICKS],
-        F.max(F.when(F.col("outcome") == "evidence", F.struct(F.col("max").alias("score"), F.col("first_ts").alias("ts"), "seq", F.col("engine").alias("dimension"), "reason"))).alias("shown"),
-    )
-    # the worst first, nulls last; only what is shown matters
-    order = Window.partitionBy(*VISIT).orderBy(F.col("shown").isNull(), "shown")
-    per_key = per_key.withColumn("rank", F.when(F.col("shown").isNotNull(), F.row_number().over(order)))
-    mine = lambda c: F.max(F.when(own, F.col(c))).alias(c)
-    raw = F.sort_array(F.collect_list(F.when(~own & (F.col("dimension") != TICK), F.struct("key", "mean"))))
-    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= s.evidence_max, F.struct("rank", "shown"))))
-    return per_key.groupBy(*VISIT, "dimension").agg(
-        *map(mine, ("n", "mean", "variance", "min", "max", "engine", "gated", "gate_reason", "failures")), F.map_from_entries(raw).alias("raw_means"),
-        *[F.max(c).alias(c) for c in ("segment", "time_bucket", *(f"tick_{c}" for c in _OF_TICKS))], shown.alias("shown"),
+_OF_TICKS = ("distance_m", "speed_mean", "speed_min", "speed_max", "duty", "capability", "raw_gnss", "light_sensor")
+
+
+def _total(rows: Column, value: Callable[[Column], Column], zero: Column) -> Column:
+    return F.aggregate(rows, zero, lambda a, r: a + value(r))
+
+
+def _merged(rows: Column) -> Column:
+    """struct(n, mean, variance) of statistics of parts; those of one part stay as they are."""
+    n = lambda: _total(rows, lambda r: r["n"], F.lit(0).cast("long"))
+    sums = F.struct(n().alias("n"), (_total(rows, lambda r: r["n"] * r["mean"], F.lit(0.0)) / F.nullif(n(), F.lit(0))).alias("mean"), _total(rows, lambda r: (r["n"] - 1) * F.coalesce(r["variance"], F.lit(0.0)) + r["n"] * r["mean"] * r["mean"], F.lit(0.0)).alias("square"))
+    several = geo.let(sums, lambda t: F.struct(t["n"].alias("n"), F.coalesce(t["mean"], F.lit(0.0)).alias("mean"), F.coalesce((t["square"] - t["n"] * t["mean"] * t["mean"]) / F.nullif(t["n"] - 1, F.lit(0)), F.lit(0.0)).alias("variance")))
+    one = F.struct(rows[0]["n"].alias("n"), rows[0]["mean"].alias("mean"), F.coalesce(rows[0]["variance"], F.lit(0.0)).alias("variance"))
+    return F.when(F.size(rows) == 1, one).otherwise(several)
+
+
+def _of_dimension(dimension: Column, rows: Column) -> Column:
+    """The entry of one dimension in a partial: statistics of accepted samples, gates, failures, means of the raw values."""
+
+    def entry(own: Column, ok: Column, raw: Column) -> Column:
+        gated, failed = (F.filter(own, lambda r: r["outcome"] == o) for o in ("gated", "failed"))
+        last = lambda some, what: F.array_max(F.transform(some, lambda r: F.struct(r["last_ts"], r[what].alias("said"))))["said"]
+        keys = F.array_sort(F.array_distinct(F.transform(raw, lambda r: r["key"])))
+        means = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, _merged(F.filter(raw, lambda r: r["key"] == k))["mean"])))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        rows_of = lambda some: _total(some, lambda r: r["rows"], F.lit(0).cast("long"))
+        return geo.let(_merged(ok), lambda m: F.struct(
+            dimension.alias("dimension"), m["n"].alias("n"), m["mean"].alias("mean"), m["variance"].alias("variance"),
+            zero(F.array_min(F.transform(ok, lambda r: r["min"]))).alias("min"), zero(F.array_max(F.transform(ok, lambda r: r["max"]))).alias("max"), last(ok, "engine").alias("engine"),
+            rows_of(gated).alias("gated"), last(gated, "reason").alias("gate_reason"), rows_of(failed).alias("failures"), means.alias("raw_means"),
+        ))
+
+    parts = F.struct(F.filter(rows, lambda r: r["key"] == "").alias("own"), F.filter(rows, lambda r: (r["key"] != "") & (r["outcome"] == "accepted")).alias("raw"))
+    return geo.let(parts, lambda p: geo.let(F.filter(p["own"], lambda r: r["outcome"] == "accepted"), lambda ok: entry(p["own"], ok, p["raw"])))
+
+
+#: A visit's share in a packet, whoever put it together: partials() from a batch, streaming.packets from a stream.
+PARTIAL = (
+    "segment string, time_bucket string, enter_ts timestamp, exit_ts timestamp, frame_count bigint, distance_m double, speed_mean double, speed_min double, speed_max double, duty int, capability int, "
+    "raw_gnss boolean, light_sensor boolean, dims array<struct<dimension:string,n:bigint,mean:double,variance:double,min:double,max:double,engine:string,gated:bigint,gate_reason:string,failures:bigint,"
+    "raw_means:map<string,double>>>, shown array<struct<score:double,ts:timestamp,seq:bigint,dimension:string,reason:string>>"
+)
+
+
+def with_evidence(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """ticks with their worst sample, and evidence_reason where it is worth an image."""
+    t = ticks.withColumn("worst", worst_sample(F.col("samples")))
+    return t.withColumn("evidence_reason", scores.evidence_reason(F.col("worst.dimension"), F.col("worst.score")) if s.evidence else F.lit(None).cast("string"))
+
+
+def ranked(t: DataFrame) -> DataFrame:
+    """t with duty and capability as numbers, of which the greatest counts for a visit."""
+    return t.withColumns({"duty": _rank(DUTIES, F.col("duty_cycle")), "capability": _rank(CAPABILITIES, F.col("gnss_capability"))})
+
+
+def partials(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """VISIT and the columns of PARTIAL, one row per visit.
+
+    One aggregate over everything the ticks say, in numbers; then a visit's few rows, with the
+    evidence that ranks first, are one array, and all else is arithmetic on it.
+    """
+    inside = with_evidence(ticks.where("visit IS NOT NULL"), s)
+    if "opens" not in ticks.columns:
+        inside = inside.withColumn("opens", F.row_number().over(Window.partitionBy(*VISIT).orderBy("ts", "seq")) == 1)
+    stats = _statistics(inside, s)
+    # of the rows that show a tick, the worst first, few are kept; the others all are
+    show = F.col("outcome") == "evidence"
+    order = Window.partitionBy(*VISIT).orderBy((~show).cast("int"), F.when(show, F.col("max")), F.when(show, F.col("first_ts")), F.when(show, F.col("seq")))
+    stats = stats.withColumn("rank", F.row_number().over(order)).where(~show | (F.col("rank") <= s.evidence_max))
+    row = [c for c in stats.columns if c not in VISIT]
+    visits = stats.groupBy(*VISIT).agg(F.collect_list(F.struct(*row)).alias("x"))
+    of = lambda outcome: F.filter("x", lambda r: r["outcome"] == outcome)[0]
+    visits = visits.withColumns({"tick": of("tick"), "opening": of("opening"), "samples": F.filter("x", lambda r: r["dimension"] != TICK)})
+    dims = F.transform(F.array_sort(F.array_distinct(F.transform("samples", lambda r: r["dimension"]))), lambda d: _of_dimension(d, F.filter("samples", lambda r: r["dimension"] == d)))
+    shown = F.array_sort(F.transform(F.filter("x", lambda r: r["outcome"] == "evidence"), lambda r: F.struct(r["rank"], r["max"].alias("score"), r["first_ts"].alias("ts"), r["seq"].cast("long").alias("seq"), r["engine"].alias("dimension"), r["reason"])))
+    return visits.select(
+        *VISIT, F.col("opening.engine").alias("segment"), F.col("opening.reason").alias("time_bucket"), F.col("tick.first_ts").alias("enter_ts"), F.col("tick.last_ts").alias("exit_ts"), F.col("tick.rows").alias("frame_count"),
+        *[F.col(f"tick.{c}").alias(c) for c in _OF_TICKS], dims.alias("dims"), F.transform(shown, lambda e: F.struct(*[e[c] for c in ("score", "ts", "seq", "dimension", "reason")])).alias("shown"),
     )
 
 
@@ -165,8 +214,35 @@ def visit_windows(ticks: DataFrame) -> DataFrame:
     )
 
 
+def assemble(partial: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Packets from VISIT and PARTIAL, a row for a row: nested scores, gates, capability, evidence, window, segment with the cell's centre, weather and composite."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    some = lambda keep: F.filter("dims", keep)
+    score = lambda d: F.struct(d["mean"], d["variance"], d["min"], d["max"], d["n"], F.coalesce(d["engine"], F.when(d["failures"] > 0, "failed")).alias("engine"), d["raw_means"])
+    counted = some(lambda d: d["n"] > 0)
+    means = F.map_from_entries(F.transform(counted, lambda d: F.struct(d["dimension"], d["mean"])))
+    raw = F.map_from_entries(F.transform(some(lambda d: d["dimension"] == "atmo"), lambda d: F.struct(d["dimension"], d["raw_means"])))["atmo"]
+    # rounded, so that the order of summing decides nothing at a limit
+    sky = geo.let(raw, lambda m: geo.let(F.struct(*[F.round(zero(m[k]), 9).alias(k) for k in ("rainSeverity", "hazeSeverity")]), lambda w: scores.weather(w["rainSeverity"], w["hazeSeverity"])))
+    odd = geo.let(means, lambda m: geo.let(F.struct(*[m[d].alias(d) for d in DIMENSIONS]), lambda by: scores.composite({d: by[d] for d in DIMENSIONS}, s)))
+    evidence = F.transform("shown", lambda e, i: F.struct(F.concat(F.lit("evidence_"), i, F.lit(".png")).alias("file"), *[e[c] for c in ("dimension", "reason", "score", "seq", "ts")]))
+    p = partial.select(
+        *VISIT, "segment", "time_bucket", "enter_ts", "exit_ts", "frame_count", "distance_m", *[zero(F.col(c)).alias(c) for c in ("speed_mean", "speed_min", "speed_max")],
+        _name(DUTIES, F.col("duty")).alias("duty_cycle"), _name(CAPABILITIES, F.col("capability")).alias("gnss_capability"), "raw_gnss", "light_sensor",
+        F.map_from_entries(F.transform(some(lambda d: (d["n"] > 0) | (d["failures"] > 0)), lambda d: F.struct(d["dimension"], score(d)))).alias("scores"),
+        F.map_from_entries(F.transform(counted, lambda d: F.struct(d["dimension"], d["n"]))).alias("sample_counts"),
+        F.transform(some(lambda d: d["gated"] > 0), lambda d: F.struct(d["dimension"], d["gated"].alias("invalidated_count"), d["gate_reason"].alias("reason"))).alias("gates"),
+        evidence.alias("evidence"), odd.alias("odd_score"), sky.alias("weather"),
+    )
+    cell = geo.decode_segment_key(F.col("segment"))
+    centre = geo.geohash_center(cell["geohash7"])
+    p = p.withColumn("segment_ref", F.struct(cell["geohash7"].alias("geohash7"), cell["heading_bucket"].alias("heading_bucket"), centre["lat"].alias("centroid_lat"), centre["lon"].alias("centroid_lon")))
+    ident = F.sha2(F.concat_ws("|", "node_id", "session_id", "segment", F.col("enter_ts").cast("string")), 256)
+    return p.withColumn("packet_id", ident)
+
+
 def packets(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per visit: nested scores, gates, capability, evidence, window, segment with the cell's centre, weather and composite.
+    """One row per visit, as assemble() makes it.
 
     ticks: node_id, session_id, visit, seq, ts, segment, time_bucket, speed_mps,
     distance_m, duty_cycle, gnss_capability, raw_gnss, light_sensor, samples (with_gates).
@@ -174,36 +250,7 @@ def packets(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     worst first; file is the name under which its image goes into the packet's folder, seq tells the tick.
     The packet id is a hash of what identifies the visit, so a replay writes the same rows.
     """
-    inside = ticks.where("visit IS NOT NULL").withColumn("worst", worst_sample(F.col("samples")))
-    inside = inside.withColumn("evidence_reason", scores.evidence_reason(F.col("worst.dimension"), F.col("worst.score")) if s.evidence else F.lit(None).cast("string"))
-    if "opens" not in ticks.columns:
-        inside = inside.withColumn("opens", F.row_number().over(Window.partitionBy(*VISIT).orderBy("ts", "seq")) == 1)
-    wide = _by_dimension_and_visit(_statistics(inside, s), s)
-    of_sample = F.col("dimension") != TICK
-    score = F.struct("mean", "variance", "min", "max", "n", F.coalesce("engine", F.when(F.col("failures") > 0, "failed")).alias("engine"), "raw_means")
-    scored = of_sample & ((F.col("n") > 0) | (F.col("failures") > 0))
-    raw_of = lambda dim, key: F.round(F.coalesce(F.max(F.when(F.col("dimension") == dim, F.col("raw_means")[key])), F.lit(0.0)), 9)
-    the = lambda c: F.max(F.when(~of_sample, F.col(f"tick_{c}")))
-    evidence = F.transform(F.max(F.when(~of_sample, F.col("shown"))), lambda e: F.struct(F.concat(F.lit("evidence_"), e["rank"] - 1, F.lit(".png")).alias("file"), *[e["shown"][c].alias(c) for c in ("dimension", "reason", "score", "seq", "ts")]))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    p = wide.groupBy(*VISIT).agg(
-        F.max("segment").alias("segment"), F.max("time_bucket").alias("time_bucket"),
-        the("first_ts").alias("enter_ts"), the("last_ts").alias("exit_ts"), the("rows").alias("frame_count"), the("distance_m").alias("distance_m"),
-        *[zero(the(c)).alias(c) for c in ("speed_mean", "speed_min", "speed_max")],
-        _name(DUTIES, the("duty")).alias("duty_cycle"), _name(CAPABILITIES, the("capability")).alias("gnss_capability"), the("raw_gnss").alias("raw_gnss"), the("light_sensor").alias("light_sensor"),
-        F.map_from_entries(F.collect_list(F.when(scored, F.struct("dimension", score)))).alias("scores"),
-        F.map_from_entries(F.collect_list(F.when(of_sample & (F.col("n") > 0), F.struct("dimension", "n")))).alias("sample_counts"),
-        F.array_sort(F.collect_list(F.when(F.col("gated") > 0, F.struct("dimension", F.col("gated").alias("invalidated_count"), F.col("gate_reason").alias("reason"))))).alias("gates"),
-        evidence.alias("evidence"),
-        scores.composite({d: F.max(F.when((F.col("dimension") == d) & (F.col("n") > 0), F.col("mean"))) for d in DIMENSIONS}, s).alias("odd_score"),
-        # rounded, so that the order of summing decides nothing at a limit
-        scores.weather(raw_of("atmo", "rainSeverity"), raw_of("atmo", "hazeSeverity")).alias("weather"),
-    )
-    cell = geo.decode_segment_key(F.col("segment"))
-    centre = geo.geohash_center(cell["geohash7"])
-    p = p.withColumn("segment_ref", F.struct(cell["geohash7"].alias("geohash7"), cell["heading_bucket"].alias("heading_bucket"), centre["lat"].alias("centroid_lat"), centre["lon"].alias("centroid_lon")))
-    ident = F.sha2(F.concat_ws("|", "node_id", "session_id", "segment", F.col("enter_ts").cast("string")), 256)
-    return p.withColumn("packet_id", ident)
+    return assemble(partials(ticks, s), s)
 
 
 def evidence_top(ticks: DataFrame, k: int = 2) -> DataFrame:
