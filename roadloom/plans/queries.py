@@ -70,7 +70,7 @@ pk AS (SELECT w.*, gated, rain, haze, 100 * (coalesce(0.22::DOUBLE * lane, 0) +
   FROM w JOIN o USING (node_id, visit) JOIN a USING (node_id, visit))"""
 
 
-@query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL}, {_PACKETS_CTE},
+VISIT_PACKETS_SQL = f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_EVIDENCE_SQL}, {_PACKETS_CTE},
 x AS (SELECT node_id, visit, string_agg('evidence_' || (rank - 1) || '.png:' || dimension || ':' || reason || ':' || seq, ' ' ORDER BY rank) AS evidence FROM k WHERE rank <= 2 GROUP BY ALL)
 SELECT node_id, visit, segment, time_bucket, frame_count, round(distance_m, 10) AS distance_m, round(speed_mean, 10) AS speed_mean,
   CASE duty WHEN 2 THEN 'THROTTLED' WHEN 1 THEN 'REDUCED' ELSE 'NORMAL' END AS duty_cycle,
@@ -78,9 +78,10 @@ SELECT node_id, visit, segment, time_bucket, frame_count, round(distance_m, 10)
   CAST(gated AS BIGINT) AS gated, round(odd_score, 10) AS odd_score,
   CASE WHEN rain >= 0.5 AND haze >= 0.4 THEN 'rain_fog' WHEN rain >= 0.5 THEN 'rain' WHEN haze >= 0.6 THEN 'fog' WHEN haze >= 0.35 THEN 'haze' ELSE 'clear' END AS weather,
   coalesce(evidence, '') AS evidence, round(-90 + (floor((lat + 90) / 180 * 131072) + 0.5) * (180::DOUBLE / 131072), 9) AS centroid_lat, CAST(right(segment, 1) AS INTEGER) AS heading_bucket
-FROM pk LEFT JOIN x USING (node_id, visit)""")
-def visit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packets.packets(visit_ticks(spark, sf_dir))
+FROM pk LEFT JOIN x USING (node_id, visit)"""
+
+
+def packet_columns(p: DataFrame) -> DataFrame:
     gates = F.aggregate("gates", F.lit(0).cast("long"), lambda a, g: a + g["invalidated_count"])
     shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["file"], e["dimension"], e["reason"], e["seq"])), " ")
     return p.select(
@@ -89,6 +90,11 @@ def visit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(VISIT_PACKETS_SQL)
+def visit_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packet_columns(packets.packets(visit_ticks(spark, sf_dir)))
+
+
 @query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL} SELECT node_id, event_id, visit FROM f""")
 def visit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visited(spark, sf_dir).select("node_id", "event_id", "visit")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,16 @@ def local_session(cpus: int = 8, name: str = "roadloom", **conf: str) -> SparkSe
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name under spark.checkpoint.dir, which all machines see; under a local master, where that is unset, one of this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="roadloom-scratch-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package on every executor's import path, once per context.
 

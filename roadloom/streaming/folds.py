@@ -1,7 +1,8 @@
 """Streaming twins: the same step functions as in the batch folds, their state kept per key by Spark.
 
-Ticks of one trigger are put in order before they are folded; across triggers they
-count in the order of arrival. State is a small JSON text per key in the state
+With a delay, ticks count in event time however they arrive within it (see ordered.py).
+Without, those of one trigger are put in order before they are folded, and across triggers they
+count in the order of arrival, at once. State is a small JSON text per key in the state
 store; checkpoints make it survive lost executors and restarts.
 """
 
@@ -19,9 +20,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadloom.config import Settings
 from roadloom.operators import folds, packets
+from roadloom.streaming import ordered
 
 
-def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str) -> DataFrame:
+def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str, delay: str | None = None) -> DataFrame:
+    if delay is not None:
+        return ordered.fold(rows, keys, order, columns, start, step, into, kind, delay)
     schema = rows.schema.simpleString()[len("struct<") : -1]
 
     def run(_: tuple, pdfs: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,18 +41,18 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     return rows.groupBy(*keys).applyInPandasWithState(run, f"{schema}, {into} {kind}", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings()) -> DataFrame:
+def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings(), delay: str | None = None) -> DataFrame:
     frames, far = s.hysteresis_frames, s.hysteresis_metres
-    return fold_stream(ticks, keys, order, [key, metres], lambda: None, lambda st, t: folds.visit_step(tuple(st) if st else None, t, frames, far), "visit", "int")
+    return fold_stream(ticks, keys, order, [key, metres], lambda: None, lambda st, t: folds.visit_step(tuple(st) if st else None, t, frames, far), "visit", "int", delay)
 
 
-def throttle(frames: DataFrame, keys: list[str], order: list[str], ms: str, fps: int) -> DataFrame:
+def throttle(frames: DataFrame, keys: list[str], order: list[str], ms: str, fps: int, delay: str | None = None) -> DataFrame:
     gap = 1000 // fps
-    return fold_stream(frames, keys, order, [ms], lambda: None, lambda st, t: folds.throttle_step(st, int(t[0]), gap), "kept", "boolean")
+    return fold_stream(frames, keys, order, [ms], lambda: None, lambda st, t: folds.throttle_step(st, int(t[0]), gap), "kept", "boolean", delay)
 
 
-def fire_alerts(ticks: DataFrame, keys: list[str], order: list[str], kind: str, ms: str, cooldown_ms: int) -> DataFrame:
-    return fold_stream(ticks, keys, order, [kind, ms], dict, lambda st, t: folds.cooldown_step(st, (t[0], int(t[1])), cooldown_ms), "fired", "boolean")
+def fire_alerts(ticks: DataFrame, keys: list[str], order: list[str], kind: str, ms: str, cooldown_ms: int, delay: str | None = None) -> DataFrame:
+    return fold_stream(ticks, keys, order, [kind, ms], dict, lambda st, t: folds.cooldown_step(st, (t[0], int(t[1])), cooldown_ms), "fired", "boolean", delay)
 
 
 def live_means(ticks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
