@@ -371,8 +371,11 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.by_id(o, "id", 77)
 
 
-@query(f"""WITH {_PACKETS_SQL}, c AS (SELECT packet_id, 'DONE' AS status, created_at FROM p WHERE packet_id % 5 = 0 UNION ALL SELECT packet_id + 10000000, 'PENDING', created_at FROM p WHERE packet_id % 50 = 0)
-SELECT packet_id, status FROM c UNION ALL SELECT packet_id, status FROM p WHERE packet_id NOT IN (SELECT packet_id FROM c)""")
+PACKET_UPSERT_SQL = f"""WITH {_PACKETS_SQL}, c AS (SELECT packet_id, 'DONE' AS status, created_at FROM p WHERE packet_id % 5 = 0 UNION ALL SELECT packet_id + 10000000, 'PENDING', created_at FROM p WHERE packet_id % 50 = 0)
+SELECT packet_id, status FROM c UNION ALL SELECT packet_id, status FROM p WHERE packet_id NOT IN (SELECT packet_id FROM c)"""
+
+
+@query(PACKET_UPSERT_SQL)
 def packet_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = stored(spark, sf_dir).select("packet_id", "status", "created_at")
     done = p.where("packet_id % 5 = 0").withColumn("status", F.lit("DONE"))
@@ -419,8 +422,11 @@ def packets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAP_SQL = f"RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_PACKETS_CTE}, m AS (SELECT pk.segment, pk.time_bucket, pk.duty, pk.cap, d.dimension, d.mean, d.n, d.variance FROM d JOIN pk USING (node_id, visit) WHERE d.n > 0)"
 
 
-@query(f"""WITH {_MAP_SQL}, b AS (SELECT segment, time_bucket, dimension, mean FROM m UNION ALL SELECT segment, time_bucket, 'odd', odd_score / 100 FROM pk)
-SELECT segment, time_bucket, dimension, round(avg(mean), 10) AS mean, count(*) AS packets FROM b GROUP BY GROUPING SETS ((segment, dimension), (segment, time_bucket, dimension))""")
+MAP_SETS_SQL = f"""WITH {_MAP_SQL}, b AS (SELECT segment, time_bucket, dimension, mean FROM m UNION ALL SELECT segment, time_bucket, 'odd', odd_score / 100 FROM pk)
+SELECT segment, time_bucket, dimension, round(avg(mean), 10) AS mean, count(*) AS packets FROM b GROUP BY GROUPING SETS ((segment, dimension), (segment, time_bucket, dimension))"""
+
+
+@query(MAP_SETS_SQL)
 def map_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.map_sets(packets_of(spark, sf_dir)).withColumn("mean", r(F.col("mean")))
 
@@ -435,7 +441,10 @@ _POOL_SQL = f"""{_MAP_SQL}, x AS (SELECT *, n * (CASE cap WHEN 2 THEN 1.0 WHEN 1
 g AS (SELECT segment, time_bucket, dimension, sum(w) AS weight, CAST(sum(n) AS BIGINT) AS n, sum(w * mean) / sum(w) AS mean, sum(w * (variance + mean * mean)) / sum(w) AS sq FROM x GROUP BY ALL)"""
 
 
-@query(f"WITH {_POOL_SQL} SELECT segment, time_bucket, dimension, round(weight, 9) AS weight, n, round(mean, 9) AS mean, round(greatest(sq - mean * mean, 0), 9) AS variance FROM g")
+POOL_SQL = f"WITH {_POOL_SQL} SELECT segment, time_bucket, dimension, round(weight, 9) AS weight, n, round(mean, 9) AS mean, round(greatest(sq - mean * mean, 0), 9) AS variance FROM g"
+
+
+@query(POOL_SQL)
 def fleet_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fleet.pool(fleet.exploded_scores(packets_of(spark, sf_dir)))
     return p.select("segment", "time_bucket", "dimension", r(F.col("weight"), 9).alias("weight"), "n", r(F.col("mean"), 9).alias("mean"), r(F.col("variance"), 9).alias("variance"))
