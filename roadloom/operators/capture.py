@@ -8,12 +8,14 @@ samples of the window that ends there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.config import Settings
 from roadloom.functions import geo, image
-from roadloom.operators import asof, folds, heads, packets
+from roadloom.operators import asof, folds, heads, models, packets
 
 DRIVE = ["node_id", "session_id"]
 #: The heads that look at the image: a frame that can't be read fails them all.
@@ -21,11 +23,20 @@ OF_IMAGE = ("lane_vis", "illum", "chaos", "lens", "glare", "atmo", "nightq")
 FIX = ["lat", "lon", "accuracy_m", "speed_mps", "bearing_deg", "has_bearing"]
 
 
-def looked_at(frames: DataFrame) -> DataFrame:
-    """frames (node_id, session_id, frame_ns, wall_ms, width, height, luma, rgb) without their images, with stats, dirt, wiper and prev_frame_ns."""
+#: The models in use, and how an executor opens one by its path.
+Models = tuple[dict[str, models.Model], Callable[[str], models.Predict]]
+
+
+def looked_at(frames: DataFrame, using: Models | None = None) -> DataFrame:
+    """frames (node_id, session_id, frame_ns, wall_ms, width, height, luma, rgb) without their images, with stats, dirt, wiper, prev_frame_ns and a column said_<head> for each model."""
+    known, load = using or ({}, None)
+    frames = frames.withColumns({f"said_{h}": models.infer(m, load, F.col("width"), F.col("height"), F.col("rgb")) for h, m in known.items()}) if known else frames
     f = asof.previous(frames, DRIVE, "frame_ns", ["luma", "frame_ns"])
     f = f.withColumn("stats", image.stats_column(F.col("width"), F.col("height"), F.col("luma"), F.col("rgb"), F.col("prev_luma"))).drop("luma", "rgb", "prev_luma")
     f = folds.lens_dirt(f.withColumn("grid", F.col("stats.grid")), DRIVE, ["frame_ns"], "grid").drop("grid")
+    if "chaos" in known:
+        boxes = F.transform(F.filter("said_chaos.found", lambda d: d["score"] >= models.HIT), lambda d: F.struct(*[d[c] for c in ("x0", "y0", "x1", "y1")]))
+        f = folds.box_churn(f.withColumn("boxes", boxes), DRIVE, ["frame_ns"], "boxes").drop("boxes")
     return f.withColumn("wiper", heads.wiper_index(F.col("stats.edge_energy"), DRIVE, "frame_ns"))
 
 
@@ -34,22 +45,28 @@ def motion(imu: DataFrame, rows: int = 100, least: int = 16) -> DataFrame:
     return asof.trailing_rows(imu.withColumn("_s", F.struct("v", "g")), "node_id", "wall_ms", "_s", rows, least).drop("_s")
 
 
-def nine_heads(s: Settings = Settings()) -> dict[str, Column]:
-    """The sample of each head for a tick; a frame that can't be read makes the heads of OF_IMAGE fail."""
+def nine_heads(s: Settings = Settings(), using: Models | None = None) -> dict[str, Column]:
+    """The sample of each head for a tick, by the builders in heads.HEADS; a frame that can't be read makes the heads of OF_IMAGE fail.
+
+    A model's sample comes before the classical one.
+    """
+    of = heads.HEADS
     stats, bucket, speed = F.col("stats"), F.col("time_bucket"), F.col("speed_mps")
     heading = F.when(F.col("has_bearing"), F.col("bearing_deg"))
     dirt = F.col("dirt")
     found = {
-        "lane_vis": heads.lane_vis(stats),
-        "gnss_q": heads.gnss_q(F.col("epoch"), F.col("accuracy_m")),
-        "illum": heads.illum(stats, F.col("lux"), bucket),
-        "chaos": heads.chaos_motion(stats["regions"]),
-        "rough": heads.rough(F.col("shaken"), speed, F.lit(100.0), s),
-        "lens": heads.lens(dirt["persistence"], dirt["scene_change"], dirt["median"]),
-        "glare": heads.glare(stats, F.col("sun.elevation"), F.col("sun.azimuth"), heading),
-        "atmo": heads.atmo(stats, F.col("wiper")),
-        "nightq": heads.nightq(stats, bucket, F.coalesce(speed, F.lit(0.0))),
+        "lane_vis": of["lane_vis"](stats),
+        "gnss_q": of["gnss_q"](F.col("epoch"), F.col("accuracy_m")),
+        "illum": of["illum"](stats, F.col("lux"), bucket),
+        "chaos": of["chaos"](stats["regions"]),
+        "rough": of["rough"](F.col("shaken"), speed, F.lit(100.0), s),
+        "lens": of["lens"](dirt["persistence"], dirt["scene_change"], dirt["median"]),
+        "glare": of["glare"](stats, F.col("sun.elevation"), F.col("sun.azimuth"), heading),
+        "atmo": of["atmo"](stats, F.col("wiper")),
+        "nightq": of["nightq"](stats, bucket, F.coalesce(speed, F.lit(0.0))),
     }
+    for d, m in (using[0] if using else {}).items():
+        found[d] = heads.dispatch(models.model_sample(m, F.col(f"said_{d}"), F.col("churn") if d == "chaos" else None), found[d])
     broken = stats["mean"].isNull()
     for d in OF_IMAGE:
         applies = broken & (bucket == "NIGHT") if d == "nightq" else broken
@@ -57,14 +74,14 @@ def nine_heads(s: Settings = Settings()) -> dict[str, Column]:
     return found
 
 
-def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings()) -> DataFrame:
+def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
     """Ticks with samples and all that packets() wants, one for each frame.
 
     fixes: node_id, wall_ms and FIX. epochs: node_id, wall_ms, epoch (a struct as heads.gnss_q takes).
     imu: see motion(). light: node_id, wall_ms, lux. Without a fix yet there is no place, no
     speed (0 for the distance) and the bucket is DAY; a head without its sensor says nothing.
     """
-    t = looked_at(frames)
+    t = looked_at(frames, using)
     t = asof.asof_join(t, fixes, "node_id", "wall_ms", FIX)
     t = asof.asof_join(t, epochs, "node_id", "wall_ms", ["epoch"])
     t = asof.asof_join(t, motion(imu), "node_id", "wall_ms", ["window"])
@@ -73,7 +90,7 @@ def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFr
     t = asof.asof_join(t, light, "node_id", "wall_ms", ["lux"])
     t = t.withColumn("sun", F.when(F.col("lat").isNotNull(), geo.solar_position(F.col("wall_ms"), F.col("lat"), F.col("lon"))))
     t = t.withColumn("time_bucket", geo.time_bucket(F.col("sun.elevation")))
-    t = t.withColumn("samples", heads.fan_out(nine_heads(s), s))
+    t = t.withColumn("samples", heads.fan_out(nine_heads(s, using), s))
     capability = F.coalesce(F.col("epoch.capability"), F.lit("NONE"))
     t = t.withColumns({
         "ts": F.timestamp_millis("wall_ms"),
@@ -84,10 +101,10 @@ def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFr
     })
     if "duty_cycle" not in t.columns:
         t = t.withColumn("duty_cycle", F.lit("NORMAL"))
-    return t.drop("stats", "dirt", "wiper", "sun", "epoch", "shaken", "prev_frame_ns")
+    return t.drop(*[f"said_{d}" for d in models.KINDS], "churn", "stats", "dirt", "wiper", "sun", "epoch", "shaken", "prev_frame_ns")
 
 
-def drive_packets(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings()) -> DataFrame:
+def drive_packets(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
     """packets() of the analysed frames: gates, visits, statistics, evidence."""
-    t = packets.with_gates(analysed(frames, fixes, epochs, imu, light, s), s)
+    t = packets.with_gates(analysed(frames, fixes, epochs, imu, light, s, using), s)
     return packets.packets(folds.assign_visits(t, DRIVE, ["frame_ns"], s=s), s)

@@ -184,7 +184,7 @@ def glare(s: Column, elevation: Column, azimuth: Column, heading: Column) -> Col
     aimed = low_sun & (away < 35)
     geom = F.when(aimed, clamp((18 - elevation) / 18.0) * clamp(F.cos(F.radians(away)))).otherwise(0.0)
     severity = F.greatest(sat, geom)
-    raw = {"severity": severity, "satSeverity": sat, "geomSeverity": geom, "geomFlag": (geom > 0).cast("int"), "brightFrac": s["bright_frac"], "largestFrac": s["largest_frac"], "blobCount": s["blob_count"], "sunElev": F.coalesce(elevation, F.lit(-99.0)), "sunRelAz": F.coalesce(away, F.lit(-1.0))}
+    raw = {"severity": severity, "satSeverity": sat, "geomSeverity": geom, "geomFlag": F.coalesce(aimed, F.lit(False)).cast("int"), "brightFrac": s["bright_frac"], "largestFrac": s["largest_frac"], "blobCount": s["blob_count"], "sunElev": F.coalesce(elevation, F.lit(-99.0)), "sunRelAz": F.coalesce(away, F.lit(-1.0))}
     return F.when(s["bright_frac"].isNotNull(), sample("glare", 1 - severity, raw))
 
 
@@ -207,9 +207,9 @@ def atmo(s: Column, wiper: Column) -> Column:
 
 
 def atmo_model(rain: Column, fog: Column, haze: Column, engine: str = "model") -> Column:
-    misty = F.greatest(fog, haze)
-    worst = F.greatest(rain, misty)
-    return F.when(rain.isNotNull(), sample("atmo", 1 - worst, {"rainSeverity": rain, "hazeSeverity": misty, "visibility": 1 - worst, "pRain": rain, "pFog": fog, "pHaze": haze}, engine))
+    wet, misty = clamp(rain), clamp(F.greatest(fog, haze))
+    worst = F.greatest(wet, misty)
+    return F.when(rain.isNotNull(), sample("atmo", 1 - worst, {"rainSeverity": wet, "hazeSeverity": misty, "visibility": 1 - misty, "pRain": rain, "pFog": fog, "pHaze": haze}, engine))
 
 
 @head("nightq")
