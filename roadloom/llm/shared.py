@@ -7,6 +7,9 @@ import ctypes
 import math
 import tempfile
 import uuid
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,16 +86,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most parts - 1 increasing values of key that cut df into about equal ranges.
+class Ranges:
+    """Cuts a table by a long key into about as many ranges as parts, numbered in the order of the key, nulls first.
 
-    The sketch is computed where the rows are; parts numbers come back.
+    The quantiles are computed where the rows are; numbers of parts come back. A value
+    that holds several quantiles has a range of its own, in as many parts, and so have nulls
+    by their share: their rows are dealt by their place in the table, so no range is much larger than another.
     """
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, at, 10 * parts).alias("b")).first()["b"]
-    return sorted(set(got or []))
+
+    def __init__(self, df: DataFrame, key: str, parts: int) -> None:
+        at = [i / parts for i in range(1, parts)] or [0.5]
+        said = df.agg(F.percentile_approx(key, at, 10 * parts).alias("b"), F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+        times = Counter((said["b"] or []) if parts > 1 else [])
+        cuts = sorted(set(times) | {v + 1 for v, m in times.items() if m > 1 and v < 2**63 - 1})
+        self.nulls = -(-said["nulls"] * parts // said["n"]) if said["nulls"] else 0
+        width = [1] * (len(cuts) + 1)
+        for v, m in times.items():
+            if m > 1:
+                width[bisect_right(cuts, v)] = m
+        self.cuts, self.width = cuts, width
+        self.count = self.nulls + sum(width)
+
+    def part(self, key: Column) -> Column:
+        """The number of the row's part. Reads the row's place in the table, so it belongs right above a table's rows."""
+        place = F.xxhash64(F.monotonically_increasing_id())
+        r = range_part(key, self.cuts)
+        first = [self.nulls + n for n in accumulate([0, *self.width[:-1]])]
+        number = F.array(*map(F.lit, first))[r]
+        if max(self.width) > 1:
+            number = number + F.pmod(place, F.array(*map(F.lit, self.width))[r])
+        return (F.when(key.isNull(), F.pmod(place, F.lit(max(1, self.nulls)))).otherwise(number)).cast("int")
 
 
 def range_part(key: Column, bounds: list[int]) -> Column:

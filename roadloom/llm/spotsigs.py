@@ -19,7 +19,7 @@ signatures and verifies by intersecting whole sets. No query calls it.
 Edge cases: null text is empty; an empty text (or one of white space) has the
 empty fingerprint, like another empty one 1.0 and like any other 0.0. Equal texts
 have equal fingerprints. Repeated rows and doc_ids each get a row; rows of one
-doc_id stand in the order of their texts. A null doc_id is last in the descending
+doc_id stand in the order of their texts' hashes (in each of its parts, where it fills several). A null doc_id is last in the descending
 order. A single document is its own next. An empty table gives an empty result.
 Extra columns are not carried.
 """
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import id_bounds, range_part
+from roadloom.llm.shared import Ranges
 
 CHAIN = 3
 STEP = 1
@@ -130,31 +130,26 @@ _WORDS = Words()
 def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Fingerprints of docs (doc_id, text), of their edited texts, and likenesses to those and to the next document.
 
-    Documents are dealt once, by ranges of doc_id; each range also gets the one
-    row that follows it.
+    Documents are dealt once, by ranges of doc_id, of which a hot id and nulls have several; each
+    also gets the row that follows it.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a null id stands below all others: it is last in the descending order
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = id_bounds(rows, "doc_id", parts)
-    rows = rows.withColumn("part", range_part(F.col("doc_id"), bounds))
-    order = ["part", "halo", F.col("doc_id").desc_nulls_last(), "text"]
-    # the first row of a range, in descending order, follows the range above it
-    firsts = rows.where("doc_id IS NOT NULL").groupBy("part").agg(F.max("doc_id").alias("top"))
-    tops = {r["part"]: r["top"] for r in firsts.collect()}  # one row per range
-    have_null = docs.where("doc_id IS NULL").limit(1).count() > 0
-    if have_null:
-        tops.setdefault(0, None)
-    seq = sorted(tops, reverse=True)
-    halo_of = {seq[(i + 1) % len(seq)]: p for i, p in enumerate(seq)}  # whose first row -> goes to the end of range p
-    marks = F.create_map(*[F.lit(x) for first, to in halo_of.items() if tops[first] is not None for x in (int(tops[first]), int(to))]) if any(t is not None for t in tops.values()) else None
-    to = marks[F.col("doc_id")] if marks is not None else F.lit(None).cast("int")
-    if tops.get(0, 0) is None:
-        to = F.when(F.col("doc_id").isNull(), F.lit(halo_of[0])).otherwise(to)
-    copies = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("halo")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(1).alias("halo")))))
-    dealt = rows.withColumn("_c", F.explode(copies)).select("doc_id", "text", "_c.part", "_c.halo")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order)
+    ranges = Ranges(rows, "doc_id", parts)
+    rows = rows.withColumn("part", ranges.part(F.col("doc_id")))
+    h = F.xxhash64("text")
+    # the first row of a part, in descending order, follows the part above it; one row a part comes back
+    firsts = rows.groupBy("part").agg(F.min(F.struct(F.coalesce(-1 - F.col("doc_id"), F.lit(2**63 - 1)).alias("down"), F.col("doc_id").isNull().alias("none"), h.alias("h"))).alias("f")).select("part", "f.*")
+    found = sorted(firsts.collect(), key=lambda r: -r["part"])
+    marks = [(r["part"], r["down"], r["none"], r["h"], found[i - 1]["part"]) for i, r in enumerate(found)]
+    marks = F.broadcast(spark.createDataFrame(marks, "part int, down long, none boolean, h long, halo_of int"))
+    rows = rows.withColumns({"down": F.coalesce(-1 - F.col("doc_id"), F.lit(2**63 - 1)), "none": F.col("doc_id").isNull(), "h": h}).join(marks, ["part", "down", "none", "h"], "left")
+    copies = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("halo")), F.when(F.col("halo_of").isNotNull(), F.struct(F.col("halo_of").alias("part"), F.lit(1).alias("halo")))))
+    dealt = rows.withColumn("_c", F.explode(copies)).select("doc_id", "text", "h", "_c.part", "_c.halo")
+    order = ["part", "halo", F.col("doc_id").desc_nulls_last(), "h", "text"]
+    dealt = dealt.repartitionById(ranges.count, F.col("part")).sortWithinPartitions(*order)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(now: tuple, after: tuple) -> tuple:
@@ -162,11 +157,17 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame
             sig = signatures(_WORDS.codes(changed))
             return (now[0], len(now[1]), hashlib.sha256(changed.encode()).hexdigest(), spell(now[2]), spell(sig), likeness(now[2], sig), likeness(now[2], after[2]))
 
-        out, size, last, part = [], 0, None, None
+        out, size, last, part, closed = [], 0, None, None, True
+
+        def ended() -> None:
+            if not closed:
+                raise ValueError("the documents came in another order when they were read again: write them to a table first")
+
         for batch in batches:
             for i in range(batch.num_rows):
                 text, p, is_halo = batch["text"][i].as_py(), batch["part"][i].as_py(), batch["halo"][i].as_py()
                 if p != part:
+                    ended()
                     last, part, closed = None, p, False
                 if is_halo and closed:
                     continue  # several rows of one id: the first follows
@@ -178,6 +179,7 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame
                 if size > 4_000_000:
                     yield _batch(out)
                     out, size = [], 0
+        ended()
         yield _batch(out)
 
     return dealt.select("doc_id", "text", "part", "halo").mapInArrow(fingerprint, SCHEMA)

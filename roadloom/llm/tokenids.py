@@ -21,7 +21,7 @@ encodes each distinct piece once per worker, and the ids are gathered by numpy.
 Texts with other white space before a blank are encoded whole.
 
 Edge cases: null text is empty and holds the end id alone. Repeated doc_ids stand
-in the order of their ids' bytes; a null doc_id sorts first and is stored as the
+in the order of their ids' bytes, within each part where there are so many that they fill several; a null doc_id sorts first and is stored as the
 smallest 64-bit number. An empty table writes an empty manifest. Extra columns are
 not carried.
 """
@@ -42,7 +42,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import discard, id_bounds, range_part, stash
+from roadloom.llm.shared import Ranges, discard, stash
 from roadloom.llm.tokencount import slices
 
 END_ID = 2
@@ -180,7 +180,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, parts: int |
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    bounds = id_bounds(docs, "doc_id", parts)
+    ranges = Ranges(docs, "doc_id", parts)
+    docs = docs.withColumn("part", ranges.part(F.col("doc_id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = store(tokenizer_path)
@@ -189,7 +190,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, parts: int |
                 for at, ids, n in encode_texts(s.column("text"), pieces, end_id):
                     offsets = np.concatenate(([0], np.cumsum(n))) * pieces.dtype.itemsize
                     blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
-                    yield pa.RecordBatch.from_arrays([s.column("doc_id").slice(at, len(n)), blobs.cast(pa.binary())], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([s.column("doc_id").slice(at, len(n)), blobs.cast(pa.binary()), s.column("part").slice(at, len(n))], names=["doc_id", "ids", "part"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = store(tokenizer_path).dtype
@@ -210,8 +211,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, parts: int |
             done.append(now.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([dtype.itemsize] * len(done), pa.int32())], names=["part", "n_docs", "n_tokens", "width"])
 
-    encoded = docs.mapInArrow(encode, "doc_id long, ids binary").withColumn("part", range_part(F.col("doc_id"), bounds))
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = docs.mapInArrow(encode, "doc_id long, ids binary, part int")
+    dealt = encoded.repartitionById(ranges.count, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     written = stash(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long, width int"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     manifest = written.select("part", "n_docs", "n_tokens", "width", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))

@@ -1,12 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import langid, spotsigs
+from roadloom.llm import langid, queries, spotsigs, tokenids
 
 # -- op3_document_fingerprints
 
@@ -204,3 +206,50 @@ def test_buckets_with_several_tasks(spark, monkeypatch):
     rows = [(i, " ".join(f"word{rng.randrange(40)}" for _ in range(rng.randrange(30)))) for i in range(90)]
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), path).collect()}
     assert got == {i: len(model.encode(t)) for i, t in rows}
+
+
+def hot_table(spark, n=3000):
+    """A third without an id, a third of one id (half of those alike), the others apart."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, "the same text" if i % 6 == 1 else f"the text number {i}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_no_range_is_much_larger_than_another(spark):
+    from roadloom.llm.shared import Ranges
+
+    t = hot_table(spark)
+    ranges = Ranges(t, "doc_id", 12)
+    got = t.select("doc_id", ranges.part(F.col("doc_id")).alias("part")).collect()
+    sizes = collections.Counter(r["part"] for r in got)
+    assert max(sizes.values()) <= 2 * len(got) / len(sizes) and len(sizes) >= 10 and max(sizes) < ranges.count
+    low = lambda i: -1 if i is None else i
+    spans = sorted((p, min(low(r["doc_id"]) for r in got if r["part"] == p), max(low(r["doc_id"]) for r in got if r["part"] == p)) for p in sizes)
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+    for rows in ([], [(None,)], [(2**63 - 1,)] * 9 + [(-(2**63),)] * 9):
+        edge = spark.createDataFrame(rows, "k long")
+        ranges = Ranges(edge, "k", 4)
+        assert all(0 <= r["p"] < ranges.count for r in edge.select(ranges.part(F.col("k")).alias("p")).collect())
+
+
+def test_hot_ids_in_fingerprints_and_token_ids(spark, tmp_path):
+    t = hot_table(spark)
+    got = spotsigs.compare_with_next(t, parts=12).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r["doc_id"] for r in t.collect())
+    one = lambda x: spotsigs.spell(spotsigs.signatures(spotsigs._WORDS.codes(x)))
+    assert collections.Counter((r["doc_id"], r["fingerprint"]) for r in got) == collections.Counter((r["doc_id"], one(r["text"])) for r in t.collect())
+    # every edited text is that of some next row: all of the next id's, or one of the same
+    texts = collections.defaultdict(set)
+    for r in t.collect():
+        texts[r["doc_id"]].add(r["text"])
+    ids = sorted((i for i in texts if i is not None), reverse=True) + [None]
+    after = {i: texts[i] | texts[ids[(n + 1) % len(ids)]] for n, i in enumerate(ids)}
+    digest = lambda x, y: hashlib.sha256(spotsigs.edited(x, y).encode()).hexdigest()
+    possible = {i: {digest(x, y) for x in texts[i] for y in after[i]} for i in ids if i is not None and i != 50}
+    assert all(r["edited_sha256"] in possible[r["doc_id"]] for r in got if r["doc_id"] in possible)
+    manifest = tokenids.write_ids(t, queries.tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "ids"), parts=12)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2 * 3000 / len(sizes)
+    rows = sorted(tokenids.read_ids(manifest, str(tmp_path / "ids")).collect(), key=lambda r: r["start"])
+    low = lambda i: -1 if i is None else i
+    assert [low(r["doc_id"]) for r in rows] == sorted(low(r["doc_id"]) for r in rows)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
