@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roadloom.config import Settings
+from roadloom.config import DIMENSIONS, Settings
+from roadloom.functions import scores
 from roadloom.operators import folds, packets
+from roadloom.sources.table import KeyedTable, table_sink
 from roadloom.streaming import ordered
 
 
@@ -61,6 +63,27 @@ def live_means(ticks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return s.where("outcome = 'accepted'").groupBy("node_id", "dimension").agg(F.avg("score").alias("mean"), F.count("*").alias("n"), F.max("ts").alias("ts"))
 
 
+def live_composite(ticks: DataFrame, watermark: str = "10 minutes", s: Settings = Settings()) -> DataFrame:
+    """node_id, odd_score, n, ts so far, for update mode: the composite of the means of each dimension's accepted samples.
+
+    One aggregate with a column per dimension, as a second one over the first is not allowed in this mode. ticks: as live_means.
+    """
+    one = packets.with_gates(ticks, s).withWatermark("ts", watermark).select("node_id", "ts", F.explode("samples").alias("s")).select("node_id", "ts", "s.*").where("outcome = 'accepted'")
+    means = {d: F.avg(F.when(F.col("dimension") == d, F.col("score"))) for d in DIMENSIONS}
+    got = one.groupBy("node_id").agg(*[m.alias(d) for d, m in means.items()], F.count("*").alias("n"), F.max("ts").alias("ts"))
+    return got.select("node_id", scores.composite({d: F.col(d) for d in DIMENSIONS}, s).alias("odd_score"), "n", "ts")
+
+
+def pull(spark: SparkSession, root: str, node_id: str) -> DataFrame:
+    """The newest live_composite of one vehicle, from the table that live_sink() keeps: one bucket is read."""
+    return KeyedTable(spark, root, ["node_id"], "n").by_id(node_id=node_id)
+
+
+def live_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """For each_batch: keeps the newest composite of every vehicle in a table."""
+    return table_sink(root, ["node_id"], "n")
+
+
 def publish_conditions(ticks: DataFrame) -> DataFrame:
     """One row of severities and trust per tick, gaps included; stateless."""
     return packets.with_conditions(ticks).select("node_id", "ts", "conditions.*", "degraded", "alert")
