@@ -26,50 +26,38 @@ def _cell(v: Column, low: float, span: float, bits: int) -> Column:
     """The number of v's cell among 2**bits equal ones. A floor, then moved to agree with the cells' exact edges."""
     n = 1 << bits
     step = span / n  # a power-of-two fraction: edges are exact
+    i = F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(n - 1))
+    moved = i + (v >= F.lit(low) + (i + 1) * F.lit(step)).cast("int") - (v < F.lit(low) + i * F.lit(step)).cast("int")
+    return F.least(F.greatest(moved, F.lit(0)), F.lit(n - 1)).cast("bigint")
 
-    def to_edges(p: Column) -> Column:
-        v, i = p["v"], p["i"]
-        moved = i + (v >= F.lit(low) + (i + 1) * F.lit(step)).cast("int") - (v < F.lit(low) + i * F.lit(step)).cast("int")
-        return F.least(F.greatest(moved, F.lit(0)), F.lit(n - 1)).cast("bigint")
 
-    return let(F.struct(v.alias("v"), F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(n - 1)).alias("i")), to_edges)
+#: The digits of base 32 as conv() writes them; BASE32 has a hash's letters in the same places.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
-    """Geohash text; bits alternate, longitude first, and a value on an edge belongs to the upper cell."""
-    bits = 5 * precision
-    lon_bits, lat_bits = (bits + 1) // 2, bits // 2
-
-    def spell(cell: Column) -> Column:
-        letters = []
-        for c in range(precision):
-            value = F.lit(0).cast("bigint")
-            for b in range(5 * c, 5 * c + 5):
-                source, at = (cell["x"], lon_bits - 1 - b // 2) if b % 2 == 0 else (cell["y"], lat_bits - 1 - b // 2)
-                value = value.bitwiseOR(F.shiftleft(F.shiftright(source, at).bitwiseAND(F.lit(1)), 4 - b % 5))
-            letters.append(F.substring(F.lit(BASE32), value.cast("int") + 1, F.lit(1)))
-        return F.concat(*letters)
+    """Geohash text; bits alternate, longitude first, and a value on an edge belongs to the upper cell.
 
-    cell = F.struct(_cell(lon, -180.0, 360.0, lon_bits).alias("x"), _cell(lat, -90.0, 180.0, lat_bits).alias("y"))
-    return F.when(lat.isNotNull() & lon.isNotNull(), let(cell, spell))
+    Binary digits read in base 4 are spread to every other bit, so two sums and two changes of base are all.
+    """
+    bits = 5 * precision
+    x, y = _cell(lon, -180.0, 360.0, (bits + 1) // 2), _cell(lat, -90.0, 180.0, bits // 2)
+    spread = lambda c: F.conv(F.bin(c), 4, 10).cast("bigint")
+    last, other = (x, y) if bits % 2 else (y, x)
+    number = spread(last) + 2 * spread(other)
+    text = F.translate(F.lpad(F.conv(number.cast("string"), 10, 32), precision, "0"), DIGITS, BASE32)
+    return F.when(lat.isNotNull() & lon.isNotNull(), text)
 
 
 def geohash_center(text: Column, precision: int = 7) -> Column:
     """struct(lat, lon) of the cell's centre; null for text with other letters or of another length."""
-    x = y = F.lit(0).cast("bigint")
-    ok = F.length(text) == precision
-    for c in range(precision):
-        value = F.instr(F.lit(BASE32), F.substring(text, c + 1, 1)) - 1
-        ok = ok & (value >= 0)
-        for b in range(5):
-            bit = F.shiftright(value, 4 - b).bitwiseAND(F.lit(1)).cast("bigint")
-            if (5 * c + b) % 2 == 0:
-                x = F.shiftleft(x, 1).bitwiseOR(bit)
-            else:
-                y = F.shiftleft(y, 1).bitwiseOR(bit)
     bits = 5 * precision
+    digits = F.conv(F.conv(F.translate(text, BASE32, DIGITS), 32, 10), 10, 4)  # of each, the lower bit is the last coordinate's
+    bit = lambda to: F.conv(F.translate(digits, "0123", to), 2, 10).cast("bigint")
+    x, y = (bit("0101"), bit("0011")) if bits % 2 else (bit("0011"), bit("0101"))
     dx, dy = 360.0 / (1 << (bits + 1) // 2), 180.0 / (1 << bits // 2)
-    return F.when(ok, F.struct((F.lit(-90.0) + (y + F.lit(0.5)) * dy).alias("lat"), (F.lit(-180.0) + (x + F.lit(0.5)) * dx).alias("lon")))
+    centre = F.struct((F.lit(-90.0) + (y + F.lit(0.5)) * dy).alias("lat"), (F.lit(-180.0) + (x + F.lit(0.5)) * dx).alias("lon"))
+    return F.when(text.rlike(f"^[{BASE32}]{{{precision}}}$"), centre)
 
 
 def positive_mod(x: Column, m: float) -> Column:
