@@ -28,6 +28,21 @@ def upload_batch(packets: DataFrame, now: str | None = None, lease_s: int = 900,
     return packets.where(waits).orderBy("created_at", "packet_id").limit(n)
 
 
+def after_uploads(packets: DataFrame, results: DataFrame) -> DataFrame:
+    """packets after a batch was sent: those in results (packet_id, status DONE or FAILED, at) have that status, one attempt more, and when DONE the time."""
+    r = results.select("packet_id", F.col("status").alias("_status"), F.col("at").alias("_at"))
+    sent = F.col("_status").isNotNull()
+    return packets.join(r, "packet_id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "attempts": F.col("attempts") + sent.cast("int"),
+        "uploaded_at": F.when(F.col("_status") == "DONE", F.col("_at")).when(~sent, F.col("uploaded_at")),
+    }).drop("_status", "_at")
+
+
+def upload_outcome(results: DataFrame) -> DataFrame:
+    """One row with outcome: retry if any upload of the batch failed, else success; also of an empty batch."""
+    return results.agg(F.when(F.coalesce(F.bool_or(F.col("status") == "FAILED"), F.lit(False)), "retry").otherwise("success").alias("outcome"))
+
+
 def queue_counts(packets: DataFrame) -> DataFrame:
     return packets.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -66,6 +81,21 @@ def session_totals(packets: DataFrame, alerts: DataFrame | None = None) -> DataF
     return t.join(raised, keys, "left").withColumn("alerts_raised", F.coalesce("alerts_raised", F.lit(0)))
 
 
+def session_starts(ticks: DataFrame) -> DataFrame:
+    """The row of each session as it begins: start_ts, no end yet, nothing counted."""
+    t = ticks.groupBy("node_id", "session_id").agg(F.min("ts").alias("start_ts"))
+    zero = F.lit(0).cast("long")
+    return t.select("*", F.lit(None).cast("timestamp").alias("end_ts"), F.lit(0.0).alias("distance_m"), zero.alias("segments_visited"), zero.alias("alerts_raised"))
+
+
+def session_rows(starts: DataFrame, totals: DataFrame) -> DataFrame:
+    """starts with what session_totals says of those that have packets; one without stays as it began."""
+    keys = ["node_id", "session_id"]
+    said = totals.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("end_ts", "distance_m", "segments_visited", "alerts_raised")])
+    met = starts.join(said, keys, "left")
+    return met.select(*keys, "start_ts", *[F.coalesce(f"_{c}", c).alias(c) for c in ("end_ts", "distance_m", "segments_visited", "alerts_raised")])
+
+
 def lifetime_totals(sessions: DataFrame, packets: DataFrame) -> DataFrame:
     a = sessions.agg(F.count("*").alias("sessions"), (F.coalesce(F.sum("distance_m"), F.lit(0.0)) / 1000.0).alias("km"))
     b = packets.agg(F.count("*").alias("packets"), F.count_if(F.col("status") == "DONE").alias("uploaded"))

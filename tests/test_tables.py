@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.operators import fleet, partials
+from roadloom.operators import fleet, partials, store
 from roadloom.plans import queries
 from roadloom.sources.table import KeyedTable, table_sink
 from roadloom.streaming import folds as streams
@@ -101,3 +101,15 @@ def test_nothing_combines_with_nothing(spark):
     assert tuple(row.select(*partials.combine(c("n"), c("m"), c("q"), c("x"), c("x"), c("x"))).first()) == (0.0, 0.0, 0.0)
     two = row.select(*partials.combine(F.lit(1.0), F.lit(3.0), F.lit(0.0), F.lit(3.0), F.lit(7.0), F.lit(8.0))).first()
     assert tuple(two) == (4.0, 6.0, 20.0)
+
+
+def test_sessions_start_and_uploads_end(spark):
+    ticks = spark.sql("SELECT n AS node_id, 's' AS session_id, timestamp_seconds(t) AS ts FROM VALUES ('a', 5), ('a', 3), ('b', 9) AS d(n, t)")
+    totals = spark.sql("SELECT 'a' AS node_id, 's' AS session_id, timestamp_seconds(4) AS start_ts, timestamp_seconds(8) AS end_ts, 7D AS distance_m, 2L AS segments_visited, 1L AS alerts_raised")
+    got = {r["node_id"]: (r["start_ts"].second, r["end_ts"] and r["end_ts"].second, r["distance_m"], r["segments_visited"], r["alerts_raised"]) for r in store.session_rows(store.session_starts(ticks), totals).collect()}
+    assert got == {"a": (3, 8, 7.0, 2, 1), "b": (9, None, 0.0, 0, 0)}
+    p = spark.sql("SELECT id AS packet_id, s AS status, 1 AS attempts, CAST(NULL AS TIMESTAMP) AS uploaded_at FROM VALUES ('x', 'PENDING'), ('y', 'FAILED'), ('z', 'DONE') AS d(id, s)")
+    results = spark.sql("SELECT id AS packet_id, s AS status, timestamp_seconds(9) AS at FROM VALUES ('x', 'DONE'), ('y', 'FAILED') AS d(id, s)")
+    got = {r["packet_id"]: (r["status"], r["attempts"], r["uploaded_at"] is not None) for r in store.after_uploads(p, results).collect()}
+    assert got == {"x": ("DONE", 2, True), "y": ("FAILED", 2, False), "z": ("DONE", 1, False)}
+    assert [store.upload_outcome(x).first()["outcome"] for x in (results, results.limit(0), results.where("status = 'DONE'"))] == ["retry", "success", "success"]
