@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.shared import discard, stash
+from roadloom.llm.shared import discard, give_back, stash
 
 BINS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -121,8 +121,9 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         df = np.zeros(BINS + 1, np.int64)
         for b in batches:
             df[BINS] += b.num_rows
-            for t in b.column("text").to_pylist():
-                df[:BINS] += bin_counts(t) > 0
+            for t in b.column("text"):
+                df[:BINS] += bin_counts(t.as_py()) > 0
+        give_back()
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["bin", "n"])
 
@@ -156,7 +157,7 @@ def smallest(rows: DataFrame, per_lang: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
-    """labelled: (doc_id, text, lang). Rows without text or lang teach nothing."""
+    """labelled: (doc_id, text, lang). Rows without text or lang teach nothing, nor do languages beyond the first MAX_ROWS by name."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     known = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("long"), "lang", "text").alias("key"))
     keys = stash(smallest(known.select("key", "lang"), per_lang), "language-sample")
@@ -171,11 +172,12 @@ def fit(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
             new = [k not in seen and not seen.add(k) for k in b.column("key").to_pylist()]
             b = b.filter(pa.array(new, pa.bool_()))
             got = []
-            for t in b.column("text").to_pylist():
-                c = bin_counts(t)
+            for t in b.column("text"):
+                c = bin_counts(t.as_py())
                 at = np.nonzero(c)[0]
                 got.append(at.astype("<u4").tobytes() + c[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(got, pa.binary())], names=["key", "lang", "counts"])
+        give_back()
 
     chosen = known.where(F.col("key").isin(list(times))).select("key", "lang", "text")
     # copies of a row may lie in several tasks: one comes to the driver
@@ -222,5 +224,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in it:
             got = [shared.value.predict(t) for t in texts]
             yield pd.DataFrame(got, columns=["lang_pred", "score"])
+        give_back()
 
     return docs.select(*names, say("text").alias("_p")).select(*names, "_p.lang_pred", "_p.score")
