@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.operators import packets
-from roadloom.plans.queries import VISIT_PACKETS_SQL, packet_columns, query
-from roadloom.plans.telemetry import ticks, with_samples
+from roadloom.plans.queries import ORACLES, VISIT_PACKETS_SQL, packet_columns, query
+from roadloom.plans.telemetry import table, ticks, with_samples
 from roadloom.session import scratch
 from roadloom.streaming import folds as streams
+from roadloom.streaming import ordered
 from roadloom.streaming.packets import packet_stream
 
 #: Landings of the events, how late one may arrive, and the watermark's delay, which covers both.
@@ -39,6 +40,20 @@ def land(rows: DataFrame, where: str, landings: int = LANDINGS, late_s: int = LA
     return f"{delay_ms} milliseconds"
 
 
+def landed(rows: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """(a stream over rows as they land, the delay that it needs, a folder beside it)."""
+    where = scratch(rows.sparkSession, name)
+    delay = land(rows, where)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(where), delay, where
+
+
+def ended(rows: DataFrame, where: str) -> DataFrame:
+    """What a stream has written when it has come to its end, without the row of no vehicle."""
+    streams.run_to_end(rows, f"{where}-out", f"{where}-checkpoint")
+    back = rows.sparkSession.read.parquet(f"{where}-out")
+    return back.where("node_id <> ''") if "node_id" in back.columns else back
+
+
 def with_ends(t: DataFrame) -> DataFrame:
     """t with a row more for each session, one second after its last tick, that ends it."""
     last = t.groupBy("node_id", "session_id").agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
@@ -51,8 +66,31 @@ def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = packets.with_gates(with_samples(ticks(spark, sf_dir)))
     needed = ["node_id", "session_id", "event_id", "ts", "seq", "segment", "time_bucket", "distance_m", "speed_mps", "duty_cycle", "gnss_capability", "raw_gnss", "light_sensor", "samples"]
     rows = with_ends(t.select(*needed))
-    where = scratch(spark, "stream-ticks")
-    delay = land(rows, where)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(where)
-    streams.run_to_end(packet_stream(stream, delay=delay), f"{where}-packets", f"{where}-checkpoint")
-    return packet_columns(spark.read.parquet(f"{where}-packets"))
+    stream, delay, where = landed(rows, "stream-ticks")
+    return packet_columns(ended(packet_stream(stream, delay=delay), where))
+
+
+@query(ORACLES["visit_sessions"])
+def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """visit_sessions from late ticks, each with its visit as soon as the watermark has passed it."""
+    stream, delay, where = landed(ticks(spark, sf_dir).select("node_id", "session_id", "event_id", "ts", "segment", "distance_m"), "stream-visits")
+    return ended(streams.assign_visits(stream, ["node_id", "session_id"], ["ts", "event_id"], delay=delay), where).select("node_id", "event_id", "visit")
+
+
+@query(ORACLES["alert_cooldown"])
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alert_cooldown from late ticks."""
+    t = packets.with_conditions(with_samples(ticks(spark, sf_dir))).select("node_id", "event_id", "ts", "alert", "wall_ms")
+    stream, delay, where = landed(t, "stream-alerts")
+    fired = ended(streams.fire_alerts(stream, ["node_id"], ["ts", "event_id"], "alert", "wall_ms", 86_400_000, delay=delay), where)
+    return fired.where("fired").groupBy("node_id", "alert").agg(F.count("*").alias("fired"))
+
+
+@query(ORACLES["asof_latest_fix"])
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asof_latest_fix over two streams, each late in its own way."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("node_id"), "event_type", "value")
+    frames, delay, where = landed(e.select("event_id", "ts", "node_id"), "stream-frames")
+    fixes, right_delay, _ = landed(e.where("event_type = 'view'").select("event_id", "ts", "node_id", F.col("event_id").alias("last_id"), F.col("value").alias("last_value")), "stream-fixes")
+    joined = ordered.asof_join(frames, fixes, "node_id", "ts", ["last_value", "last_id"], delay=delay, right_delay=right_delay)
+    return ended(joined, where).select("event_id", "last_value", "last_id")
