@@ -131,7 +131,8 @@ def _merged(rows: Column) -> Column:
     n = lambda: _total(rows, lambda r: r["n"], F.lit(0).cast("long"))
     sums = F.struct(n().alias("n"), (_total(rows, lambda r: r["n"] * r["mean"], F.lit(0.0)) / F.nullif(n(), F.lit(0))).alias("mean"), _total(rows, lambda r: (r["n"] - 1) * F.coalesce(r["variance"], F.lit(0.0)) + r["n"] * r["mean"] * r["mean"], F.lit(0.0)).alias("square"))
     several = geo.let(sums, lambda t: F.struct(t["n"].alias("n"), F.coalesce(t["mean"], F.lit(0.0)).alias("mean"), F.coalesce((t["square"] - t["n"] * t["mean"] * t["mean"]) / F.nullif(t["n"] - 1, F.lit(0)), F.lit(0.0)).alias("variance")))
-    one = F.struct(rows[0]["n"].alias("n"), rows[0]["mean"].alias("mean"), F.coalesce(rows[0]["variance"], F.lit(0.0)).alias("variance"))
+    first = F.get(rows, F.lit(0))
+    one = F.struct(first["n"].alias("n"), first["mean"].alias("mean"), F.coalesce(first["variance"], F.lit(0.0)).alias("variance"))
     return F.when(F.size(rows) == 1, one).otherwise(several)
 
 
@@ -190,7 +191,7 @@ def partials(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     stats = stats.withColumn("rank", F.row_number().over(order)).where(~show | (F.col("rank") <= s.evidence_max))
     row = [c for c in stats.columns if c not in VISIT]
     visits = stats.groupBy(*VISIT).agg(F.collect_list(F.struct(*row)).alias("x"))
-    of = lambda outcome: F.filter("x", lambda r: r["outcome"] == outcome)[0]
+    of = lambda outcome: F.get(F.filter("x", lambda r: r["outcome"] == outcome), F.lit(0))
     visits = visits.withColumns({"tick": of("tick"), "opening": of("opening"), "samples": F.filter("x", lambda r: r["dimension"] != TICK)})
     dims = F.transform(F.array_sort(F.array_distinct(F.transform("samples", lambda r: r["dimension"]))), lambda d: _of_dimension(d, F.filter("samples", lambda r: r["dimension"] == d)))
     shown = F.array_sort(F.transform(F.filter("x", lambda r: r["outcome"] == "evidence"), lambda r: F.struct(r["rank"], r["max"].alias("score"), r["first_ts"].alias("ts"), r["seq"].cast("long").alias("seq"), r["engine"].alias("dimension"), r["reason"])))

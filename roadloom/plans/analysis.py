@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import image
 from roadloom.operators import capture, heads, packets, store
 from roadloom.plans.queries import _PACKETS_CTE, query, r, visit_ticks
-from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, table
+from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, _geohash_sql, table
 
 # -- heads -------------------------------------------------------------------------------------------
 
@@ -255,6 +255,35 @@ def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("node_id", "session_id", "visit", "segment", "time_bucket", "frame_count", r(F.col("odd_score"), 6).alias("odd_score"), "weather", F.size("scores").alias("dimensions"), failed.alias("failed"), F.size("evidence").alias("evidence"), F.size("gates").alias("gates"))
 
 
+#: t: the ticks of a capture, whose place, speed and accuracy are those of the last fix, and whose satellites those of the last epoch.
+_CAPTURE_SQL = f"""{TICKS_SQL[:TICKS_SQL.index("t AS (SELECT *, CASE WHEN has_bearing")]}
+fx AS (SELECT node_id, wall_ms, lat, lon, speed_mps, bearing, has_bearing, (k % 30)::DOUBLE AS acc FROM t1 WHERE event_id % 7 <> 0),
+ep AS (SELECT node_id, wall_ms, k AS ek FROM t1 WHERE event_id % 5 = 0),
+j0 AS (SELECT a.node_id, a.seq, a.event_id, a.wall_ms, fx.lat, fx.lon, fx.speed_mps, fx.bearing, fx.has_bearing, fx.acc FROM t1 a ASOF LEFT JOIN fx ON a.node_id = fx.node_id AND a.wall_ms >= fx.wall_ms),
+j1 AS (SELECT j0.*, ep.ek FROM j0 ASOF LEFT JOIN ep ON j0.node_id = ep.node_id AND j0.wall_ms >= ep.wall_ms),
+j2 AS (SELECT *, wall_ms / 86400000.0::DOUBLE + (2440587.5 - 2451545.0)::DOUBLE AS d0,
+  coalesce(least(greatest(coalesce(speed_mps, 0) * greatest(wall_ms - lag(wall_ms) OVER (PARTITION BY node_id ORDER BY seq), 0) / 1000, 0), 100), 0) AS distance_m FROM j1),
+j3 AS (SELECT *, (((280.460::DOUBLE + 0.9856474::DOUBLE * d0) % 360) + 360) % 360 AS l, radians((((357.528::DOUBLE + 0.9856003::DOUBLE * d0) % 360) + 360) % 360) AS g, radians(23.439::DOUBLE - 0.0000004::DOUBLE * d0) AS ec FROM j2),
+j4 AS (SELECT *, radians(l + 1.915::DOUBLE * sin(g) + 0.020::DOUBLE * sin(2 * g)) AS lam FROM j3),
+j5 AS (SELECT *, atan2(cos(ec) * sin(lam), cos(lam)) AS ra, asin(sin(ec) * sin(lam)) AS dec, (((6.697375::DOUBLE + 0.0657098242::DOUBLE * d0 + (wall_ms % 86400000) / 3600000.0::DOUBLE) % 24) + 24) % 24 AS st FROM j4),
+j6 AS (SELECT *, radians(((st + lon / 15) % 24) * 15) - ra AS ha FROM j5),
+j7 AS (SELECT *, degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(ha))) AS el, least(ek % 40 / 25.0::DOUBLE, 1) AS bv FROM j6),
+t AS (SELECT *, CASE WHEN el IS NULL OR el > 6 THEN 'DAY' WHEN el >= -6 THEN 'DUSK_DAWN' ELSE 'NIGHT' END AS time_bucket,
+  CASE WHEN ek IS NOT NULL THEN 0.25::DOUBLE * least(ek % 14 / 12.0::DOUBLE, 1) + 0.20::DOUBLE * least(greatest((15 + ek % 35 - 20) / 25.0::DOUBLE, 0), 1) + 0.15::DOUBLE * least(greatest((20 + ek % 35 - 25) / 23.0::DOUBLE, 0), 1) + 0.15::DOUBLE * least(ek % 6 / 4.0::DOUBLE, 1)
+  + 0.15::DOUBLE * (1 - least(coalesce(acc, 40) / 40, 1)) + 0.10::DOUBLE * (1 - CASE WHEN ek % 3 = 0 THEN 0.5::DOUBLE * bv + 0.5::DOUBLE * least(ek % 8 / 5.0::DOUBLE, 1) ELSE bv END) END AS gnss,
+  CASE WHEN has_bearing THEN ({_geohash_sql("lat", "lon")}) || ':' || CASE WHEN bearing = 90 THEN '2' ELSE '6' END END AS segment FROM j7)"""
+
+
+@query(f"""WITH RECURSIVE {_CAPTURE_SQL}, {VISITS_SQL}
+SELECT f.node_id, f.visit, arg_min(t.segment, t.seq) AS segment, arg_min(t.time_bucket, t.seq) AS time_bucket, count(*) AS frame_count, round(sum(t.distance_m), 6) AS distance_m, count(gnss) AS gnss_n, round(coalesce(avg(gnss), 0), 6) AS gnss_mean
+FROM f JOIN t USING (event_id) WHERE f.visit IS NOT NULL GROUP BY f.node_id, f.visit""")
+def capture_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the packets of capture_packets, what closed formulas give: visits by as-of fixes, the sun's bucket, distance, satellites."""
+    p = capture.drive_packets(**captured(spark, sf_dir))
+    gnss = F.col("scores")["gnss_q"]
+    return p.select("node_id", "visit", "segment", "time_bucket", "frame_count", r(F.col("distance_m"), 6).alias("distance_m"), F.coalesce(gnss["n"], F.lit(0)).cast("long").alias("gnss_n"), r(F.coalesce(gnss["mean"], F.lit(0.0)), 6).alias("gnss_mean"))
+
+
 @query(f"""WITH RECURSIVE {TICKS_SQL}, {VISITS_SQL}, {SAMPLES_SQL}, {_PACKETS_CTE}
 SELECT node_id, 's' || substring(node_id, 2) AS session_id, count(*) AS packets, round(sum(distance_m), 9) AS metres, round(avg(odd_score), 9) AS odd_mean, CAST(sum(frame_count) AS BIGINT) AS frames FROM pk GROUP BY node_id""")
 def session_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
