@@ -314,7 +314,9 @@ def _top(held: pa.Table, wanted: pa.Table, k: int) -> list[tuple[int, int, float
 def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int | None = None, hashes: int | None = None, width: float | None = None, probes: int | None = None, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score. is_query is a condition on the column id_col.
 
-    tables, hashes, width and probes (buckets of all tables together) are fitted unless all four are given.
+    tables, hashes, width and probes (buckets of all tables together) are fitted unless all four are given. A table has SETS
+    perturbations, so there are at most that many probes of each; probes=0, with the other three given, is the exact way: every
+    query is compared with all rows, block by block.
     """
     vectors = valid_vectors(rows, id_col, vector_col)
     by_vector = Window.partitionBy("vec").orderBy("id")  # the limit runs before the shuffle too

@@ -208,7 +208,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs (fp_a < fp_b, likeness) of different non-empty fingerprints with likeness >= threshold; membership is (fingerprint, doc_id).
 
-    prints: (doc_id, fingerprint). Equal fingerprints collapse first. A set of n
+    prints: (doc_id, fingerprint). Ids aren't read, so null and repeated ones change nothing; null fingerprints are left out. Equal fingerprints collapse first. A set of n
     signatures is in the length class of n; it looks up its n - ceil(t n) + 1
     rarest signatures, in its own class and those within reach below.
     """

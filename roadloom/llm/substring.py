@@ -5,8 +5,8 @@ hash of the GRAM-word grams in it. Consecutive windows with one minimiser are a
 words, which goes to the bucket of the minimiser, as all equal windows do. So a text
 travels about three times over, not once for each window.
 
-1. Grams over all documents are counted per slice; the frequent ones (a share of SHARE of all
-   words, so at most 1 / SHARE of them, SHARE / 2 where a slice's own counting leaves doubt) are broadcast.
+1. Grams over all documents are counted, per slice those that are frequent in it; the frequent ones (SHARE of all
+   words, so at most 1 / SHARE of them) are broadcast. Which they are only decides where windows meet, not the result.
    They come last in the order of minimisers: a window has one only if all its grams are frequent, so
    windows that merely touch a passage which very many documents share don't gather in its bucket.
 2. Each slice of documents sends every bucket its distinct super-k-mers, packed, with the
