@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadloom.config import DIMENSIONS, Settings
 from roadloom.functions import geo, scores
 from roadloom.operators import fleet
+from roadloom.session import scratch
 from roadloom.sources.table import KeyedTable
 
 #: What a cell of the map is: the composite has the dimension odd.
@@ -68,7 +69,10 @@ class MapStates:
         self.table.state = self.table._newest() or self.table.state
         if epoch <= self.table.state["epoch"]:
             return False
-        new = cell_states(packets, self.s)
+        # written once, as its keys are needed before its rows
+        where = scratch(self.table.spark, "map-cells")
+        cell_states(packets, self.s).write.parquet(where)
+        new = self.table.spark.read.parquet(where)
         if self.table.state["schema"] is not None:
             new = merged(self.table.matching(new.select(*CELL)).select(*CELL, *STATES), new)
         return self.table.write(new.withColumn("epoch", F.lit(epoch)), epoch)

@@ -158,8 +158,12 @@ class KeyedTable:
         return due
 
     def clean(self) -> list[str]:
-        """Deletes data that the newest manifest doesn't name, when no reader of an older one is left; returns the names."""
+        """Deletes older manifests and the data that the newest doesn't name, when no reader of an older one is left; returns the data's names."""
         self.state = self._newest() or self.state
+        manifests, fs = self._path("manifest")
+        for f in fs.listStatus(manifests):
+            if f.getPath().getName() < f"{self.state['number']:08d}.json":
+                fs.delete(f.getPath(), True)
         used = {b["name"] for b in self.state["base"].values()} | {d["name"] for d in self.state["deltas"]}
         folder, fs = self._path("data")
         gone = sorted(n for f in fs.listStatus(folder) if (n := f.getPath().getName()) not in used)

@@ -36,6 +36,7 @@ def test_deltas_are_put_over_the_base_in_any_mix(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, map(tuple, table.matching(some).collect()))) == sorted(repr(want[k]) for k in ("a", None) if k in want)
     before = sorted(map(repr, table.read().collect()))
     assert table.clean() and sorted(map(repr, table.read().collect())) == before
+    assert [p.name for p in Path(root, "manifest").glob("*.json")] == [f"{table.state['number']:08d}.json"]
 
 
 def test_what_is_written_follows_the_batch(spark, tmp_path):
