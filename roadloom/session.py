@@ -24,6 +24,8 @@ def local_session(cpus: int = 8, name: str = "roadloom", **conf: str) -> SparkSe
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.driver.host": "127.0.0.1",
+        # else every function call of a plan's building asks the JVM for its call site: a packet plan has thousands
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
 
