@@ -229,16 +229,22 @@ def _picture(event: int, k: int) -> tuple[bytes, bytes]:
     return luma.tobytes(), np.stack([luma] * 3, -1).tobytes()
 
 
-def captured(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Frames and sensor rows from events: a tick a frame, some of them broken, sensors with gaps of their own."""
-    from roadloom.plans.telemetry import ticks
+def drawn(t: DataFrame, *columns: str) -> DataFrame:
+    """A frame for each of ticks t, some of them broken, with columns of t."""
 
     @F.pandas_udf("luma binary, rgb binary")
     def draw(events: pd.Series, ks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_picture(int(e), int(k)) if e % 29 else (b"short", b"") for e, k in zip(events, ks, strict=True)], columns=["luma", "rgb"])
 
+    return t.select("node_id", "session_id", "wall_ms", (F.col("wall_ms") * 1_000_000).alias("frame_ns"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "duty_cycle", *columns, draw("event_id", "k").alias("i")).select("*", "i.luma", "i.rgb").drop("i")
+
+
+def captured(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Frames and sensor rows from events: a tick a frame, some of them broken, sensors with gaps of their own."""
+    from roadloom.plans.telemetry import ticks
+
     t = ticks(spark, sf_dir)
-    frames = t.select("node_id", "session_id", "wall_ms", (F.col("wall_ms") * 1_000_000).alias("frame_ns"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "duty_cycle", draw("event_id", "k").alias("i")).select("*", "i.luma", "i.rgb").drop("i")
+    frames = drawn(t)
     fixes = t.where("event_id % 7 <> 0").select("node_id", "wall_ms", "lat", "lon", (F.col("k") % 30).cast("double").alias("accuracy_m"), "speed_mps", F.col("bearing").alias("bearing_deg"), "has_bearing")
     epoch = F.struct((F.col("k") % 14).alias("used"), F.lit(20).alias("in_view"), (15 + F.col("k") % 35).alias("mean_cn0"), (20 + F.col("k") % 35).alias("top_quartile_cn0"), (F.col("k") % 6).alias("constellations"), (F.col("k") % 40).alias("cn0_variance"), (F.col("k") % 8).alias("jitter"), F.col("gnss_capability").alias("capability"))
     epochs = t.where("event_id % 5 = 0").select("node_id", "wall_ms", epoch.alias("epoch"))

@@ -153,7 +153,7 @@ def blurred_images(packets: DataFrame, frames: DataFrame, *, faces: Faces | None
     wanted = evidence_rows(packets)
     few = wanted.count() <= BROADCAST_ROWS
     keys = ["node_id", "session_id", "seq"]
-    shown = frames.select(*keys, "width", "height", "rgb", "vehicles").join(F.broadcast(wanted) if few else wanted, keys)
+    shown = frames.select(*keys, "width", "height", "rgb", "vehicles").join(F.broadcast(wanted) if few else wanted.hint("merge"), keys)
     shown = shown.withColumn("b", sinks.blurred(F.col("width"), F.col("height"), F.col("rgb"), F.col("vehicles"), within(face_seconds, faces) if faces else None)).where("b.rgb IS NOT NULL")
 
     @F.pandas_udf("binary")
@@ -185,16 +185,37 @@ def assemble(packets: DataFrame, frames: DataFrame, root: str, job: str, *, face
 # -- files and packets -------------------------------------------------------------------------------
 
 
+def _listed(folder: str, kind: fs.FileType) -> list[fs.FileInfo]:
+    system, base = _open(folder)
+    return [i for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == kind]
+
+
 def committed_images(spark: SparkSession, root: str) -> DataFrame:
-    """packet_id, file, length, path of the images of committed jobs, from a listing; contents stay where they are."""
-    system, base = _open(root.rstrip("/"))
-    there = lambda d: system.get_file_info(f"{base}/{d}").type != fs.FileType.NotFound
-    if not there("images"):
-        return spark.createDataFrame([], "packet_id string, file string, length bigint, path string")
-    jobs = [i.base_name for i in system.get_file_info(fs.FileSelector(f"{base}/jobs"))] if there("jobs") else []
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/images").select("path", "length")
-    parts = F.split("path", "/")
-    return listed.where(F.element_at(parts, -4).isin(jobs)).select(F.element_at(parts, -2).alias("packet_id"), F.element_at(parts, -1).alias("file"), "length", "path")
+    """packet_id, file, length, path of the images of committed jobs, from a listing; contents stay where they are.
+
+    The driver lists the folders of tasks; executors list those of the packets, and then the files in them.
+    """
+    root = root.rstrip("/")
+    marked = {i.base_name for i in _listed(f"{root}/jobs", fs.FileType.File)}
+    jobs = [i.base_name for i in _listed(f"{root}/images", fs.FileType.Directory) if i.base_name in marked]
+    tasks = [(f"{root}/images/{j}/{i.base_name}",) for j in jobs for i in _listed(f"{root}/images/{j}", fs.FileType.Directory)]
+    # paths as Spark's readers write them
+    local = isinstance(_open(root)[0], fs.LocalFileSystem)
+    shown = (lambda p: f"file:{_open(p)[1]}") if local else (lambda p: p)
+
+    def packets_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["folder"]:
+                names = [i.base_name for i in _listed(folder, fs.FileType.Directory)]
+                yield pd.DataFrame({"packet_id": names, "folder": [f"{folder}/{n}" for n in names]}, dtype=object)
+
+    def files_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(p, i.base_name, i.size, f"{shown(folder)}/{i.base_name}") for p, folder in zip(b["packet_id"], b["folder"], strict=True) for i in _listed(folder, fs.FileType.File)]
+            yield pd.DataFrame(found, columns=["packet_id", "file", "length", "path"])
+
+    folders = spark.createDataFrame(tasks, "folder string").repartition(max(1, len(tasks)), "folder")
+    return folders.mapInPandas(packets_in, "packet_id string, folder string").repartition("packet_id").mapInPandas(files_in, "packet_id string, file string, length bigint, path string")
 
 
 def audit(packets: DataFrame, files: DataFrame) -> DataFrame:

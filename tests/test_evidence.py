@@ -103,3 +103,20 @@ def test_uploaded_packets_lose_their_images_under_the_cap(spark, tmp_path):
     after = {r["packet_id"]: (r["size_bytes"], r["evidence_bytes"], r["evidence_evicted"]) for r in evidence.enforce_cap(index, root, 450).collect()}
     assert after == {"p0": (150, 100, False), "p1": (50, 0, True), "p2": (50, 0, True), "p3": (150, 100, False)}
     assert {r["packet_id"] for r in evidence.committed_images(spark, root).collect()} == {"p0", "p3"}
+
+
+def test_images_are_not_joined_as_a_whole(spark, packets, tmp_path):
+    """Only frames that packets name are drawn, no plan moves images to the driver, and it lists folders of tasks, not images."""
+    named = {(r["node_id"], r["seq"]) for r in evidence.evidence_rows(packets).collect()}
+    shown = framed(spark, DATA, packets)
+    assert {(r["node_id"], r["seq"]) for r in shown.select("node_id", "seq").collect()} == named and len(named) < framed(spark, DATA).count()
+    plan = framed(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    root = str(tmp_path / "e")
+    spark.dataSource.register(evidence.EvidenceImages)
+    spark.range(50).repartition(2).select(F.concat(F.lit("p"), "id").alias("packet_id"), F.lit("a.png").alias("file"), F.lit(b"img").alias("content")).write.format("evidence_images").option("root", root).option("job", "j").mode("append").save()
+    found = evidence.committed_images(spark, root)
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    by_reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/images")
+    assert {(r["path"], r["length"]) for r in found.collect()} == {(r["path"], r["length"]) for r in by_reader.select("path", "length").collect()} and found.count() == 50
+    assert {r["path"] for r in evidence.committed_images(spark, f"file://{root}").collect()} == {r["path"] for r in found.collect()}
