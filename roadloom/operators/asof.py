@@ -20,6 +20,30 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, columns: lis
     return both.select("_l.*", *[F.col(f"_r.{c}").alias(c + suffix) for c in columns])
 
 
+def asof_joins(left: DataFrame, others: list[tuple[DataFrame, list[str]]], key: str, ts: str, trailing: DataFrame | None = None, value: str = "value", rows: int = 100, least: int = 16) -> DataFrame:
+    """left after an asof_join with each of others (rows, columns), all in one union: left is dealt by key once.
+
+    With trailing (key, ts, value), window: the last rows values at or before a left row's ts, null under least of
+    them; only left rows' windows leave the task. Values of one ts are in their own order.
+    """
+    both = left.select(key, ts, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    found = [f"_r{i}" for i in range(len(others))]
+    for name, (right, columns) in zip(found, others, strict=True):
+        both = both.unionByName(right.select(key, ts, F.lit(0).alias("_side"), F.struct(*columns).alias(name)), allowMissingColumns=True)
+    if trailing is not None:
+        both = both.unionByName(trailing.select(key, ts, F.lit(0).alias("_side"), F.struct(value).alias("_v")), allowMissingColumns=True)
+    series = ["_v"] if trailing is not None else []
+    w = Window.partitionBy(key).orderBy(ts, "_side", *found, *series).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({f"{c}_last": F.last(c, ignorenulls=True).over(w) for c in found} | ({"_n": F.count("_v").over(w)} if series else {}))
+    window = []
+    if series:
+        # the values are numbered, so the last of them are a range, whatever lies between
+        got = F.collect_list("_v").over(Window.partitionBy(key).orderBy("_n").rangeBetween(-(rows - 1), 0))
+        both = both.withColumn("_w", got)
+        window = [F.when(F.size("_w") >= least, F.transform("_w", lambda v: v[value])).alias("window")]
+    return both.where("_side = 1").select("_l.*", *[F.col(f"{n}_last.{c}").alias(c) for n, (_, columns) in zip(found, others, strict=True) for c in columns], *window)
+
+
 def trailing_rows(series: DataFrame, key: str, ts: str, value: str, rows: int = 100, least: int = 16) -> DataFrame:
     """series with window: the array of the last rows values, this one included, null under least of them."""
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(-(rows - 1), 0)

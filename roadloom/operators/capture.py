@@ -31,13 +31,19 @@ def looked_at(frames: DataFrame, using: Models | None = None) -> DataFrame:
     """frames (node_id, session_id, frame_ns, wall_ms, width, height, luma, rgb) without their images, with stats, dirt, wiper, prev_frame_ns and a column said_<head> for each model."""
     known, load = using or ({}, None)
     frames = frames.withColumns({f"said_{h}": models.infer(m, load, F.col("width"), F.col("height"), F.col("rgb")) for h, m in known.items()}) if known else frames
-    f = asof.previous(frames, DRIVE, "frame_ns", ["luma", "frame_ns"])
-    f = f.withColumn("stats", image.stats_column(F.col("width"), F.col("height"), F.col("luma"), F.col("rgb"), F.col("prev_luma"))).drop("luma", "rgb", "prev_luma")
-    f = folds.lens_dirt(f.withColumn("grid", F.col("stats.grid")), DRIVE, ["frame_ns"], "grid").drop("grid")
+    # the images are looked at where they are read; what the next frame wants of them is a sixteenth of the luma
+    f = frames.withColumn("seen", image.seen_column(F.col("width"), F.col("height"), F.col("luma"), F.col("rgb"))).drop("luma", "rgb")
+    f = f.withColumn("small", F.col("seen.small")).withColumn("stats", F.col("seen").dropFields("small")).drop("seen")
+    # dealt once: the windows and the fold use the same partitions
+    f = asof.previous(f.repartition(*DRIVE), DRIVE, "frame_ns", ["small", "frame_ns"])
+    f = f.withColumn("wiper", heads.wiper_index(F.col("stats.edge_energy"), DRIVE, "frame_ns"))
+    f = folds.lens_dirt(f.withColumn("grid", F.col("stats.grid")), DRIVE, ["frame_ns"], "grid", dealt=True).drop("grid")
+    f = f.withColumn("regions", image.regions_column(F.col("prev_small"), F.col("small"))).drop("small", "prev_small")
+    f = f.withColumn("stats", F.col("stats").withField("regions", F.when(F.col("stats.mean").isNotNull(), F.col("regions"))).dropFields("grid")).drop("regions")
     if "chaos" in known:
         boxes = F.transform(F.filter("said_chaos.found", lambda d: d["score"] >= models.HIT), lambda d: F.struct(*[d[c] for c in ("x0", "y0", "x1", "y1")]))
         f = folds.box_churn(f.withColumn("boxes", boxes), DRIVE, ["frame_ns"], "boxes").drop("boxes")
-    return f.withColumn("wiper", heads.wiper_index(F.col("stats.edge_energy"), DRIVE, "frame_ns"))
+    return f
 
 
 def motion(imu: DataFrame, rows: int = 100, least: int = 16) -> DataFrame:
@@ -74,23 +80,13 @@ def nine_heads(s: Settings = Settings(), using: Models | None = None) -> dict[st
     return found
 
 
-def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
-    """Ticks with samples and all that packets() wants, one for each frame.
-
-    fixes: node_id, wall_ms and FIX. epochs: node_id, wall_ms, epoch (a struct as heads.gnss_q takes).
-    imu: see motion(). light: node_id, wall_ms, lux. Without a fix yet there is no place, no
-    speed (0 for the distance) and the bucket is DAY; a head without its sensor says nothing.
-    """
-    t = looked_at(frames, using)
-    t = asof.asof_join(t, fixes, "node_id", "wall_ms", FIX)
-    t = asof.asof_join(t, epochs, "node_id", "wall_ms", ["epoch"])
-    t = asof.asof_join(t, motion(imu), "node_id", "wall_ms", ["window"])
-    # the statistics are for a frame's window alone, not for that of every motion sample
+def placed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, using: Models | None = None) -> DataFrame:
+    """looked_at() with the sensors of each frame and what follows from them, but for the samples; arguments as analysed()."""
+    moved = imu.select("node_id", "wall_ms", F.struct("v", "g").alias("value"))
+    t = asof.asof_joins(looked_at(frames, using), [(fixes, FIX), (epochs, ["epoch"]), (light, ["lux"])], "node_id", "wall_ms", moved)
     t = t.withColumn("shaken", heads.roughness_of(F.transform("window", lambda s: s["v"]), F.transform("window", lambda s: s["g"]))).drop("window")
-    t = asof.asof_join(t, light, "node_id", "wall_ms", ["lux"])
     t = t.withColumn("sun", F.when(F.col("lat").isNotNull(), geo.solar_position(F.col("wall_ms"), F.col("lat"), F.col("lon"))))
     t = t.withColumn("time_bucket", geo.time_bucket(F.col("sun.elevation")))
-    t = t.withColumn("samples", heads.fan_out(nine_heads(s, using), s))
     capability = F.coalesce(F.col("epoch.capability"), F.lit("NONE"))
     t = t.withColumns({
         "ts": F.timestamp_millis("wall_ms"),
@@ -99,12 +95,27 @@ def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFr
         "distance_m": geo.distance_delta(F.coalesce("speed_mps", F.lit(0.0)), F.col("frame_ns") - F.col("prev_frame_ns")),
         "gnss_capability": capability, "raw_gnss": capability == "RAW_MEASUREMENTS", "light_sensor": F.col("lux").isNotNull(),
     })
-    if "duty_cycle" not in t.columns:
-        t = t.withColumn("duty_cycle", F.lit("NORMAL"))
+    return t if "duty_cycle" in t.columns else t.withColumn("duty_cycle", F.lit("NORMAL"))
+
+
+def sampled(t: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
+    """placed() ticks with their samples instead of what these are made of."""
+    t = t.withColumn("samples", heads.fan_out(nine_heads(s, using), s))
     return t.drop(*[f"said_{d}" for d in models.KINDS], "churn", "stats", "dirt", "wiper", "sun", "epoch", "shaken", "prev_frame_ns")
 
 
+def analysed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
+    """Ticks with samples and all that packets() wants, one for each frame.
+
+    fixes: node_id, wall_ms and FIX. epochs: node_id, wall_ms, epoch (a struct as heads.gnss_q takes).
+    imu: node_id, wall_ms, v: vertical acceleration, g: turn rate. light: node_id, wall_ms, lux. Without a fix yet there
+    is no place, no speed (0 for the distance) and the bucket is DAY; a head without its sensor says nothing.
+    """
+    return sampled(placed(frames, fixes, epochs, imu, light, using), s, using)
+
+
 def drive_packets(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFrame, light: DataFrame, s: Settings = Settings(), using: Models | None = None) -> DataFrame:
     """packets() of the analysed frames: gates, visits, statistics, evidence."""
-    t = packets.with_gates(analysed(frames, fixes, epochs, imu, light, s, using), s)
-    return packets.packets(folds.assign_visits(t, DRIVE, ["frame_ns"], s=s), s)
+    # visits first: their windows sort the ticks, which are far wider with samples
+    t = folds.assign_visits(placed(frames, fixes, epochs, imu, light, using), DRIVE, ["frame_ns"], s=s)
+    return packets.packets(packets.with_gates(sampled(t, s, using), s), s)

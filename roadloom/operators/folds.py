@@ -109,11 +109,12 @@ def lens_step(state: tuple | None, grid: list[float] | None, moving: float = 0.0
     return (counters, now), {"persistence": counters.tolist(), "scene_change": change, "median": median}
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str) -> DataFrame:
+def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str, dealt: bool = False) -> DataFrame:
     """rows with a column into: what step says of each row, in order, from start() for each key.
 
     Rows are dealt by the keys and sorted inside the partition by Spark, which
-    spills; the fold streams over them, so no key is ever gathered.
+    spills; the fold streams over them, so no key is ever gathered. dealt: the rows come
+    from windows by the keys, and are not dealt again.
     """
     arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())]), DIRT: pa.struct([("persistence", pa.list_(pa.float64())), ("scene_change", pa.float64()), ("median", pa.float64())])}[kind]
     schema = rows.schema.simpleString()[len("struct<") : -1]
@@ -130,7 +131,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
                 out.append(said)
             yield b.append_column(into, pa.array(out, arrow))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, {into}:{kind}")
+    return (rows if dealt else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, {into}:{kind}")
 
 
 def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings()) -> DataFrame:
@@ -171,9 +172,9 @@ def box_churn(frames: DataFrame, keys: list[str], order: list[str], boxes: str)
     return fold(frames, keys, order, [boxes], list, lambda st, t: (as_tuples(t[0]), churn(st, as_tuples(t[0]))), "churn", "double")
 
 
-def lens_dirt(frames: DataFrame, keys: list[str], order: list[str], grid: str) -> DataFrame:
+def lens_dirt(frames: DataFrame, keys: list[str], order: list[str], grid: str, dealt: bool = False) -> DataFrame:
     """frames with dirt: what lens_step says of each sharpness grid in order."""
-    return fold(frames, keys, order, [grid], lambda: None, lambda st, t: lens_step(st, t[0]), "dirt", DIRT)
+    return fold(frames, keys, order, [grid], lambda: None, lambda st, t: lens_step(st, t[0]), "dirt", DIRT, dealt)
 
 
 # -- folds over an array, native -----------------------------------------------------------------

@@ -230,7 +230,12 @@ def _picture(event: int, k: int) -> tuple[bytes, bytes]:
 
 
 def drawn(t: DataFrame, *columns: str) -> DataFrame:
-    """A frame for each of ticks t, some of them broken, with columns of t."""
+    """A frame for each of ticks t, some of them broken, with columns of t.
+
+    The ticks are dealt anew, to as many tasks as there are partitions: they are few bytes, of which Spark would make few tasks, but much work.
+    """
+    spark = t.sparkSession
+    t = t.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "event_id")
 
     @F.pandas_udf("luma binary, rgb binary")
     def draw(events: pd.Series, ks: pd.Series) -> pd.DataFrame:

@@ -1,12 +1,14 @@
 """Whole captures, roughness of a window, the map over packets: against plain Python."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.config import DIMENSIONS, Settings
 from roadloom.functions import image
-from roadloom.operators import capture, fleet, heads, packets, store
+from roadloom.operators import asof, capture, fleet, heads, packets, store
 from roadloom.plans import analysis
 
 DATA = "/root/testdata/sf0.001"
@@ -123,3 +125,37 @@ def test_sessions_with_packets(spark):
     p = spark.createDataFrame([("n", "s", 3, 50.0), ("n", "s", 5, 70.0)], "node_id string, session_id string, frame_count long, odd_score double")
     got = {r["session_id"]: (r["packets"], r["frames"], r["odd_mean"]) for r in store.session_packets(s, p).collect()}
     assert got == {"s": (2, 8, 60.0), "t": (0, 0, None)}
+
+
+def test_sensors_in_one_union(spark):
+    """asof_joins says what its single joins say, and the window is the last values at or before the frame."""
+    rng = np.random.default_rng(5)
+    rows = lambda n, *extra: [(int(rng.integers(3)), int(rng.integers(400)), *(float(rng.integers(50)) for _ in extra)) for _ in range(n)]
+    left = spark.createDataFrame([(*r, i) for i, r in enumerate(rows(90))], "k int, ts int, i int")
+    a, b = spark.createDataFrame(rows(60, "x", "y"), "k int, ts int, x double, y double"), spark.createDataFrame(rows(5, "z"), "k int, ts int, z double")
+    values = rows(200, "v")
+    got = asof.asof_joins(left, [(a, ["x", "y"]), (b, ["z"])], "k", "ts", spark.createDataFrame(values, "k int, ts int, value double"), rows=7, least=3)
+    want = asof.asof_join(asof.asof_join(left, a, "k", "ts", ["x", "y"]), b, "k", "ts", ["z"])
+    assert sorted(map(tuple, got.drop("window").collect()), key=lambda r: r[2]) == sorted(map(tuple, want.collect()), key=lambda r: r[2])
+    for r in got.collect():
+        last = [v for k, ts, v in sorted(values) if k == r["k"] and ts <= r["ts"]][-7:]
+        assert r["window"] == (last if len(last) >= 3 else None)
+
+
+def test_images_are_in_no_shuffle(spark):
+    """What goes through exchanges of a capture's plan are statistics; neither images nor windows of every motion sample."""
+    plan = capture.drive_packets(**analysis.captured(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    frames_, exchanges = [line for line in plan.splitlines() if "ArrowEvalPython" in line], plan.count("Exchange")
+    assert any("small" in line for line in frames_) and exchanges < 12
+    exchanged = plan[plan.index("Exchange") : plan.index("seen#")] if "seen#" in plan else plan
+    assert not re.search(r"\b(luma|rgb|prev_luma)#", plan[: plan.index("AS small#")]) and exchanged
+
+
+def test_regions_and_sharpness_as_before():
+    rng = np.random.default_rng(3)
+    for shape in ((36, 48), (48, 64), (7, 9), (5, 3), (121, 97)):
+        before, now = (rng.integers(0, 256, shape).astype(np.uint8) for _ in range(2))
+        bh, bw = shape[0] // 6, shape[1] // 8
+        assert image.sharpness_grid(now) == [image.laplacian_variance(now, (c * bw, r * bh, (c + 1) * bw, (r + 1) * bh)) for r in range(6) for c in range(8)]
+        labels, n = image.components(np.abs(image.small(before).astype(int) - image.small(now)) >= 28)
+        assert image.motion_regions(before, now) == sum(int((labels == i).sum() >= 20) for i in range(1, n + 1))
