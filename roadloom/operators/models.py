@@ -1,7 +1,7 @@
 """Heads with a model: registered by kind, run in batches on the executors, turned into samples; the classical head where they say nothing.
 
     registered()   the registry's last model of each head, if it is of the kind that the head can use
-    infer()        what a model says of frames: loaded once per Python worker, a whole Arrow batch a call
+    infer()        what a model says of frames: loaded once per task, an Arrow batch a call, in parts where its inputs are over CHUNK_BYTES
     model_sample() the sample of what it says, null where it says nothing
 
 A frame that can't be read, an output of another shape and whatever a model raises are nulls, so that
@@ -31,6 +31,8 @@ OUTPUTS = {
     "CLASSIFIER": "struct<p:array<double>>",
     "DETECTOR": "struct<found:array<struct<x0:double,y0:double,x1:double,y1:double,label:string,score:double>>>",
 }
+#: Bytes of a model's inputs, as floats, that are made at a time.
+CHUNK_BYTES = 16_000_000
 HIT = 0.5
 LANE_TOP = 0.45
 
@@ -92,7 +94,11 @@ def infer(model: Model, load: Callable[[str], Predict], width: Column, height: C
     @F.pandas_udf(OUTPUTS[model.kind])
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         predict = None
-        for ws, hs, data in batches:
+        # images at a time, however many rows an Arrow batch has
+        most = max(1, CHUNK_BYTES // (model.width * model.height * 12))
+
+        def part(ws: pd.Series, hs: pd.Series, data: pd.Series) -> list[dict | None]:
+            nonlocal predict
             inputs = [prepared(*x) for x in zip(ws, hs, data, strict=True)]
             at = [i for i, x in enumerate(inputs) if x is not None]
             said: list[dict | None] = [None] * len(inputs)
@@ -106,6 +112,10 @@ def infer(model: Model, load: Callable[[str], Predict], width: Column, height: C
                         said[i] = _said(model, predict(inputs[i][None]), 1)[0] if predict else None
                     except Exception:  # noqa: BLE001
                         said[i] = None
+            return said
+
+        for batch in batches:
+            said = [x for i in range(0, len(batch[0]), most) for x in part(*(c.iloc[i : i + most] for c in batch))]
             names = [f.split(":")[0] for f in OUTPUTS[model.kind][len("struct<") :].split(",")[:2]] if model.kind == "SEGMENTATION" else ["p" if model.kind == "CLASSIFIER" else "found"]
             yield pd.DataFrame({c: pd.Series([None if s is None else s[c] for s in said], dtype=object) for c in names})
 

@@ -207,3 +207,22 @@ def test_compressed_capture_files_and_few_of_them(spark):
     vehicles = spark.read.parquet(f"{DATA}/events.parquet").select("user_id").distinct().count()
     assert 0 < len(made) < vehicles
     assert sum(1 for f in made for _ in frames._frames(f.read_bytes(), 32)) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_a_model_gets_bounded_batches(spark, monkeypatch):
+    """However many rows an Arrow batch has, a call gets no more images than CHUNK_BYTES hold, and the rows keep their order."""
+    monkeypatch.setattr(models, "CHUNK_BYTES", 3 * 8 * 8 * 12)
+
+    def load(path):
+        def predict(x):
+            if len(x) > 3:
+                raise MemoryError(len(x))
+            return np.full((len(x), 1), len(x), float) if len(x) > 1 else x[:, :1, 0, 0]
+
+        return predict
+
+    model = models.Model("atmo", "CLASSIFIER", "a@1", 8, 8, True, ("rain",), "p")
+    rows = spark.createDataFrame([(i, 8, 8, bytes([i]) * 192 if i != 4 else None) for i in range(9)], "i int, w int, h int, rgb binary").coalesce(1)
+    most = 3
+    got = {r["i"]: r["p"] for r in rows.select("i", models.infer(model, load, F.col("w"), F.col("h"), F.col("rgb")).alias("s")).select("i", "s.p").collect()}
+    assert got == {i: None if i == 4 else [2.0] if i in (3, 5) else [float(most)] for i in range(9)}
