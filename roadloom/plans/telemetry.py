@@ -17,13 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Ticks of a task, about. What the windows and aggregates over vehicles hold at once follows this, not the table.
+TASK_TICKS = 50_000
+
+
+def by_vehicle(rows: DataFrame) -> DataFrame:
+    """rows (ticks) dealt by node_id, so that a task has about TASK_TICKS of them; few ticks are left to Spark's own dealing.
+
+    Spark joins small shuffle partitions by their compressed bytes. A tick has few, but over ten samples and raw values come of it.
+    """
+    n = rows.count()
+    if n <= TASK_TICKS:
+        return rows
+    return rows.repartition(max(-(-n // TASK_TICKS), rows.sparkSession.sparkContext.defaultParallelism), "node_id")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.withColumn("seq", F.row_number().over(w) - 1)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), F.concat(F.lit("n"), "user_id").alias("node_id"))
+    w = Window.partitionBy("node_id").orderBy("ts", "event_id")
+    e = by_vehicle(e).withColumn("seq", F.row_number().over(w) - 1)
     cell = F.expr("seq div 12 + IF(event_id % 11 = 0, 1, 0)")
     e = e.withColumns({
-        "node_id": F.concat(F.lit("n"), "user_id"), "session_id": F.concat(F.lit("s"), "user_id"),
+        "session_id": F.concat(F.lit("s"), "user_id"),
         "lat": F.lit(12.9) + (F.col("user_id") % 40) * F.lit(0.01) + cell * F.lit(0.002), "lon": F.lit(77.55),
         "bearing": F.when(F.expr("(seq div 24) % 2") == 0, 90.0).otherwise(270.0), "has_bearing": F.expr("event_id % 13 <> 0"),
         "distance_m": F.col("value") / 10, "speed_mps": F.col("value") / 20, "wall_ms": F.unix_millis("ts"),
