@@ -34,10 +34,12 @@ def map_sets(packets: DataFrame, dimension: str | None = None) -> DataFrame:
 
 def gate_totals(packets: DataFrame) -> DataFrame:
     """Per segment and dimension: samples gated, and their share of those gated or accepted, over all vehicles."""
-    g = packets.select("segment", F.explode_outer("gates").alias("g"), "sample_counts").where("g IS NOT NULL")
-    g = g.select("segment", "g.dimension", "g.invalidated_count", F.coalesce(F.col("sample_counts")[F.col("g.dimension")], F.lit(0)).alias("n"))
-    quiet = packets.select("segment", F.explode_outer(F.map_filter("sample_counts", lambda d, n: ~F.exists("gates", lambda x: x["dimension"] == d))).alias("dimension", "n"), F.lit(0).cast("long").alias("invalidated_count")).where("dimension IS NOT NULL")
-    t = g.unionByName(quiet).groupBy("segment", "dimension").agg(F.sum("invalidated_count").alias("gated"), F.sum("n").alias("accepted"))
+    # in one pass: two over the packets would make them twice, and in one task
+    counts = F.col("sample_counts")
+    gated = F.transform("gates", lambda g: F.struct(g["dimension"].alias("dimension"), g["invalidated_count"].alias("gated"), F.coalesce(counts[g["dimension"]], F.lit(0)).cast("long").alias("accepted")))
+    quiet = F.transform(F.filter(F.map_entries(counts), lambda e: ~F.exists("gates", lambda g: g["dimension"] == e["key"])), lambda e: F.struct(e["key"].alias("dimension"), F.lit(0).cast("long").alias("gated"), e["value"].cast("long").alias("accepted")))
+    rows = packets.select("segment", F.explode_outer(F.concat(gated, F.coalesce(quiet, F.slice(gated, 1, 0)))).alias("_gate")).where("_gate IS NOT NULL").select("segment", "_gate.*")
+    t = rows.groupBy("segment", "dimension").agg(F.sum("gated").alias("gated"), F.sum("accepted").alias("accepted"))
     return t.where("gated > 0").withColumn("share", F.col("gated") / (F.col("gated") + F.col("accepted")))
 
 

@@ -40,3 +40,15 @@ def test_vehicles_are_dealt_by_the_number_of_ticks(spark, events, monkeypatch):
     assert max(sizes) <= 600 and len(sizes) >= 20
     packets = queries.packets_of(spark, events).select("node_id", F.spark_partition_id().alias("p")).distinct().collect()
     assert len({r["p"] for r in packets}) >= 20 and len(packets) == 500
+
+
+def test_gates_are_counted_in_one_pass_over_the_packets(spark):
+    p, made = counted(spark, queries.packets_of(spark, DATA), "segment")
+    n = queries.packets_of(spark, DATA).count()
+    assert fleet.gate_totals(p).count() > 0 and made.value == n
+    rows = spark.sql("""SELECT * FROM VALUES
+      ('a', array(named_struct('dimension', 'x', 'invalidated_count', 2L, 'reason', 'r')), map('x', 3L, 'y', 4L)),
+      ('a', array(named_struct('dimension', 'y', 'invalidated_count', 1L, 'reason', 'r')), map('x', 1L)),
+      ('b', array(named_struct('dimension', 'x', 'invalidated_count', 5L, 'reason', 'r')), CAST(NULL AS MAP<STRING, BIGINT>)),
+      ('c', CAST(array() AS ARRAY<STRUCT<dimension: STRING, invalidated_count: BIGINT, reason: STRING>>), map('x', 9L)) AS d(segment, gates, sample_counts)""")
+    assert sorted((r["segment"], r["dimension"], r["gated"], r["accepted"]) for r in fleet.gate_totals(rows).collect()) == [("a", "x", 2, 4), ("a", "y", 1, 4), ("b", "x", 5, 0)]
