@@ -13,6 +13,7 @@ from roadloom.functions import image
 from roadloom.operators import capture, heads, packets, store
 from roadloom.plans.queries import _PACKETS_CTE, query, r, visit_ticks
 from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, _geohash_sql, table
+from roadloom.session import written
 
 # -- heads -------------------------------------------------------------------------------------------
 
@@ -299,6 +300,7 @@ def capture_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT node_id, 's' || substring(node_id, 2) AS session_id, count(*) AS packets, round(sum(distance_m), 9) AS metres, round(avg(odd_score), 9) AS odd_mean, CAST(sum(frame_count) AS BIGINT) AS frames FROM pk GROUP BY node_id""")
 def session_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions joined with their packets."""
-    p = packets.packets(visit_ticks(spark, sf_dir))
+    p = packets.packets(visit_ticks(spark, sf_dir)).select("node_id", "session_id", "enter_ts", "exit_ts", "distance_m", "frame_count", "odd_score")
+    p = written(p, "session-packets")
     s = store.session_packets(store.session_totals(p), p)
     return s.select("node_id", "session_id", "packets", r(F.col("distance_m"), 9).alias("metres"), r(F.col("odd_mean"), 9).alias("odd_mean"), "frames")

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -40,6 +40,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows from a Parquet table in scratch: for what is costly to make and read more than once."""
+    where = scratch(rows.sparkSession, name)
+    rows.write.parquet(where)
+    return rows.sparkSession.read.parquet(where)
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package on every executor's import path, once per context.
 

@@ -52,3 +52,10 @@ def test_gates_are_counted_in_one_pass_over_the_packets(spark):
       ('b', array(named_struct('dimension', 'x', 'invalidated_count', 5L, 'reason', 'r')), CAST(NULL AS MAP<STRING, BIGINT>)),
       ('c', CAST(array() AS ARRAY<STRUCT<dimension: STRING, invalidated_count: BIGINT, reason: STRING>>), map('x', 9L)) AS d(segment, gates, sample_counts)""")
     assert sorted((r["segment"], r["dimension"], r["gated"], r["accepted"]) for r in fleet.gate_totals(rows).collect()) == [("a", "x", 2, 4), ("a", "y", 1, 4), ("b", "x", 5, 0)]
+
+
+def test_session_packets_makes_its_packets_once(spark, monkeypatch):
+    t, made = counted(spark, queries.visit_ticks(spark, DATA), "segment")
+    monkeypatch.setattr(analysis, "visit_ticks", lambda *_: t)
+    monkeypatch.setattr(store, "session_packets", lambda s, p, join=store.session_packets: join(s, p.hint("merge")))  # as for tables too large to broadcast
+    assert len(analysis.session_packets(spark, DATA).collect()) > 0 and made.value <= t.sparkSession.read.parquet(f"{DATA}/events.parquet").count()
