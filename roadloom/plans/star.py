@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.plans.queries import query, r
 from roadloom.plans.telemetry import table
+from roadloom.session import written
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem
@@ -50,12 +51,45 @@ def star_rollup_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).where("n > 10")
 
 
+#: Rows of a part in running sums, about.
+PART_ROWS = 250_000
+
+
+def running(rows: DataFrame, group: str, order: list[str], amounts: dict[str, Column], name: str) -> DataFrame:
+    """rows with <x>_before and <x>_all for each of amounts: its sums over the rows of the group that come earlier in order, and over all of it.
+
+    Rows are dealt by ranges of group and order. A part begins where the sums of the parts before it end, so no task has a whole group.
+    """
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    dealt = written(rows.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()), name)
+    sums = dealt.groupBy("_part", group).agg(*[F.sum(a).alias(f"_{x}") for x, a in amounts.items()])
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), *[F.coalesce(F.sum(f"_{x}").over(earlier), F.lit(0)).alias(f"_{x}_base") for x in amounts], *[F.sum(f"_{x}").over(whole).alias(f"{x}_all") for x in amounts])
+    inside = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.join(bases, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return met.select(*rows.columns, *[(F.col(f"_{x}_base") + F.coalesce(F.sum(a).over(inside), F.lit(0))).alias(f"{x}_before") for x, a in amounts.items()], *[f"{x}_all" for x in amounts])
+
+
 @query("""SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS quarter, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd
 FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)""")
 def star_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderdate")
-    four = F.ntile(4).over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice", "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("dr"), four.alias("quarter"), r(F.percent_rank().over(w), 8).alias("pr"), r(F.cume_dist().over(w), 8).alias("cd"))
+    """There are three statuses, so ranks come from running sums over days and over orders, not from a window by status."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    days = written(o.groupBy("o_orderstatus", "o_orderdate").agg(F.count("*").alias("n")), "rank-days")
+    days = running(days, "o_orderstatus", ["o_orderdate"], {"row": F.col("n"), "day": F.lit(1)}, "rank-days-dealt")
+    before, n, total = F.col("row_before"), F.col("n"), F.col("row_all")
+    days = days.select(
+        F.col("o_orderstatus").alias("_status"), F.col("o_orderdate").alias("_date"), (before + 1).alias("rk"), (F.col("day_before") + 1).alias("dr"),
+        F.when(total > 1, before / (total - 1)).otherwise(0.0).alias("pr"), ((before + n) / total).alias("cd"),
+    )
+    placed = running(o, "o_orderstatus", ["o_totalprice", "o_orderkey"], {"row": F.lit(1)}, "rank-orders")
+    # the first row_all % 4 quarters have one row more
+    least, more = F.expr("row_all div 4"), F.col("row_all") % 4
+    long = more * (least + 1)
+    quarter = F.when(before < long, F.floor(before / (least + 1))).otherwise(more + F.floor((before - long) / F.nullif(least, F.lit(0)))) + 1
+    met = placed.join(days, F.col("o_orderstatus").eqNullSafe(F.col("_status")) & F.col("o_orderdate").eqNullSafe(F.col("_date")))
+    return met.select("o_orderkey", F.col("rk").cast("long").alias("rk"), F.col("dr").cast("long").alias("dr"), quarter.cast("int").alias("quarter"), r(F.col("pr"), 8).alias("pr"), r(F.col("cd"), 8).alias("cd"))
 
 
 @query("SELECT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
