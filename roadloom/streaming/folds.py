@@ -25,9 +25,9 @@ from roadloom.sources.table import KeyedTable, table_sink
 from roadloom.streaming import ordered
 
 
-def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str, delay: str | None = None) -> DataFrame:
+def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, Any]], into: str, kind: str, delay: str | None = None, slots: int = ordered.SLOTS) -> DataFrame:
     if delay is not None:
-        return ordered.fold(rows, keys, order, columns, start, step, into, kind, delay)
+        return ordered.fold(rows, keys, order, columns, start, step, into, kind, delay, slots)
     schema = rows.schema.simpleString()[len("struct<") : -1]
 
     def run(_: tuple, pdfs: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,9 +43,9 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     return rows.groupBy(*keys).applyInPandasWithState(run, f"{schema}, {into} {kind}", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings(), delay: str | None = None) -> DataFrame:
+def assign_visits(ticks: DataFrame, keys: list[str], order: list[str], key: str = "segment", metres: str = "distance_m", s: Settings = Settings(), delay: str | None = None, slots: int = ordered.SLOTS) -> DataFrame:
     frames, far = s.hysteresis_frames, s.hysteresis_metres
-    return fold_stream(ticks, keys, order, [key, metres], lambda: None, lambda st, t: folds.visit_step(tuple(st) if st else None, t, frames, far), "visit", "int", delay)
+    return fold_stream(ticks, keys, order, [key, metres], lambda: None, lambda st, t: folds.visit_step(tuple(st) if st else None, t, frames, far), "visit", "int", delay, slots)
 
 
 def throttle(frames: DataFrame, keys: list[str], order: list[str], ms: str, fps: int, delay: str | None = None) -> DataFrame:
@@ -53,8 +53,8 @@ def throttle(frames: DataFrame, keys: list[str], order: list[str], ms: str, fps:
     return fold_stream(frames, keys, order, [ms], lambda: None, lambda st, t: folds.throttle_step(st, int(t[0]), gap), "kept", "boolean", delay)
 
 
-def fire_alerts(ticks: DataFrame, keys: list[str], order: list[str], kind: str, ms: str, cooldown_ms: int, delay: str | None = None) -> DataFrame:
-    return fold_stream(ticks, keys, order, [kind, ms], dict, lambda st, t: folds.cooldown_step(st, (t[0], int(t[1])), cooldown_ms), "fired", "boolean", delay)
+def fire_alerts(ticks: DataFrame, keys: list[str], order: list[str], kind: str, ms: str, cooldown_ms: int, delay: str | None = None, slots: int = ordered.SLOTS) -> DataFrame:
+    return fold_stream(ticks, keys, order, [kind, ms], dict, lambda st, t: folds.cooldown_step(st, (t[0], int(t[1])), cooldown_ms), "fired", "boolean", delay, slots)
 
 
 def live_means(ticks: DataFrame, watermark: str = "10 minutes") -> DataFrame:

@@ -136,7 +136,7 @@ def visit_fold(s: Settings = Settings()) -> tuple[Callable, Callable, Callable]:
 CLOSED = "visit int, " + packets.PARTIAL.replace("enter_ts timestamp, exit_ts timestamp", "enter_us bigint, exit_us bigint").replace("ts:timestamp", "us:bigint")
 
 
-def visit_partials(ticks: DataFrame, *, delay: str, idle: str | None = None, s: Settings = Settings()) -> DataFrame:
+def visit_partials(ticks: DataFrame, *, delay: str, idle: str | None = None, s: Settings = Settings(), slots: int = ordered.SLOTS) -> DataFrame:
     """packets.VISIT and packets.PARTIAL of every visit of a stream of ticks as it closes.
 
     ticks: as packets.packets() takes them, without visit and opens; ends (optional): true for a row that is no tick but
@@ -146,13 +146,13 @@ def visit_partials(ticks: DataFrame, *, delay: str, idle: str | None = None, s:
     of_tick = ("segment", "time_bucket", "distance_m", "speed_mps", "duty", "capability", "raw_gnss", "light_sensor", "samples", "worst", "evidence_reason")
     t = packets.ranked(packets.with_evidence(ticks, s)).withColumn("us", F.unix_micros("ts"))
     t = t.select(*DRIVE, "ts", "us", "seq", *of_tick, *(["ends"] if "ends" in ticks.columns else []))
-    said = ordered.in_order(t, DRIVE, ["ts", "seq"], delay, step, start=start, finish=finish, idle=idle)
+    said = ordered.in_order(t, DRIVE, ["ts", "seq"], delay, step, start=start, finish=finish, idle=idle, seen=[c for c in t.columns if c not in (*DRIVE, "ts")], own=F.lit(None).cast("string"), slots=slots)
     c = said.select(*DRIVE, F.from_json("said", CLOSED).alias("c")).select(*DRIVE, "c.*")
     shown = F.transform("shown", lambda e: F.struct(e["score"], F.timestamp_micros(e["us"]).alias("ts"), e["seq"], e["dimension"], e["reason"]))
     c = c.withColumns({"enter_us": F.timestamp_micros("enter_us"), "exit_us": F.timestamp_micros("exit_us"), "shown": shown}).withColumnsRenamed({"enter_us": "enter_ts", "exit_us": "exit_ts"})
     return c.select(*packets.VISIT, *[f.split()[0] for f in packets.PARTIAL.split(", ")])
 
 
-def packet_stream(ticks: DataFrame, *, delay: str, idle: str | None = None, s: Settings = Settings()) -> DataFrame:
+def packet_stream(ticks: DataFrame, *, delay: str, idle: str | None = None, s: Settings = Settings(), slots: int = ordered.SLOTS) -> DataFrame:
     """The packets of a stream of ticks, each when its visit has closed; for append mode."""
-    return packets.assemble(visit_partials(ticks, delay=delay, idle=idle, s=s), s)
+    return packets.assemble(visit_partials(ticks, delay=delay, idle=idle, s=s, slots=slots), s)
