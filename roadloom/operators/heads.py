@@ -229,6 +229,14 @@ def dispatch(model: Column | None, classical: Column) -> Column:
     return classical if model is None else F.coalesce(model, classical)
 
 
+def sparse(samples: dict[str, Column], settings: Settings = Settings()) -> Column:
+    """array of the enabled heads' samples in the fixed order, null where a head doesn't apply: for packets.sample_rows, which drops these.
+
+    Spark compiles it. What it filters by a function it doesn't, nor all that goes into it.
+    """
+    return F.array(*[samples[d] for d in DIMENSIONS if d in samples and d in settings.enabled])
+
+
 def fan_out(samples: dict[str, Column], settings: Settings = Settings()) -> Column:
     """array of the enabled heads' samples in the fixed order, nulls dropped."""
-    return F.array_compact(F.array(*[samples[d] for d in DIMENSIONS if d in samples and d in settings.enabled]))
+    return F.array_compact(sparse(samples, settings))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import image
 from roadloom.operators import capture, heads, packets, store
 from roadloom.plans.queries import _PACKETS_CTE, query, r, visit_ticks
-from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, _geohash_sql, table
+from roadloom.plans.telemetry import SAMPLES_SQL, TICKS_SQL, VISITS_SQL, _geohash_sql, dealt, table
 from roadloom.session import written
 
 # -- heads -------------------------------------------------------------------------------------------
@@ -20,7 +20,7 @@ from roadloom.session import written
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("value") / 20).alias("speed"))
+    return dealt(e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("value") / 20).alias("speed")))
 
 
 def _at(expr: str) -> Column:
@@ -84,7 +84,7 @@ SELECT event_id, dimension, round(score, 9) AS score, engine, valid, round(CAST(
 @query(_heads_sql())
 def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine heads, their model variants and a failing one, fanned out, with one raw value of each."""
-    t = _inputs(spark, sf_dir).withColumn("samples", heads.fan_out(_nine()))
+    t = _inputs(spark, sf_dir).withColumn("samples", heads.sparse(_nine()))
     telling = {"gnss_q": "multipath", "illum": "bucket", "rough": "mountContam", "glare": "sunRelAz", "atmo": "visibility", "nightq": "headlightOnly"}
     raw = F.col("raw")
     value = F.when(F.col("dimension") == "lane_vis", F.coalesce(raw["maskHitFrac"], raw["contrast"])).when(F.col("dimension") == "chaos", F.round(raw["chaosLevel"] * 12))

@@ -21,15 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_TICKS = 50_000
 
 
-def by_vehicle(rows: DataFrame) -> DataFrame:
-    """rows (ticks) dealt by node_id, so that a task has about TASK_TICKS of them; few ticks are left to Spark's own dealing.
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (ticks) dealt by keys, or evenly without, so that a task has about TASK_TICKS of them; few ticks are left to Spark's own dealing.
 
-    Spark joins small shuffle partitions by their compressed bytes. A tick has few, but over ten samples and raw values come of it.
+    Spark cuts files and joins small shuffle partitions by their compressed bytes. A tick has few, but over ten samples and raw values come of it.
     """
     n = rows.count()
     if n <= TASK_TICKS:
         return rows
-    return rows.repartition(max(-(-n // TASK_TICKS), rows.sparkSession.sparkContext.defaultParallelism), "node_id")
+    return rows.repartition(max(-(-n // TASK_TICKS), rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def by_vehicle(rows: DataFrame) -> DataFrame:
+    return dealt(rows, "node_id")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
