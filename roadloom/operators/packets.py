@@ -57,7 +57,9 @@ def sample_rows(ticks: DataFrame, *columns: str) -> DataFrame:
 
 def with_conditions(ticks: DataFrame) -> DataFrame:
     """ticks with conditions (severities and trust), degraded where a head failed, and alert."""
-    c = scores.conditions(_by_dimension(F.col("samples"), "score"), _by_dimension(F.col("samples"), "raw"))
+    # the maps are made once a tick, not for every mention
+    maps = F.struct(_by_dimension(F.col("samples"), "score").alias("score"), _by_dimension(F.col("samples"), "raw").alias("raw"))
+    c = geo.let(maps, lambda m: scores.conditions(m["score"], m["raw"]))
     t = ticks.withColumn("conditions", c).withColumn("degraded", F.exists("samples", lambda s: s["engine"] == "failed"))
     return t.withColumn("alert", scores.alert(F.col("conditions")))
 
