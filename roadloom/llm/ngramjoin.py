@@ -17,9 +17,16 @@ segments, and by one of two plans, whichever costs less in the band:
 
 The cost is the number of index entries plus PENALTY times the chance that a set
 must be indexed again. Sets that share an index entry form candidate clusters.
-Each cluster's sets meet in one task, or in pairs of blocks where it has more than
-BLOCK elements, and all pairs there are verified exactly. Tasks return spanning
-edges and numbers of links, never pairs, so large groups cost no rows.
+Entries made of one or two elements tie sets that are not alike, and the more sets there
+are, the more such ties grow together. So the sets of a cluster of more than BLOCK elements
+are indexed once more by a strict plan, whose entries have over STRICT elements each, and
+the cluster falls into what that ties. Each cluster's sets meet in one task, or in pairs of
+blocks where it still has more than BLOCK elements, and all pairs there are verified exactly;
+pairs of blocks go in waves, so that a set is copied a bounded number of times at once. Tasks
+return spanning edges and numbers of links, never pairs, so large groups cost no rows.
+
+Texts are hashed anew for each use: entries are as large as the texts, and kept they would
+cost more than the hashing.
 
 Equal sets are one class throughout: a group of copies costs one set. Set
 identity and elements are 64-bit hashes; a wrong decision needs a collision.
@@ -37,6 +44,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +63,12 @@ DENSE = 4.5
 REACH = 1.0
 CUTS = 4
 BLOCK = 400_000
-#: Up to so many candidate sets (of 24 bytes) are broadcast to the scan that fetches their texts.
-BROADCAST_ROWS = 500_000
+#: A strict plan's entries have more elements than this, where sets are large enough for that.
+STRICT = 2
+#: Up to so many candidate sets (of 24 bytes) are broadcast to a scan that fetches their texts; more take several scans, over SCANS of them a shuffle of the texts.
+BROADCAST_ROWS, SCANS = 500_000, 16
+#: A block meets the blocks at so many distances in a wave, so its sets have at most twice as many copies at once.
+WAVE = 5
 #: Texts are hashed in runs of about so many bytes, cut at white space.
 RUN = 1_000_000
 #: Bytes and documents of text that a worker holds as sets at once.
@@ -141,9 +153,9 @@ def _identity(elements: np.ndarray) -> int | None:
 class Plan:
     """The bands of a threshold num/den, and each band's way of indexing."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.bands: list[tuple[int, int, int, int]] = []  # least size, greatest, segments, size up to which they are skipped (-1: by deletions)
+    def __init__(self, num: int, den: int, strict: bool = False):
+        self.num, self.den, self.strict = num, den, strict
+        self.bands: list[tuple[int, int, int, int]] = []  # least size, greatest, segments, size up to which they are skipped (-1 less that size: by deletions)
 
     def differ(self, a: int, b: int) -> int:
         """How many elements linked sets of these sizes may differ in."""
@@ -155,6 +167,10 @@ class Plan:
             high = int(low * (self.den / self.num) ** REACH)
             h = self.differ(high, high)
             half = (h + 2) // 2
+            if self.strict:
+                self.bands.append((low, high, *self._strictly(low, high, h)))
+                low = high + 1
+                continue
             # the segment plan: a little slack for empty segments; where segments are small, more, for those of one element too
             small, plain = 0, h + 1 + h // 25 + (h >= 8)
             if h >= 8 and low / plain < DENSE:
@@ -166,15 +182,31 @@ class Plan:
             self.bands.append((low, high, half, -1) if h and half + high < cost else (low, high, plain, small))
             low = high + 1
 
+    def _strictly(self, low: int, high: int, h: int) -> tuple[int, int]:
+        """(segments, small) of a strict plan: fewest entries of those that under 0.3 of the sets must be indexed again for; small sets allow less."""
+        for k in range(STRICT, 0, -1):
+            ways = []
+            for least, more, small in ((h + 1, 0, k), (h // 2 + 1, high, -1 - k)):
+                m = next((m for m in range(least, 2 * least + 2, 1 + least // 64) if self._again(m, low, high, small) < 0.3), None)
+                if m:
+                    ways.append((m + more, m, small))
+            if ways:
+                return min(ways)[1:]
+        return h // 2 + 1, -1
+
     def _again(self, m: int, low: int, high: int, small: int) -> float:
         """The chance that a set has more small segments than the slack, at the worse end of a band."""
         worst = 0.0
         for n in (low, high):
             t = n / m
-            mean = m * math.exp(-t) * (1 + t if small else 1)
-            worst = max(worst, _more_than(m - 1 - self.differ(n, min(high, n * self.den // self.num)), mean))
+            mean = m * math.exp(-t) * sum(t**i / math.factorial(i) for i in range((small if small >= 0 else -small) + 1))
+            worst = max(worst, _more_than(m - 1 - self._unequal(n, min(high, n * self.den // self.num), small), mean))
         return worst
 
+    def _unequal(self, a: int, b: int, small: int) -> int:
+        """Of how many segments linked sets of these sizes may share no entry: those that differ, or by deletions, that differ in two elements or more."""
+        return self.differ(a, b) // (2 if small < 0 else 1)
+
     def of(self, size: int) -> list[tuple[int, int, int, int]]:
         """(band, segments, number of small ones it may skip, small) for each band where a set of this size is indexed.
 
@@ -188,9 +220,8 @@ class Plan:
             if high < size or low > most:
                 continue
             largest = min(high, most)
-            h = self.differ(size, largest)
             if self.differ(high, high):
-                found.append((b, m, m - 1 - h, small))
+                found.append((b, m, m - 1 - self._unequal(size, largest, small), small))
         return found
 
 
@@ -198,7 +229,9 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
     """The index entries (64-bit) of each set."""
     out: list[list[np.ndarray]] = [[] for _ in sets]
     todo = [(i, *p) for i, s in enumerate(sets) if len(s) for p in plan.of(len(s))]
-    for i, b, m, _, _ in [t for t in todo if t[4] < 0]:
+    for i, b, m, may, small in [t for t in todo if t[4] < -1]:
+        out[i] += _deletions(sets[i], b, m, may, -1 - small)
+    for i, b, m, _, _ in [t for t in todo if t[4] == -1]:
         s = sets[i]
         seg = ((s * _P) >> np.uint64(32)) % np.uint64(m)
         own = _mix(s)
@@ -239,6 +272,22 @@ def index_entries(sets: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
     return [np.unique(np.concatenate(o)) if o else np.empty(0, np.uint64) for o in out]
 
 
+def _deletions(s: np.ndarray, band: int, m: int, may: int, small: int) -> list[np.ndarray]:
+    """One-deletion entries of more than small elements, under one cut after another until at most may segments are too small to have both kinds."""
+    own, out = _mix(s), []
+    for cut in range(CUTS):
+        seg = ((_mix(s + np.uint64((cut + 1) * 0x51ED2701)) >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+        counts = np.bincount(seg, minlength=m)
+        sums = np.zeros(m, np.uint64)
+        np.add.at(sums, seg, own)
+        tag = _mix(np.arange(m, dtype=np.uint64) + np.uint64((band << 32) + (cut << 60) + (1 << 63)))
+        last = cut == CUTS - 1
+        out += [_mix(sums ^ tag)[(counts > small) | last], _mix((sums[seg] - own) ^ tag[seg])[(counts[seg] > small + 1) | last]]
+        if (counts <= small + 1).sum() <= may:
+            break
+    return out
+
+
 def first_holders(ids: list[int], entries: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """What is left of each set's entries when one that several sets have stays with the first of them, and whom it ties each set to.
 
@@ -317,7 +366,22 @@ def row_identity() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-DOCS = "doc_id long, key long, set_id long, n_shingles long, entries array<long>, ties array<long>"
+DOCS = "doc_id long, key long, set_id long, n_shingles long"
+ENTRIES = "set_id long, entries array<long>"
+#: a is the first set that holds b's entry. A running window: rows stream through, however many share an entry.
+EDGES = "first_value(set_id) OVER (PARTITION BY e ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a", "set_id AS b"
+
+
+def tied(ids: list[int], entries: list[np.ndarray]) -> pa.RecordBatch:
+    """ENTRIES of distinct sets of one task: an entry that several of them have is the first one's, whom an entry for two ties to each of the others."""
+    left, ties = first_holders(ids, entries)
+    own = np.asarray(ids, np.int64)
+    a, b = np.concatenate([np.empty(0, np.int64), *ties]), np.repeat(own, [len(t) for t in ties])
+    both = _mix(_mix(a.view(np.uint64)) ^ b.view(np.uint64)).view(np.int64)
+    values = np.concatenate([np.empty(0, np.int64), *(e.view(np.int64) for e in left), both, both])
+    ends = np.cumsum([0, *(len(e) for e in left), *np.ones(2 * len(both), np.int64)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, a, b]), pa.int64()), lists], names=["set_id", "entries"])
 
 
 def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, rows: bool = False) -> DataFrame:
@@ -334,43 +398,43 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, ro
         docs = docs.withColumn("row_id", row_identity())
     more = ["row_id"] if rows else []
 
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_slices(batches):
+            sets = shingle_sets(part.column("text").to_pylist(), n)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("key"), pa.array([_identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(part.column(c) for c in more)],
+                names=["doc_id", "key", "set_id", "n_shingles", *more],
+            )
+        give_back()
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(num, den), set()
         for part in small_slices(batches):
             sets = shingle_sets(part.column("text").to_pylist(), n)
-            ids = [_identity(s) for s in sets]
             if len(seen) > SEEN:
                 seen.clear()
-            new = [i for i, x in enumerate(ids) if x is not None and not (x in seen or seen.add(x))]
-            left, ties = first_holders([ids[i] for i in new], index_entries([sets[i] for i in new], plan))
-            entries: list = [None] * len(sets)
-            tied: list = [None] * len(sets)
-            for i, e, t in zip(new, left, ties, strict=True):
-                entries[i], tied[i] = e.view(np.int64), t
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(tied, pa.list_(pa.int64())), *(part.column(c) for c in more)],
-                names=["doc_id", "key", "set_id", "n_shingles", "entries", "ties", *more],
-            )
+            new = {x: s for s in sets if (x := _identity(s)) is not None and not (x in seen or seen.add(x))}
+            yield tied([*new], index_entries([*new.values()], plan))
+        give_back()
+
+    def index_strictly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(num, den, strict=True)
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_DOCS // 8):
+                part = b.slice(at, SLICE_DOCS // 8)
+                found = index_entries([np.frombuffer(e, np.uint64) for e in part.column("elements").to_pylist()], plan)
+                # clusters stay apart
+                of = _mix(np.array(part.column("component").to_pylist(), np.int64).view(np.uint64))
+                yield tied(part.column("set_id").to_pylist(), [e ^ c for e, c in zip(found, of, strict=True)])
         give_back()
 
-    whole = stash(docs.mapInArrow(index, DOCS + "".join(f", {c} long" for c in more)), "ngram-index")
-    indexed = stash(whole.drop("entries", "ties"), "ngram-sets")
+    indexed = stash(docs.mapInArrow(identified, DOCS + "".join(f", {c} long" for c in more)), "ngram-sets")
     classes = indexed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    entries = whole.where("size(entries) > 0").select("set_id", F.explode("entries").alias("e"))
-    # a running window: rows stream through, however many share an entry
-    edges = entries.selectExpr("first_value(set_id) OVER (PARTITION BY e ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a", "set_id AS b").where("a <> b")
-    ties = whole.where("size(ties) > 0").select(F.explode("ties").alias("a"), F.col("set_id").alias("b"))
-    clusters = stash(components(edges.unionByName(ties)), "ngram-clusters")
-    discard(whole)
+    ties = lambda entries: components(entries.select("set_id", F.explode("entries").alias("e")).selectExpr(*EDGES).where("a <> b"))
+    clusters = stash(ties(docs.select("text").mapInArrow(index, ENTRIES)), "ngram-clusters")
 
     sets = stash(clusters.join(classes, clusters["node"] == classes["set_id"]).select("set_id", "component", "key", "rep", "copies", "n"), "ngram-candidates")
     discard(clusters)
-    blocks = sets.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
-    n_sets = sets.count()
-    wanted = join_groups(sets, blocks, "component", n_sets).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    wanted = stash(wanted.drop("n", "rep"), "ngram-wanted")
-    few = n_sets <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -384,10 +448,39 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, ro
             yield part.append_column("elements", pa.array([s.tobytes() for s, k in zip(got, new, strict=True) if k], pa.binary()))
         give_back()
 
-    schema = "set_id long, component long, copies long, blocks int, block int, elements binary"
-    fetched = texts.select("text", "set_id", "component", "copies", "blocks", "block").mapInArrow(fetch, schema)
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    tasks = fetched.withColumn("_p", F.explode(pair)).select("set_id", "component", "copies", "blocks", "block", "elements", "_p.i", "_p.j")
+    def with_elements(wanted: DataFrame, n_rows: int, *columns: str) -> DataFrame:
+        """wanted (key, set_id, columns) with elements, in place of key."""
+        scans = -(-n_rows // max(1, BROADCAST_ROWS))
+        parts = [F.broadcast(wanted.where(F.pmod(F.xxhash64("key"), F.lit(scans)) == i)) for i in range(scans)] if 1 < scans <= SCANS else [F.broadcast(wanted) if scans <= 1 else wanted]
+        schema = ", ".join(f"{c} {dict(wanted.dtypes)[c]}" for c in ("set_id", *columns))
+        found = [docs.join(p, "key").select("text", "set_id", *columns).mapInArrow(fetch, f"{schema}, elements binary") for p in parts]
+        return reduce(DataFrame.unionByName, found)
+
+    large = sets.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("component")
+    loose = stash(sets.join(F.broadcast(large), "component", "left_semi"), "ngram-loose")
+    if n_loose := loose.count():
+        parts = ties(with_elements(loose.select("key", "set_id", "component"), n_loose, "component").mapInArrow(index_strictly, ENTRIES))
+        tight = loose.drop("component").join(parts, loose["set_id"] == parts["node"]).select(*sets.columns)
+        before, sets = sets, stash(sets.join(F.broadcast(large), "component", "left_anti").select(*sets.columns).unionByName(tight), "ngram-tight")
+        discard(before)
+    discard(loose)
+    blocks = sets.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
+    n_sets = sets.count()
+    wanted = join_groups(sets, blocks, "component", n_sets).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    wanted = stash(wanted.select("key", "set_id", "component", "copies", "blocks", "block"), "ngram-wanted")
+    elements = with_elements(wanted, n_sets, "component", "copies", "blocks", "block")
+    furthest = (wanted.agg(F.max("blocks")).first()[0] or 1) // 2
+    if furthest >= WAVE:
+        elements = stash(elements, "ngram-elements")
+
+    def pairs(wave: int) -> DataFrame:
+        """A row for each pair of blocks that a set is in, of blocks as far apart as this wave has them, round the circle of blocks."""
+        apart = F.sequence(F.lit(wave), F.least(F.lit(wave + WAVE - 1), F.floor(F.col("blocks") / 2).cast("int")))
+        ahead = F.transform(apart, lambda d: F.pmod(F.col("block") + d, F.col("blocks")))
+        behind = F.transform(apart, lambda d: F.pmod(F.col("block") - d, F.col("blocks")))
+        others = F.array_distinct(F.concat(ahead, behind))
+        pair = F.transform(others, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+        return elements.where(F.floor(F.col("blocks") / 2) >= wave).withColumn("_p", F.explode(pair)).select("set_id", "component", "copies", "blocks", "block", "elements", "_p.i", "_p.j")
 
     def verify(group: pa.Table) -> pa.Table:
         found = {r[1]: r for r in zip(*(group.column(c).to_pylist() for c in ("block", "set_id", "copies", "elements")), strict=True)}
@@ -400,9 +493,11 @@ def ngram_join(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, ro
         ids = np.array([r[1] for r in rows])
         return _verified(ids, ids[to], links, group.column("blocks")[0].as_py())
 
-    found = tasks.groupBy("component", "i", "j").applyInArrow(verify, "set_id long, other long, links long, blocks int")
-    found = stash(found, "ngram-links")
+    verified = lambda tasks: tasks.groupBy("component", "i", "j").applyInArrow(verify, "set_id long, other long, links long, blocks int")
+    found = reduce(DataFrame.unionByName, [stash(verified(pairs(wave)), "ngram-links") for wave in range(0, furthest + 1, WAVE)])
     discard(wanted)
+    if furthest >= WAVE:
+        discard(elements)
     # a cluster in one block is done; the forests of the others' blocks still have to meet
     apart = found.where("blocks > 1 AND set_id <> other").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
     labels = found.where("blocks = 1").select("set_id", F.col("other").alias("label"))

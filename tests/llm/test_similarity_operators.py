@@ -137,6 +137,62 @@ def test_index_shares_an_entry_for_every_link():
             assert len(np.intersect1d(x, y)), (num, len(a), len(b), same)
 
 
+def test_strict_index_shares_an_entry_for_every_link():
+    """As before, for the plan by which large clusters are indexed once more; entries of one or two elements tie nothing any more."""
+    rng = np.random.default_rng(5)
+    for num in (85, 80, 60):
+        plan = ngramjoin.Plan(num, 100, strict=True)
+        for _ in range(300):
+            size = int(rng.integers(2, 900))
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            drop = int(rng.integers(0, 1 + plan.differ(len(a), len(a)) // 2))
+            b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, int(rng.integers(0, drop + 1))).astype(np.uint64))))
+            same = len(np.intersect1d(a, b))
+            if not same or 100 * same < num * (len(a) + len(b) - same) or np.array_equal(a, b):
+                continue
+            x, y = ngramjoin.index_entries([a, b], plan)
+            assert len(np.intersect1d(x, y)), (num, len(a), len(b), same)
+    two = rng.integers(0, 2**63, 2).astype(np.uint64)
+    sets = [np.unique(np.concatenate((two, rng.integers(0, 2**63, 300).astype(np.uint64)))) for _ in range(200)]
+    seen = np.concatenate(ngramjoin.index_entries(sets, ngramjoin.Plan(80, 100, strict=True)))
+    assert len(np.unique(seen)) == len(seen)
+
+
+def test_join_copies_no_set_for_chance_ties(spark, monkeypatch):
+    """Texts with a passage in common are one cluster by the first index; each is verified once, not once for each block of that cluster."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(70)) + " " + passage) for i in range(400)]
+    rows += [(1000 + i, t.replace("p3 ", "q3 ")) for i, t in rows[:20]]
+    monkeypatch.setattr(ngramjoin, "BLOCK", 2000)
+    made = {}
+
+    def stash(df, name, keep=ngramjoin.stash):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin, "stash", stash)
+    got = ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=5, num=80, den=100).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_join(rows, 5, 80, 100)))
+    assert made["ngram-candidates"] > 100
+    assert made["ngram-links"] <= made["ngram-candidates"]
+
+
+@pytest.mark.parametrize("scans", [16, 2000])
+def test_join_in_waves(spark, monkeypatch, scans):
+    """A large cluster of sets that are alike: pairs of blocks in waves, texts fetched in several scans."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 300)
+    monkeypatch.setattr(ngramjoin, "WAVE", 2)
+    monkeypatch.setattr(ngramjoin, "SCANS", scans)
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 20)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*words[: i % 7], f"v{i}", *words[i % 7 :]])) for i in range(50)] + near_copies(9, (60, 100))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_join(rows, 4, 85, 100)))
+
+
 # -- fingerprints
 
 
