@@ -34,13 +34,16 @@ def asof_joins(left: DataFrame, others: list[tuple[DataFrame, list[str]]], key:
         both = both.unionByName(trailing.select(key, ts, F.lit(0).alias("_side"), F.struct(value).alias("_v")), allowMissingColumns=True)
     series = ["_v"] if trailing is not None else []
     w = Window.partitionBy(key).orderBy(ts, "_side", *found, *series).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({f"{c}_last": F.last(c, ignorenulls=True).over(w) for c in found} | ({"_n": F.count("_v").over(w)} if series else {}))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({f"{c}_last": F.last(c, ignorenulls=True).over(w) for c in found} | ({"_n": F.count("_v").over(w), "_g": F.coalesce(F.sum("_side").over(before), F.lit(0))} if series else {}))
     window = []
     if series:
-        # the values are numbered, so the last of them are a range, whatever lies between
-        got = F.collect_list("_v").over(Window.partitionBy(key).orderBy("_n").rangeBetween(-(rows - 1), 0))
-        both = both.withColumn("_w", got)
-        window = [F.when(F.size("_w") >= least, F.transform("_w", lambda v: v[value])).alias("window")]
+        # a value is gathered once, with the left row that follows it; a window is then of left rows alone: the values are numbered, so the last of them are a range
+        own = F.collect_list("_v").over(Window.partitionBy(key, "_g").orderBy(ts, "_side", *found, *series).rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumn("_own", own).drop("_v").where("_side = 1")
+        got = F.flatten(F.collect_list("_own").over(Window.partitionBy(key).orderBy("_n").rangeBetween(-(rows - 1), 0)))
+        both = both.withColumn("_w", got).withColumn("_w", F.slice("_w", F.greatest(F.size("_w") - (rows - 1), F.lit(1)), rows))
+        window = [F.when(F.size("_w") >= least, F.col("_w")[value]).alias("window")]
     return both.where("_side = 1").select("_l.*", *[F.col(f"{n}_last.{c}").alias(c) for n, (_, columns) in zip(found, others, strict=True) for c in columns], *window)
 
 

@@ -84,7 +84,7 @@ def placed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFram
     """looked_at() with the sensors of each frame and what follows from them, but for the samples; arguments as analysed()."""
     moved = imu.select("node_id", "wall_ms", F.struct("v", "g").alias("value"))
     t = asof.asof_joins(looked_at(frames, using), [(fixes, FIX), (epochs, ["epoch"]), (light, ["lux"])], "node_id", "wall_ms", moved)
-    t = t.withColumn("shaken", heads.roughness_of(F.transform("window", lambda s: s["v"]), F.transform("window", lambda s: s["g"]))).drop("window")
+    t = t.withColumn("shaken", heads.roughness_column(F.col("window")["v"], F.col("window")["g"])).drop("window")
     t = t.withColumn("sun", F.when(F.col("lat").isNotNull(), geo.solar_position(F.col("wall_ms"), F.col("lat"), F.col("lon"))))
     t = t.withColumn("time_bucket", geo.time_bucket(F.col("sun.elevation")))
     capability = F.coalesce(F.col("epoch.capability"), F.lit("NONE"))

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +147,37 @@ def roughness_of(v: Column, g: Column) -> Column:
     return F.when(v.isNotNull(), geo.let(centred, of))
 
 
+def roughness_column(v: Column, g: Column) -> Column:
+    """roughness_of(), of many windows at once: arrays of one length are rows of a matrix."""
+
+    @F.arrow_udf("n int, rms_band double, spikes int, hf_accel double, hf_gyro double")
+    def run(v: pa.Array, g: pa.Array) -> pa.Array:
+        names = ("rms_band", "spikes", "hf_accel", "hf_gyro")
+        sizes = np.where(v.is_null(), -1, pc.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False))
+        begins = [a.offsets.to_numpy()[:-1] for a in (v, g)]
+        flat = [a.values.to_numpy(zero_copy_only=False) for a in (v, g)]
+        out = {c: np.zeros(len(v)) for c in names}
+        rms = lambda a: np.sqrt((a * a).mean(1)) if a.shape[1] else 0.0
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.nonzero(sizes == n)[0]
+            x, turn = (values[first[at][:, None] + np.arange(n)] for values, first in zip(flat, begins, strict=True))
+            x = x - x.mean(1, keepdims=True)
+            wide, i = np.pad(x, ((0, 0), (3, 3))), np.arange(n)
+            around = sum(wide[:, d : d + n] for d in range(7)) / (np.minimum(i + 3, n - 1) - np.maximum(i - 3, 0) + 1)
+            for c, found in zip(names, (rms(x - around), (np.abs(x) > 3.5).sum(1), rms(x[:, 2:] - 2 * x[:, 1:-1] + x[:, :-2]) if n > 2 else 0.0, rms(np.diff(turn))), strict=True):
+                out[c][at] = found
+        # a null value makes null what it goes into
+        null = {c: np.zeros(len(v), bool) for c in names}
+        for a, of in ((v, ("rms_band", "hf_accel")), (g, ("hf_gyro",))):
+            if a.values.null_count:
+                for c in of:
+                    null[c] = np.isnan(out[c])
+        columns = [pa.array(sizes, pa.int32()), *(pa.array(out[c].astype(np.int32) if c == "spikes" else out[c], pa.int32() if c == "spikes" else pa.float64(), mask=null[c]) for c in names)]
+        return pa.StructArray.from_arrays(columns, ["n", *names], mask=pa.array(sizes < 0))
+
+    return run(v, g)
+
+
 @head("rough")
 def rough(s: Column, speed: Column, sample_hz: Column, settings: Settings = Settings()) -> Column:
     """s: a row of roughness_stats; null under 16 samples, without a speed, or when slow."""

@@ -159,3 +159,45 @@ def test_regions_and_sharpness_as_before():
         assert image.sharpness_grid(now) == [image.laplacian_variance(now, (c * bw, r * bh, (c + 1) * bw, (r + 1) * bh)) for r in range(6) for c in range(8)]
         labels, n = image.components(np.abs(image.small(before).astype(int) - image.small(now)) >= 28)
         assert image.motion_regions(before, now) == sum(int((labels == i).sum() >= 20) for i in range(1, n + 1))
+
+
+def test_frames_together_as_one_by_one(spark):
+    """Statistics of many frames at once are those of each; a frame without a size fails by itself."""
+    rng = np.random.default_rng(6)
+    frames = []
+    for h, w in ((24, 24), (36, 48), (37, 51), (16, 20), (90, 31)):
+        for j in range(8):
+            y = rng.integers(0, 256, (h, w)) if j % 3 else np.full((h, w), 30 * j)
+            y = np.where((np.add.outer(np.arange(h), np.arange(w)) // 9) % 2 == 0, 250, 30) if j % 4 == 3 else y
+            frames.append((h, w, y.astype(np.uint8), np.stack([y, np.roll(y, 1), y // 2], -1).astype(np.uint8)))
+    rows = [(i, w, h, y.tobytes(), c.tobytes()) for i, (h, w, y, c) in enumerate(frames)] + [(98, None, 36, b"x", b"y"), (99, 48, 36, b"short", None)]
+    t = spark.createDataFrame(rows, "i int, width int, height int, luma binary, rgb binary").coalesce(1)
+    got = {r["i"]: r["s"].asDict() for r in t.select("i", image.seen_column(*map(F.col, ("width", "height", "luma", "rgb"))).alias("s")).collect()}
+    for i, (_, _, y, c) in enumerate(frames):
+        want = image.frame_stats(y, c)
+        assert {k for k, v in got[i].items() if v is None} == {"regions"}
+        assert all(got[i][k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if k != "regions"), i
+    assert all(got[i][k] is None for i in (98, 99) for k in image.frame_stats(*frames[0][2:]))
+
+
+def test_roughness_of_many_windows(spark):
+    """As roughness_of(), for windows of several lengths, with nulls, and none at all."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 3, n).tolist(), rng.normal(0, 1, n).tolist()) for i, n in enumerate((100, 16, 1, 2, 3, 100, 7, 99))]
+    rows += [(20, None, None), (21, [1.0, None, 9.0, 2.0], [0.5, 0.1, 0.2, 0.3]), (22, [1.0, 5.0], [None, 2.0])]
+    t = spark.createDataFrame(rows, "i int, v array<double>, g array<double>").coalesce(1)
+    both = t.select("i", heads.roughness_of(F.col("v"), F.col("g")).alias("a"), heads.roughness_column(F.col("v"), F.col("g")).alias("b")).collect()
+    for r in both:
+        assert (r["a"] is None) == (r["b"] is None), r
+        assert r["a"] is None or all(r["b"][c] == pytest.approx(r["a"][c], abs=1e-12) for c in r["a"].asDict()), r
+
+
+def test_motion_is_gathered_once(spark):
+    """No window is slid over the motion samples: that would gather each a hundred times."""
+    series = spark.createDataFrame([(1, i, float(i)) for i in range(300)], "k int, ts int, value double")
+    left = spark.createDataFrame([(1, i) for i in range(0, 300, 20)], "k int, ts int")
+    got = asof.asof_joins(left, [], "k", "ts", series)
+    assert {r["ts"]: r["window"] for r in got.collect()} == {t: [float(i) for i in range(max(0, t - 99), t + 1)] if t >= 15 else None for t in range(0, 300, 20)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    slid = next(i for i, line in enumerate(plan) if "RangeFrame" in line and "collect_list" in line)
+    assert any("Filter" in line and "_side" in line for line in plan[slid:])
