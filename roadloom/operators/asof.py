@@ -20,6 +20,14 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, columns: lis
     return both.select("_l.*", *[F.col(f"_r.{c}").alias(c + suffix) for c in columns])
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many tasks as spark.sql.shuffle.partitions says.
+
+    Left to itself Spark joins partitions by their compressed bytes. A tick has few, but samples, windows and raw values come of it.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def asof_joins(left: DataFrame, others: list[tuple[DataFrame, list[str]]], key: str, ts: str, trailing: DataFrame | None = None, value: str = "value", rows: int = 100, least: int = 16) -> DataFrame:
     """left after an asof_join with each of others (rows, columns), all in one union: left is dealt by key once.
 
@@ -32,6 +40,7 @@ def asof_joins(left: DataFrame, others: list[tuple[DataFrame, list[str]]], key:
         both = both.unionByName(right.select(key, ts, F.lit(0).alias("_side"), F.struct(*columns).alias(name)), allowMissingColumns=True)
     if trailing is not None:
         both = both.unionByName(trailing.select(key, ts, F.lit(0).alias("_side"), F.struct(value).alias("_v")), allowMissingColumns=True)
+    both = dealt(both, key)
     series = ["_v"] if trailing is not None else []
     w = Window.partitionBy(key).orderBy(ts, "_side", *found, *series).rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

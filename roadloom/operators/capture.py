@@ -35,7 +35,7 @@ def looked_at(frames: DataFrame, using: Models | None = None) -> DataFrame:
     f = frames.withColumn("seen", image.seen_column(F.col("width"), F.col("height"), F.col("luma"), F.col("rgb"))).drop("luma", "rgb")
     f = f.withColumn("small", F.col("seen.small")).withColumn("stats", F.col("seen").dropFields("small")).drop("seen")
     # dealt once: the windows and the fold use the same partitions
-    f = asof.previous(f.repartition(*DRIVE), DRIVE, "frame_ns", ["small", "frame_ns"])
+    f = asof.previous(asof.dealt(f, *DRIVE), DRIVE, "frame_ns", ["small", "frame_ns"])
     f = f.withColumn("wiper", heads.wiper_index(F.col("stats.edge_energy"), DRIVE, "frame_ns"))
     f = folds.lens_dirt(f.withColumn("grid", F.col("stats.grid")), DRIVE, ["frame_ns"], "grid", dealt=True).drop("grid")
     f = f.withColumn("regions", image.regions_column(F.col("prev_small"), F.col("small"))).drop("small", "prev_small")
@@ -85,6 +85,7 @@ def placed(frames: DataFrame, fixes: DataFrame, epochs: DataFrame, imu: DataFram
     moved = imu.select("node_id", "wall_ms", F.struct("v", "g").alias("value"))
     t = asof.asof_joins(looked_at(frames, using), [(fixes, FIX), (epochs, ["epoch"]), (light, ["lux"])], "node_id", "wall_ms", moved)
     t = t.withColumn("shaken", heads.roughness_column(F.col("window")["v"], F.col("window")["g"])).drop("window")
+    t = asof.dealt(t, *DRIVE)
     t = t.withColumn("sun", F.when(F.col("lat").isNotNull(), geo.solar_position(F.col("wall_ms"), F.col("lat"), F.col("lon"))))
     t = t.withColumn("time_bucket", geo.time_bucket(F.col("sun.elevation")))
     capability = F.coalesce(F.col("epoch.capability"), F.lit("NONE"))

@@ -90,9 +90,14 @@ def churn(before: list[tuple], now: list[tuple], least: float = 0.4) -> float:
 
 #: What lens_step says of a tick.
 DIRT = "struct<persistence:array<double>,scene_change:double,median:double>"
+_DIRT = pa.struct([("persistence", pa.list_(pa.float64())), ("scene_change", pa.float64()), ("median", pa.float64())])
 
 
-def lens_step(state: tuple | None, grid: list[float] | None, moving: float = 0.04, up: float = 0.08, down: float = 0.05) -> tuple[tuple | None, dict | None]:
+#: From which change a scene moves, and by how much a block's counter grows and falls.
+MOVING, UP, DOWN = 0.04, 0.08, 0.05
+
+
+def lens_step(state: tuple | None, grid: list[float] | None, moving: float = MOVING, up: float = UP, down: float = DOWN) -> tuple[tuple | None, dict | None]:
     """The dirt counters of a lens's blocks after a sharpness grid, with the scene's change and the median sharpness.
 
     A counter grows while its block is far less sharp than the median and the scene
@@ -116,7 +121,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
     spills; the fold streams over them, so no key is ever gathered. dealt: the rows come
     from windows by the keys, and are not dealt again.
     """
-    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())]), DIRT: pa.struct([("persistence", pa.list_(pa.float64())), ("scene_change", pa.float64()), ("median", pa.float64())])}[kind]
+    arrow = {"int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), MEAN: pa.struct([("n", pa.int64()), ("mean", pa.float64())]), DIRT: _DIRT}[kind]
     schema = rows.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +178,56 @@ def box_churn(frames: DataFrame, keys: list[str], order: list[str], boxes: str)
 
 
 def lens_dirt(frames: DataFrame, keys: list[str], order: list[str], grid: str, dealt: bool = False) -> DataFrame:
-    """frames with dirt: what lens_step says of each sharpness grid in order."""
-    return fold(frames, keys, order, [grid], lambda: None, lambda st, t: lens_step(st, t[0]), "dirt", DIRT, dealt)
+    """frames with dirt: what lens_step says of each sharpness grid in order, of an Arrow batch at a time: only the counters go tick by tick."""
+    schema = frames.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            ids = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            new = np.fromiter((i != j for i, j in zip(ids, [now, *ids], strict=False)), bool, len(ids))
+            now = ids[-1] if ids else now
+            said, state = _dirt(b.column(grid), np.cumsum(new), state)
+            yield b.append_column("dirt", said)
+
+    return (frames if dealt else frames.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{schema}, dirt:{DIRT}")
+
+
+def _dirt(grids: pa.Array, drive: np.ndarray, state: tuple | None) -> tuple[pa.Array, tuple | None]:
+    """(what lens_step says of each grid, its state after them). drive: numbers of the runs of rows of one drive; 0 goes on with state."""
+    whole = np.nonzero(grids.is_valid().to_numpy(zero_copy_only=False))[0]
+    sizes = np.diff(grids.offsets.to_numpy())[whole]
+    size = int(sizes[0]) if len(sizes) else 0
+    last_of = lambda st: st if len(drive) == 0 or (drive[whole[-1]] if len(whole) else 0) == drive[-1] else None
+    if len(whole) and (size == 0 or (sizes != size).any() or state and len(state[0]) != size):
+        out, at = [], 0
+        for d, g in zip(drive.tolist(), grids.to_pylist(), strict=True):
+            at, state = d, state if d == at else None
+            state, said = lens_step(state, g)
+            out.append(said)
+        return pa.array(out, _DIRT), state
+    m = grids.values.to_numpy(zero_copy_only=False)[grids.offsets.to_numpy()[whole][:, None] + np.arange(size)]
+    of = drive[whole]
+    first = np.diff(of, prepend=0) != 0
+    counters, before = state if state else (np.zeros(size), None)
+    change = np.zeros(len(whole))
+    if len(whole):
+        first[0] |= before is None
+        sums = m.sum(1)
+        gone = np.abs(m - np.concatenate((m[:1] if before is None else before[None], m[:-1]))).sum(1)
+        change = np.where(first | (sums <= 1e-3), 0.0, gone / (sums + 1e-3))
+    median = np.sort(m, 1)[:, size // 2] if size else np.zeros(0)
+    dim = (m < 8) & (m < 0.25 * median[:, None])
+    step = np.where(dim & (change > MOVING)[:, None], UP, -DOWN)
+    for i in range(len(whole)):
+        counters = np.minimum(np.maximum(step[i] if first[i] else counters + step[i], 0.0), 1.0)
+        step[i] = counters
+    ends = np.zeros(len(grids) + 1, np.int64)
+    ends[whole + 1] = size
+    spread = lambda x: np.bincount(whole, x, len(grids))
+    parts = [pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(step.ravel())), pa.array(spread(change)), pa.array(spread(median))]
+    none = pa.array(np.bincount(whole, minlength=len(grids)) == 0)
+    return pa.StructArray.from_arrays(parts, ["persistence", "scene_change", "median"], mask=none), last_of((counters, m[-1]) if len(whole) else state)
 
 
 # -- folds over an array, native -----------------------------------------------------------------

@@ -3,12 +3,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.config import DIMENSIONS, Settings
 from roadloom.functions import image
-from roadloom.operators import asof, capture, fleet, heads, packets, store
+from roadloom.operators import asof, capture, fleet, folds, heads, packets, store
 from roadloom.plans import analysis
 
 DATA = "/root/testdata/sf0.001"
@@ -201,3 +202,27 @@ def test_motion_is_gathered_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     slid = next(i for i, line in enumerate(plan) if "RangeFrame" in line and "collect_list" in line)
     assert any("Filter" in line and "_side" in line for line in plan[slid:])
+
+
+def test_lens_dirt_in_batches_as_step_by_step():
+    """However the rows of drives are cut into batches, with broken frames among them, each gets what lens_step says."""
+    rng = np.random.default_rng(8)
+    drives = np.sort(rng.integers(0, 12, 200))
+    grids = [None if rng.random() < 0.2 else (rng.random(48) * rng.choice([0.0, 1.0, 60.0])).tolist() for _ in range(200)]
+    want, state, now = [], None, None
+    for d, g in zip(drives.tolist(), grids, strict=True):
+        state = state if d == now else None
+        now = d
+        state, said = folds.lens_step(state, g)
+        want.append(said)
+    for cut in (1, 7, 200):
+        got, state, now = [], None, None
+        for at in range(0, 200, cut):
+            part = drives[at : at + cut]
+            run = np.cumsum([d != e for d, e in zip(part, [now, *part], strict=False)])
+            said, state = folds._dirt(pa.array(grids, pa.list_(pa.float64())).slice(at, cut), run, state)
+            now = part[-1]
+            got += said.to_pylist()
+        for a, b in zip(got, want, strict=True):
+            assert (a is None) == (b is None)
+            assert a is None or all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
